@@ -17,15 +17,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.functions.vector import cosine_similarity
+from nearhit.functions.vector import cosine_similarity_batched as cosine_similarity
 from nearhit.sources.tables import table
 
 PAIR_SPAN = 20
 # Fixed test "models": registry key -> number of leading vector components used.
 MODEL_DIMS = [("minilm-l3", 8), ("minilm-l6", 16), ("msmarco-minilm", 24),
               ("mpnet-base", 32), ("labse", 48), ("bge-large", 64)]
-# Sweep grid for vector_pairs: similarities there lie in about -0.45..0.47.
-VECTOR_GRID = [i / 100.0 for i in range(-30, 46)]
+# Sweep grid for vector_pairs / model_pairs: similarities of the shortest
+# prefix model reach about 0.95, so the grid runs -0.50 .. 0.99.
+VECTOR_GRID = [i / 100.0 for i in range(-50, 100)]
 # The reference grid: 0.50, 0.51, ..., 0.99.
 REFERENCE_GRID = [i / 100.0 for i in range(50, 100)]
 
@@ -139,3 +140,23 @@ model_pairs AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question-pair table (T1) from whole documents: each document paired
+    with the next id; the label is ``quality + toxic`` of the first document
+    (null without a label row, 2 when both are set) so cleaning has work."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = d.select(F.col("doc_id").alias("qid1"), F.col("text").alias("question1"),
+                 (F.col("doc_id") + 1).alias("qid2"))
+    b = d.select(F.col("doc_id").alias("qid2"), F.col("text").alias("question2"))
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid1"),
+                                                (F.col("quality") + F.col("toxic")).alias("is_duplicate"))
+    return (a.join(b, "qid2").join(lab, "qid1", "left")
+             .select(F.col("qid1").alias("id"), "qid1", "qid2", "question1", "question2", "is_duplicate"))
+
+
+QUESTION_PAIRS_SQL = """question_pairs AS (
+  SELECT a.doc_id AS id, a.doc_id AS qid1, b.doc_id AS qid2, a.text AS question1, b.text AS question2,
+         l.quality + l.toxic AS is_duplicate
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 LEFT JOIN labels l ON l.doc_id = a.doc_id)"""

@@ -1 +1,191 @@
-"""Registered queries (filled in as operators land)."""
+"""Text, embedding and paraphrase queries over ``documents``, ``benchmark``
+and ``question_pairs``; all texts are processed whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from nearhit.functions.ids import hash32_sql
+from nearhit.functions.text import NUMBERING, WS, normalize_text, normalize_text_sql, strip_numbering
+from nearhit.operators import embed as E
+from nearhit.operators import paraphrase as P
+from nearhit.plans import fixtures as X
+from nearhit.plans.catalog import query, tidy
+from nearhit.plans.sqlparts import tidy_sql
+from nearhit.sources.tables import table
+
+EMB = E.HashedEmbedder(seed=0, dim=256, n=3)
+MODELS = {"hash3-256": E.HashedEmbedder(0, 256, 3), "hash3-512": E.HashedEmbedder(1, 512, 3),
+          "hash1-256": E.HashedEmbedder(2, 256, 1)}
+
+
+def strip_sql(c):
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query("normalize_text", f"SELECT doc_id, {normalize_text_sql('text')} AS norm FROM documents")
+def q_normalize(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", normalize_text("text").alias("norm"))
+
+
+# statements = non-blank stripped lines of the benchmark texts
+STATEMENTS_SQL = f"""st AS (SELECT item_id, line_no, {strip_sql('line')} AS statement FROM (
+  SELECT item_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
+         unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE {strip_sql('line')} <> '')"""
+
+
+def statements(spark, sf):
+    return P.read_statement_lines(table(spark, sf, "benchmark"), "text", "item_id")
+
+
+@query("read_statements", "WITH " + STATEMENTS_SQL + " SELECT item_id, line_no, statement FROM st")
+def q_statements(spark, sf):
+    return tidy(statements(spark, sf))
+
+
+@query("strip_numbering", f"""SELECT conv_id, turn, line_no, regexp_replace(line, '{NUMBERING}', '', 'g') AS stripped FROM (
+  SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
+         unnest(string_split(text, chr(10))) AS line FROM conversations WHERE role = 'assistant')""")
+def q_strip_numbering(spark, sf):
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return tidy(lines.select("conv_id", "turn", "line_no", strip_numbering("line").alias("stripped")))
+
+
+def sparse_sql(src: str, id_col: str, text_col: str, seed: int, dim: int, n: int, name: str) -> str:
+    """CTEs ``{name}`` = (id, bucket, weight) of the hashed n-gram embedder."""
+    norm = normalize_text_sql(text_col)
+    if n > 1:
+        grams = f"list_transform(range(0, len(w) - {n - 1}), i -> array_to_string(w[i + 1:i + {n}], ' '))"
+    else:
+        grams = "w"
+    return f"""{name}_w AS (SELECT {id_col} AS _id, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, ' ') END AS w
+  FROM (SELECT {id_col}, {norm} AS t FROM {src}) AS _n),
+{name}_g AS (SELECT _id, unnest({grams}) AS gram FROM {name}_w),
+{name}_c AS (SELECT _id, {hash32_sql(seed, 'gram')} % {dim} AS bucket, CAST(count(*) AS DOUBLE) AS c FROM {name}_g GROUP BY ALL),
+{name} AS (SELECT _id AS {id_col}, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY _id)) AS weight FROM {name}_c)"""
+
+
+@query("embed_texts", "WITH " + sparse_sql("documents", "doc_id", "text", 0, 256, 3, "sv")
+       + tidy_sql("SELECT doc_id, bucket, weight FROM sv", ["weight"]))
+def q_embed_texts(spark, sf):
+    docs = table(spark, sf, "documents")
+    return tidy(EMB.sparse(docs, "doc_id", "text"))
+
+
+@query("embedding_dimension", "SELECT count(*) AS vectors, min(len(embedding)) AS min_dim, "
+       "max(len(embedding)) AS max_dim FROM embeddings")
+def q_dim(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return tidy(e.agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size("embedding")).alias("min_dim"),
+                      F.max(F.size("embedding")).alias("max_dim")))
+
+
+def distinct_sql(seed, dim, n, name):
+    return f"""{name}_t AS (SELECT DISTINCT md5(text) AS tid, text FROM (
+    SELECT question1 AS text FROM question_pairs UNION ALL SELECT question2 FROM question_pairs) WHERE text IS NOT NULL),
+{sparse_sql(name + '_t', 'tid', 'text', seed, dim, n, name)},
+{name}_s AS (SELECT p.id, sum(a.weight * b.weight) AS similarity
+  FROM question_pairs p JOIN {name} a ON a.tid = md5(p.question1) JOIN {name} b ON b.tid = md5(p.question2) AND b.bucket = a.bucket
+  GROUP BY p.id),
+{name}_r AS (SELECT p.id, s.similarity FROM question_pairs p LEFT JOIN {name}_s s USING (id))"""
+
+
+@query("embed_distinct", X.with_ctes(X.QUESTION_PAIRS_SQL, distinct_sql(0, 256, 3, "d0"))
+       + tidy_sql("SELECT id, similarity FROM d0_r", ["similarity"]))
+def q_embed_distinct(spark, sf):
+    return tidy(E.embed_distinct(X.question_pairs(spark, sf), EMB))
+
+
+def scored_text_sql():
+    ctes = [X.QUESTION_PAIRS_SQL]
+    sels = []
+    for i, (key, m) in enumerate(MODELS.items()):
+        ctes.append(distinct_sql(m.seed, m.dim, m.n, f"m{i}"))
+        sels.append(f"SELECT '{key}' AS model_key, id, similarity FROM m{i}_r")
+    ctes.append("text_scored AS (SELECT s.model_key, s.id, s.similarity, q.is_duplicate FROM ("
+                + " UNION ALL ".join(sels) + ") s JOIN question_pairs q USING (id))")
+    return X.with_ctes(*ctes)
+
+
+def text_scored(spark, sf):
+    return E.score_pairs(X.question_pairs(spark, sf), MODELS)
+
+
+@query("score_pairs", scored_text_sql() + tidy_sql("SELECT * FROM text_scored", ["similarity"], ints=["is_duplicate"]))
+def q_score_pairs(spark, sf):
+    return tidy(text_scored(spark, sf))
+
+
+# ----------------------------------------------------------------- 2.M paraphrases
+
+BUCKET_SQL = "item_id // 1024"
+BATCH_SQL = STATEMENTS_SQL + f""",
+sb AS (SELECT *, position // {P.BATCH_SIZE} AS batch, position % {P.BATCH_SIZE} AS slot FROM (
+  SELECT *, row_number() OVER (ORDER BY item_id, line_no) - 1 AS position FROM st)),
+sizes AS (SELECT batch, count(*) AS n_statements FROM sb GROUP BY batch)"""
+
+
+def batches(spark, sf):
+    st = statements(spark, sf).withColumn("_bk", F.floor(F.col("item_id") / 1024))
+    return P.statement_batches(st, ["item_id", "line_no"], "_bk").drop("_bk")
+
+
+@query("statement_batches", "WITH " + BATCH_SQL + " SELECT item_id, line_no, position, batch, slot FROM sb")
+def q_batches(spark, sf):
+    return tidy(batches(spark, sf).select("item_id", "line_no", "position", "batch", "slot"))
+
+
+def _sqlstr(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("batch_prompts", "WITH " + BATCH_SQL + f"""
+SELECT batch, count(*) AS n_statements,
+  {_sqlstr(P.PROMPT_HEAD)} || string_agg(CAST(slot + 1 AS VARCHAR) || '. ' || statement, chr(10) ORDER BY slot) || chr(10)
+  || {_sqlstr(P.PROMPT_TAIL)} AS prompt
+FROM sb GROUP BY batch""")
+def q_prompts(spark, sf):
+    return tidy(P.batch_prompts(batches(spark, sf)))
+
+
+NUM_SQL = NUMBERING
+VARIANTS_SQL = BATCH_SQL + f""",
+resp AS (SELECT batch, array_to_string(CASE WHEN batch % 4 = 3 THEN l[1:len(l) - 1] ELSE l END, chr(10)) AS response FROM (
+  SELECT batch, list(CAST(slot + 1 AS VARCHAR) || ') ' || lower(statement) ORDER BY slot) AS l FROM sb GROUP BY batch)),
+cl AS (SELECT z.batch, z.n_statements,
+  list_transform(list_filter(list_transform(string_split({strip_sql("coalesce(r.response, '')")}, chr(10)), x -> {strip_sql('x')}),
+                             x -> x <> ''), x -> regexp_replace(x, '{NUM_SQL}', '', 'g')) AS v
+  FROM sizes z LEFT JOIN resp r USING (batch)),
+vars AS (SELECT batch, generate_subscripts(p, 1) - 1 AS slot, unnest(p) AS variant FROM (
+  SELECT batch, (v || list_transform(range(n_statements), i -> ''))[1:n_statements] AS p FROM cl))"""
+
+
+def variants(spark, sf):
+    b = batches(spark, sf)
+    sizes = b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_statements"))
+    return b, P.parse_variants(P.echo_provider(b), sizes)
+
+
+@query("parse_variants", "WITH " + VARIANTS_SQL + " SELECT batch, slot, variant FROM vars")
+def q_variants(spark, sf):
+    return tidy(variants(spark, sf)[1])
+
+
+PAIRS_SQL = VARIANTS_SQL + """,
+pp AS (SELECT sb.position, sb.statement, v.variant AS semantically_same_statement
+  FROM sb JOIN vars v ON v.batch = sb.batch AND v.slot = sb.slot WHERE v.variant <> '')"""
+
+
+@query("paraphrase_pairs", "WITH " + PAIRS_SQL + " SELECT * FROM pp")
+def q_para_pairs(spark, sf):
+    b, v = variants(spark, sf)
+    return tidy(P.paraphrase_pairs(b, v))
+
+
+@query("paraphrase_yield", "WITH " + PAIRS_SQL + tidy_sql("""SELECT s.statements, p.pairs,
+  CASE WHEN s.statements > 0 THEN CAST(p.pairs AS DOUBLE) / s.statements * 100 ELSE 0.0 END AS yield_pct
+  FROM (SELECT count(*) AS statements FROM sb) s, (SELECT count(*) AS pairs FROM pp) p""", ["yield_pct"]))
+def q_para_yield(spark, sf):
+    b, v = variants(spark, sf)
+    return tidy(P.paraphrase_yield(b, P.paraphrase_pairs(b, v)))
