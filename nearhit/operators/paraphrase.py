@@ -66,7 +66,7 @@ def parse_variants(responses: DataFrame, sizes: DataFrame) -> DataFrame:
     A failed batch (null response) yields '' for every slot."""
     j = sizes.join(responses, "batch", "left")
     cleaned = F.transform(clean_lines(F.coalesce(F.col("response"), F.lit(""))), lambda x: strip_numbering(x))
-    padded = F.slice(F.concat(cleaned, F.array_repeat(F.lit(""), F.col("n_statements"))), 1, F.col("n_statements"))
+    padded = F.slice(F.concat(cleaned, F.array_repeat(F.lit(""), F.col("n_statements").cast("int"))), 1, F.col("n_statements").cast("int"))
     return j.select("batch", F.posexplode(padded).alias("slot", "variant"))
 
 

@@ -1 +1,161 @@
-"""Registered queries (filled in as operators land)."""
+"""Store maintenance, cache serving extras and chat-cache entries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from nearhit.functions import vector as V
+from nearhit.functions.ids import make_entry_id
+from nearhit.operators import cache as C
+from nearhit.operators import store as S
+from nearhit.operators import vector_join as J
+from nearhit.operators.metrics import hit_predicate
+from nearhit.plans import fixtures as X
+from nearhit.plans.catalog import query, r6, tidy
+from nearhit.plans.q_vector import LOOKUP_CTES, LOOKUP_T, lookup
+from nearhit.plans.sqlparts import tidy_sql
+from nearhit.sources.tables import table
+
+STORED_AT = "2024-01-01 00:00:00"
+MODEL = "minilm-l6"
+COS = X.cos_sql
+
+
+# ----------------------------------------------------------------- chat cache entries
+
+def chat_cache(spark, sf):
+    """User turns with the following assistant turn as the stored response."""
+    c = table(spark, sf, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("llm_response"))
+    return u.join(a, ["conv_id", "turn"], "left").withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+CHAT_SQL = """chat AS (SELECT u.conv_id, u.turn, u.text, a.text AS llm_response, u.conv_id * 1000 + u.turn AS seq
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+ID_SQL = f"md5(concat_ws(':', '{MODEL}', text, '{STORED_AT}', CAST(seq AS VARCHAR)))"
+
+
+@query("make_entry_id", f"WITH {CHAT_SQL} SELECT seq, {ID_SQL} AS entry_id FROM chat")
+def q_make_id(spark, sf):
+    ch = chat_cache(spark, sf)
+    return ch.select("seq", make_entry_id(F.lit(MODEL), "text", F.lit(STORED_AT).cast("timestamp"), "seq").alias("entry_id"))
+
+
+@query("add_entries", f"WITH {CHAT_SQL} SELECT {ID_SQL} AS entry_id, '{MODEL}' AS model_key, text, llm_response, seq FROM chat")
+def q_add_entries(spark, sf):
+    ch = chat_cache(spark, sf).withColumn("embedding", F.array().cast("array<float>"))
+    e = S.build_entries(ch, model_key=MODEL, stored_at=STORED_AT, seq="seq")
+    return e.select("entry_id", "model_key", "text", "llm_response", "seq")
+
+
+# ----------------------------------------------------------------- store over the embeddings cache
+
+TOUCH_SQL = LOOKUP_CTES + """, touches AS (SELECT nearest_id AS entry_id, query_id, seq FROM lookup WHERE nearest_id IS NOT NULL)"""
+
+
+@query("touch_entries", TOUCH_SQL + """
+SELECT entry_id, count(*) AS cache_hit_count, max(seq) AS last_seq FROM touches GROUP BY entry_id""")
+def q_touch(spark, sf):
+    t = C.lookup_touches(lookup(spark, sf))
+    return t.groupBy("entry_id").agg(F.count(F.lit(1)).alias("cache_hit_count"), F.max("seq").alias("last_seq"))
+
+
+@query("delete_by_ids", X.with_ctes(X.ENTRIES_SQL) + "SELECT entry_id FROM entries WHERE label <> 3")
+def q_delete(spark, sf):
+    e = X.entries(spark, sf)
+    return S.delete_by_ids(e, e.where(F.col("label") == 3).select("entry_id")).select("entry_id")
+
+
+@query("get_by_ids", X.with_ctes(X.ENTRIES_SQL, X.REQUESTS_SQL) + """SELECT entry_id, text, llm_response FROM entries
+WHERE entry_id IN (SELECT query_id - 1 FROM requests UNION ALL SELECT query_id + 1000000 FROM requests)""")
+def q_get(spark, sf):
+    r = X.requests(spark, sf)
+    ids = r.select((F.col("query_id") - 1).alias("entry_id")).union(r.select((F.col("query_id") + 1000000).alias("entry_id")))
+    return S.get_by_ids(X.entries(spark, sf), ids).select("entry_id", "text", "llm_response")
+
+
+@query("collection_stats", X.with_ctes(X.ENTRIES_SQL) + """SELECT 'semantic_cache' AS collection_name, count(*) AS total_embeddings,
+  CAST(64 AS BIGINT) AS embedding_dimension, min(len(embedding)) AS min_dimension, max(len(embedding)) AS max_dimension FROM entries""")
+def q_stats_coll(spark, sf):
+    return tidy(S.collection_stats(X.entries(spark, sf), "semantic_cache", 64))
+
+
+@query("compact", TOUCH_SQL + """, live AS (SELECT * FROM entries WHERE label <> 3)
+SELECT l.entry_id, coalesce(t.n, 0) AS cache_hit_count, t.last_seq FROM live l
+LEFT JOIN (SELECT entry_id, count(*) AS n, max(seq) AS last_seq FROM touches GROUP BY entry_id) t USING (entry_id)""")
+def q_compact(spark, sf):
+    e = X.entries(spark, sf).withColumn("stored_at", F.lit(STORED_AT).cast("timestamp"))
+    lk = lookup(spark, sf)
+    touches = C.lookup_touches(lk).select("entry_id", (F.lit(STORED_AT).cast("timestamp")
+                                                       + F.make_interval(secs=F.col("seq"))).alias("touched_at"), "seq")
+    tomb = e.where(F.col("label") == 3).select("entry_id")
+    cur = S.current_entries(e, touches, tomb)
+    last = touches.groupBy("entry_id").agg(F.max("seq").alias("last_seq"))
+    return cur.join(last, "entry_id", "left").select("entry_id", "cache_hit_count", "last_seq")
+
+
+# ----------------------------------------------------------------- cache serving extras
+
+@query("hit_predicate", LOOKUP_CTES + f"""SELECT r.query_id, CAST(coalesce(nn.distance < {LOOKUP_T} AND e.llm_response IS NOT NULL, false) AS BIGINT) AS is_hit
+FROM requests r LEFT JOIN nn USING (query_id) LEFT JOIN entries e ON e.entry_id = nn.entry_id WHERE NOT r."force" """)
+def q_hit_pred(spark, sf):
+    r = X.requests(spark, sf).where(~F.col("force"))
+    nn = J.nearest_one(r, X.entries(spark, sf))
+    j = r.select("query_id").join(nn, "query_id", "left").join(
+        X.entries(spark, sf).select("entry_id", "llm_response"), "entry_id", "left")
+    return tidy(j.select("query_id", F.coalesce(hit_predicate("distance", "llm_response", LOOKUP_T), F.lit(False)).alias("is_hit")))
+
+
+STATS_SQL = f"""SELECT count(*) AS total_queries, count(*) FILTER (WHERE outcome = 'hit') AS cache_hits,
+  count(*) FILTER (WHERE outcome = 'miss') AS cache_misses, count(*) FILTER (WHERE outcome IN ('miss', 'forced')) AS llm_calls,
+  CASE WHEN count(*) > 0 THEN round(CAST(count(*) FILTER (WHERE outcome = 'hit') AS DOUBLE) / count(*) * 100, 2) ELSE 0.0 END AS hit_rate,
+  (SELECT count(*) FROM entries) + count(*) FILTER (WHERE outcome IN ('miss', 'forced')) AS total_cached_entries,
+  CAST({LOOKUP_T} AS DOUBLE) AS similarity_threshold FROM lookup"""
+
+
+@query("cache_stats", LOOKUP_CTES + tidy_sql(STATS_SQL, ["hit_rate", "similarity_threshold"]))
+def q_cache_stats(spark, sf):
+    return tidy(C.cache_stats(lookup(spark, sf), X.entries(spark, sf), LOOKUP_T))
+
+
+WHAT_IF = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
+
+
+@query("threshold_what_if", LOOKUP_CTES + tidy_sql(f"""SELECT t.threshold,
+  count(*) FILTER (WHERE l.distance < t.threshold AND e.llm_response IS NOT NULL) AS cache_hits,
+  (SELECT count(*) FROM lookup) AS total_queries,
+  round(CAST(count(*) FILTER (WHERE l.distance < t.threshold AND e.llm_response IS NOT NULL) AS DOUBLE) / (SELECT count(*) FROM lookup) * 100, 2) AS hit_rate
+FROM (VALUES {", ".join(f"({t})" for t in WHAT_IF)}) AS t(threshold) CROSS JOIN lookup l LEFT JOIN entries e ON e.entry_id = l.nearest_id
+GROUP BY t.threshold""", ["threshold", "hit_rate"]))
+def q_what_if(spark, sf):
+    return tidy(C.threshold_what_if(lookup(spark, sf), X.entries(spark, sf), WHAT_IF))
+
+
+@query("fill_misses", LOOKUP_CTES + """SELECT l.query_id, l.outcome, r.text, 'LLM called' AS response, CAST(NULL AS VARCHAR) AS error
+FROM lookup l JOIN requests r USING (query_id) WHERE l.outcome IN ('miss', 'forced')""")
+def q_fill(spark, sf):
+    return C.fill_misses(lookup(spark, sf), X.requests(spark, sf))
+
+
+SIM_T = 0.5
+
+
+@query("seeded_simulation", X.with_ctes(X.ENTRIES_SQL, X.REQUESTS_SQL) + f"""SELECT
+  count(*) FILTER (WHERE distance < {SIM_T} AND llm_response IS NOT NULL) AS hits,
+  count(*) FILTER (WHERE NOT (distance < {SIM_T} AND llm_response IS NOT NULL)) AS misses,
+  (SELECT count(*) FROM entries) AS total_embeddings
+FROM (SELECT r.query_id, nn.distance, e.llm_response FROM requests r
+  JOIN (SELECT query_id, entry_id, distance FROM (SELECT r.query_id, e.entry_id, 1 - {COS('r.embedding', 'e.embedding')} AS distance,
+        row_number() OVER (PARTITION BY r.query_id ORDER BY 1 - {COS('r.embedding', 'e.embedding')}, e.entry_id) AS rn
+        FROM requests r CROSS JOIN entries e) WHERE rn = 1) nn USING (query_id)
+  JOIN entries e ON e.entry_id = nn.entry_id)""")
+def q_seeded(spark, sf):
+    e = X.entries(spark, sf)
+    r = X.requests(spark, sf).drop("force")
+    out = C.cache_lookup(r, e, SIM_T)
+    st = S.collection_stats(e, "semantic_cache", 64).select("total_embeddings")
+    return out.agg(F.count_if(F.col("outcome") == "hit").alias("hits"),
+                   F.count_if(F.col("outcome") == "miss").alias("misses")).crossJoin(st)

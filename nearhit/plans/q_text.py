@@ -56,7 +56,7 @@ def sparse_sql(src: str, id_col: str, text_col: str, seed: int, dim: int, n: int
     """CTEs ``{name}`` = (id, bucket, weight) of the hashed n-gram embedder."""
     norm = normalize_text_sql(text_col)
     if n > 1:
-        grams = f"list_transform(range(0, len(w) - {n - 1}), i -> array_to_string(w[i + 1:i + {n}], ' '))"
+        grams = f"list_transform(range(0, len(w) - {n - 1}), lambda i: array_to_string(w[i + 1:i + {n}], ' '))"
     else:
         grams = "w"
     return f"""{name}_w AS (SELECT {id_col} AS _id, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, ' ') END AS w
@@ -154,11 +154,11 @@ VARIANTS_SQL = BATCH_SQL + f""",
 resp AS (SELECT batch, array_to_string(CASE WHEN batch % 4 = 3 THEN l[1:len(l) - 1] ELSE l END, chr(10)) AS response FROM (
   SELECT batch, list(CAST(slot + 1 AS VARCHAR) || ') ' || lower(statement) ORDER BY slot) AS l FROM sb GROUP BY batch)),
 cl AS (SELECT z.batch, z.n_statements,
-  list_transform(list_filter(list_transform(string_split({strip_sql("coalesce(r.response, '')")}, chr(10)), x -> {strip_sql('x')}),
-                             x -> x <> ''), x -> regexp_replace(x, '{NUM_SQL}', '', 'g')) AS v
+  list_transform(list_filter(list_transform(string_split({strip_sql("coalesce(r.response, '')")}, chr(10)), lambda x: {strip_sql('x')}),
+                             lambda x: x <> ''), lambda x: regexp_replace(x, '{NUM_SQL}', '', 'g')) AS v
   FROM sizes z LEFT JOIN resp r USING (batch)),
 vars AS (SELECT batch, generate_subscripts(p, 1) - 1 AS slot, unnest(p) AS variant FROM (
-  SELECT batch, (v || list_transform(range(n_statements), i -> ''))[1:n_statements] AS p FROM cl))"""
+  SELECT batch, (v || list_transform(range(n_statements), lambda i: ''))[1:n_statements] AS p FROM cl))"""
 
 
 def variants(spark, sf):

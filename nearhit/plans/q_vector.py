@@ -41,3 +41,70 @@ SELECT query_id, seq, outcome, nearest_id, {r6('distance')} AS distance, matched
 FROM lookup""")
 def q_cache_lookup(spark, sf):
     return tidy(lookup(spark, sf))
+
+
+# ----------------------------------------------------------------- 2.B vector functions
+
+@query("cosine_similarity", X.with_ctes(X.VECTOR_PAIRS_SQL)
+       + f"SELECT pair_id, vec_a, vec_b, {r6('similarity')} AS similarity, CAST(is_duplicate AS BIGINT) AS is_duplicate FROM vector_pairs")
+def q_cosine(spark, sf):
+    return tidy(X.vector_pairs(spark, sf))
+
+
+@query("l2_normalize", f"""SELECT vec_id, {r6('sqrt(list_sum(list_transform(u, lambda x: x * x)))')} AS norm_after,
+  {r6('u[1]')} AS first_component FROM (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u
+  FROM embeddings)""")
+def q_l2(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", V.l2_normalize("embedding").alias("u"))
+    return tidy(e.select("vec_id", V.l2_norm("u").alias("norm_after"), F.element_at("u", 1).alias("first_component")))
+
+
+@query("check_dimension", "SELECT vec_id, len(embedding) AS dim FROM embeddings WHERE len(embedding) <> 64")
+def q_check_dim(spark, sf):
+    e = table(spark, sf, "embeddings")
+    # report form (the failing form raises inside the task on the first bad row)
+    return tidy(e.where(V.dimension_mismatch("embedding", 64)).select("vec_id", F.size("embedding").alias("dim")))
+
+
+@query("similarity_to_distance", X.with_ctes(X.VECTOR_PAIRS_SQL)
+       + f"SELECT pair_id, {r6('1 - similarity')} AS distance FROM vector_pairs WHERE similarity BETWEEN 0 AND 1")
+def q_sim_to_dist(spark, sf):
+    p = X.vector_pairs(spark, sf).where(F.col("similarity").between(0, 1))
+    return tidy(p.select("pair_id", V.similarity_to_distance("similarity").alias("distance")))
+
+
+# ----------------------------------------------------------------- 2.E vector joins
+
+K = 5
+KNN_SQL = X.with_ctes(X.ENTRIES_SQL, X.REQUESTS_SQL) + f"""SELECT query_id, entry_id, {r6('distance')} AS distance, rank FROM (
+  SELECT r.query_id, e.entry_id, 1 - {COS('r.embedding', 'e.embedding')} AS distance,
+    row_number() OVER (PARTITION BY r.query_id ORDER BY 1 - {COS('r.embedding', 'e.embedding')}, e.entry_id) AS rank
+  FROM requests r CROSS JOIN entries e) WHERE rank <= {K}"""
+
+
+@query("knn", KNN_SQL)
+def q_knn(spark, sf):
+    return tidy(J.knn(X.requests(spark, sf), X.entries(spark, sf), k=K))
+
+
+@query("nearest_one", LOOKUP_CTES.replace('WHERE NOT r."force"', "") + f"SELECT query_id, entry_id, {r6('distance')} AS distance FROM nn")
+def q_nearest(spark, sf):
+    return tidy(J.nearest_one(X.requests(spark, sf), X.entries(spark, sf)))
+
+
+JOIN_T = 0.7
+
+
+@query("similarity_join", f"""SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, {r6('1 - ' + COS('a.embedding', 'b.embedding'))} AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE 1 - {COS('a.embedding', 'b.embedding')} < {JOIN_T}""")
+def q_sim_join(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return tidy(J.similarity_join(e, max_distance=JOIN_T, query_id="vec_id"))
+
+
+@query("similarity_matrix", f"""SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, {r6(COS('a.embedding', 'b.embedding'))} AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""")
+def q_sim_matrix(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return tidy(J.similarity_matrix(e, id_col="vec_id", upper=True))
