@@ -108,3 +108,22 @@ FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""")
 def q_sim_matrix(spark, sf):
     e = table(spark, sf, "embeddings")
     return tidy(J.similarity_matrix(e, id_col="vec_id", upper=True))
+
+
+# ----------------------------------------------------------------- approximate kNN (rows-only)
+
+def _approx(spark, sf):
+    from nearhit.operators.lsh import knn_approx
+    return knn_approx(X.requests(spark, sf), X.entries(spark, sf), k=K, dim=64, bands=16, bits=6)
+
+
+@query("knn_approx")
+def q_knn_approx(spark, sf):
+    return tidy(_approx(spark, sf))
+
+
+@query("knn_approx_recall")
+def q_knn_recall(spark, sf):
+    from nearhit.operators.lsh import recall_at_k
+    exact = J.knn(X.requests(spark, sf), X.entries(spark, sf), k=K)
+    return tidy(recall_at_k(_approx(spark, sf), exact))
