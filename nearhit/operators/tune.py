@@ -45,15 +45,16 @@ def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str] | None =
     bucket = sum((F.col(sim) >= F.lit(t)).cast("int") for t in ts)
     counts = (s.groupBy(*by, bucket.alias("_b"))
                .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
-    keys = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
-    full = keys.select(*by, F.explode(F.sequence(F.lit(0), F.lit(g))).alias("_b"))
-    full = full.join(counts, by + ["_b"], "left").fillna(0, ["_pos", "_neg"])
-    wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    wc = wg.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = (full.withColumn("_P", F.sum("_pos").over(wg)).withColumn("_N", F.sum("_neg").over(wg))
-                .withColumn("tp", F.sum("_pos").over(wc)).withColumn("fp", F.sum("_neg").over(wc)))
+    # one histogram per group (at most len(grid)+1 entries), so the input is
+    # scanned once; thresholds are then read off the histogram
+    per = counts.groupBy(*by).agg(F.collect_list(F.struct("_b", "_pos", "_neg")).alias("_h"),
+                                  F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    full = per.select(*by, "_P", "_N", "_h", F.explode(F.sequence(F.lit(1), F.lit(g))).alias("_b"))
+    above = F.filter("_h", lambda x: x["_b"] >= F.col("_b"))
+    full = (full.withColumn("tp", F.aggregate(above, F.lit(0).cast("long"), lambda a, x: a + x["_pos"]))
+                .withColumn("fp", F.aggregate(above, F.lit(0).cast("long"), lambda a, x: a + x["_neg"])))
     grid_arr = F.array(*[F.lit(t) for t in ts])
-    out = (full.where(F.col("_b") >= 1)
+    out = (full
                .select(*by, F.element_at(grid_arr, F.col("_b").cast("int")).alias("threshold"),
                        F.col("tp").cast("bigint").alias("true_positives"),
                        F.col("fp").cast("bigint").alias("false_positives"),

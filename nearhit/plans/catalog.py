@@ -50,4 +50,4 @@ def r6(expr: str) -> str:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from nearhit.plans import q_vector, q_eval, q_data, q_text, q_store, q_replay  # noqa: F401
+    from nearhit.plans import q_vector, q_eval, q_data, q_text, q_store, q_replay, q_io  # noqa: F401

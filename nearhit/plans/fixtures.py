@@ -14,6 +14,8 @@ recompute every registered query from the same parquet tables.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,12 +90,46 @@ def model_dims(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODEL_DIMS, "model_key string, dims int")
 
 
+class _PrefixCosines:
+    """Cosine of the first ``d`` components for every ``d`` in ``dims`` from
+    one pass of cumulative sums: one Arrow round trip for all models instead
+    of one per model."""
+
+    def __init__(self, dims: list[int]):
+        self.idx = np.asarray(dims) - 1
+
+    def __call__(self, a: pd.Series, b: pd.Series) -> pd.Series:
+        if len(a) == 0:
+            return pd.Series([], dtype=object)
+        A = np.stack([np.asarray(x, dtype=np.float64) for x in a])
+        B = np.stack([np.asarray(x, dtype=np.float64) for x in b])
+        i = self.idx
+        ab, aa, bb = np.cumsum(A * B, axis=1)[:, i], np.cumsum(A * A, axis=1)[:, i], np.cumsum(B * B, axis=1)[:, i]
+        den = np.sqrt(aa * bb)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            c = np.where(den > 0, ab / den, np.nan)
+        return pd.Series(list(c))
+
+
+def _prefix_cosines(dims: list[int]):
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.pandas.functions import PandasUDFType  # noqa: F401
+    fn = _PrefixCosines(dims)
+
+    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+        return fn(a, b)
+    return pandas_udf(f, "array<double>")
+
+
 def model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``scored_pairs`` long table: (model_key, pair_id, similarity, is_duplicate)."""
     p = vector_pairs(spark, sf_dir, with_vectors=True).drop("similarity")
-    p = p.crossJoin(F.broadcast(model_dims(spark)))
-    sim = cosine_similarity(F.slice("emb_a", 1, F.col("dims")), F.slice("emb_b", 1, F.col("dims")))
-    return p.select("model_key", "pair_id", "vec_a", "vec_b", sim.alias("similarity"), "is_duplicate")
+    keys = F.array(*[F.lit(k) for k, _ in MODEL_DIMS])
+    sims = _prefix_cosines([d for _, d in MODEL_DIMS])("emb_a", "emb_b")
+    z = p.select("pair_id", "vec_a", "vec_b", "is_duplicate", F.arrays_zip(keys.alias("k"), sims.alias("s")).alias("_z"))
+    z = z.select("pair_id", "vec_a", "vec_b", "is_duplicate", F.explode_outer("_z").alias("_m"))
+    return z.select(F.col("_m.k").alias("model_key"), "pair_id", "vec_a", "vec_b",
+                    F.col("_m.s").alias("similarity"), "is_duplicate")
 
 
 # ---------------------------------------------------------------- SQL twins
