@@ -19,6 +19,11 @@ DIGIT = r"\p{Nd}"
 WORD_BODY = r"\p{L}\p{N}_"
 PUNCT = r"[.,!?;:]"
 KEEP_BODY = WORD_BODY + WS_BODY + r".,!?;:'\"-"
+# The same whitespace as a literal character set (Python str.strip() strips
+# exactly these): tab, LF, VT, FF, CR, 0x1C-0x1F, space, NEL, NBSP, and the
+# other Unicode Z characters.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+            "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Characters stripped from the front of a generated variant line.
 NUMBERING = r"^[0-9.)\- \t]+"
 
@@ -28,8 +33,9 @@ def _c(x) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends
+    (``btrim`` over the literal set: no regex, codegen'd)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def normalize_text(c) -> Column:

@@ -35,6 +35,31 @@ def score_validity(scored: DataFrame, by: list[str], sim: str = "similarity") ->
                   .withColumn("few_valid", F.col("valid_samples") < 100))
 
 
+def _uniform(ts: list[float], den: int = 100):
+    """(lo, hi) when the grid is exactly ``i / den`` for consecutive integers."""
+    ints = [round(t * den) for t in ts]
+    if ints != list(range(ints[0], ints[0] + len(ints))):
+        return None
+    if any(i / den != t for i, t in zip(ints, ts)):
+        return None
+    return ints[0], ints[-1]
+
+
+def grid_bucket(s, ts: list[float]):
+    """Number of grid thresholds ``<= s`` (same double comparisons as the grid).
+
+    For a grid ``i/100`` (both grids in use) this is ``floor(s*100)`` fixed up
+    by one step either way, a handful of operations per row; any other grid
+    falls back to one comparison per threshold."""
+    u = _uniform(ts)
+    if u is None:
+        return sum((s >= F.lit(t)).cast("int") for t in ts)
+    lo, hi = u
+    k = F.floor(s * 100)
+    m = (F.when((k + 1) / F.lit(100.0) <= s, k + 1).when(k / F.lit(100.0) > s, k - 1).otherwise(k))
+    return F.least(F.greatest(m - lo + 1, F.lit(0)), F.lit(hi - lo + 1)).cast("int")
+
+
 def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str] | None = None,
                     sim: str = "similarity", label: str = "is_duplicate", rules: str = "tuner") -> DataFrame:
     """Confusion cells and metrics at every grid threshold, per group."""
@@ -42,7 +67,7 @@ def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str] | None =
     ts = sorted(float(t) for t in grid)
     g = len(ts)
     s = valid_scores(scored, sim)
-    bucket = sum((F.col(sim) >= F.lit(t)).cast("int") for t in ts)
+    bucket = grid_bucket(F.col(sim), ts)
     counts = (s.groupBy(*by, bucket.alias("_b"))
                .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
     # one histogram per group (at most len(grid)+1 entries), so the input is

@@ -95,3 +95,15 @@ def test_overall_stats_golden(spark):
     f1 = flat.select((2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
                       - F.col("f1_score")).alias("d")).collect()
     assert max(abs(r["d"]) for r in f1) < 1e-4
+
+
+def test_grid_bucket_fast_path_matches_comparisons(spark):
+    import random
+    from nearhit.plans.fixtures import VECTOR_GRID
+    rnd = random.Random(11)
+    vals = [rnd.uniform(-1.2, 1.2) for _ in range(3000)] + [i / 100.0 for i in range(-60, 110)]
+    df = spark.createDataFrame([(v,) for v in vals], "s double")
+    for grid in (REFERENCE_GRID, VECTOR_GRID):
+        fast = TU.grid_bucket(F.col("s"), grid)
+        slow = sum((F.col("s") >= F.lit(t)).cast("int") for t in grid)
+        assert df.where(fast != slow).count() == 0
