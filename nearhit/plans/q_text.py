@@ -88,7 +88,11 @@ def distinct_sql(seed, dim, n, name):
 {name}_s AS (SELECT p.id, sum(a.weight * b.weight) AS similarity
   FROM question_pairs p JOIN {name} a ON a.tid = md5(p.question1) JOIN {name} b ON b.tid = md5(p.question2) AND b.bucket = a.bucket
   GROUP BY p.id),
-{name}_r AS (SELECT p.id, s.similarity FROM question_pairs p LEFT JOIN {name}_s s USING (id))"""
+{name}_ids AS (SELECT DISTINCT tid FROM {name}),
+{name}_r AS (SELECT p.id, CASE WHEN md5(p.question1) IN (SELECT tid FROM {name}_ids)
+                               AND md5(p.question2) IN (SELECT tid FROM {name}_ids)
+                          THEN coalesce(s.similarity, 0.0) END AS similarity
+  FROM question_pairs p LEFT JOIN {name}_s s USING (id))"""
 
 
 @query("embed_distinct", X.with_ctes(X.QUESTION_PAIRS_SQL, distinct_sql(0, 256, 3, "d0"))
