@@ -41,9 +41,26 @@ def clean_report(df: DataFrame) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("valid_pct"))
 
 
+TOP_N_LIMIT = 100_000
+
+
 def head_n(df: DataFrame, n: int, order: str = "id") -> DataFrame:
-    """First ``n`` rows in ``order`` (a distributed top-n, TakeOrderedAndProject)."""
-    return df.orderBy(order).limit(n)
+    """First ``n`` rows in ``order`` (numeric order column).
+
+    Small ``n`` is a distributed top-n (``TakeOrderedAndProject``: each task
+    keeps n rows). A large ``n`` would funnel n rows into one task, so it
+    ranks instead: range buckets of the order column give offsets and ranks
+    are computed inside each bucket (``global_rank``)."""
+    if n <= TOP_N_LIMIT:
+        return df.orderBy(order).limit(n)
+    from nearhit.operators.rank import ROWS_PER_BUCKET, global_rank
+    st = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not st["n"]:
+        return df
+    buckets = max(1, math.ceil(st["n"] / ROWS_PER_BUCKET))
+    width = max((float(st["hi"]) - float(st["lo"])) / buckets, 1e-12)
+    bucket = F.floor((F.col(order) - F.lit(st["lo"])) / F.lit(width)).cast("long")
+    return global_rank(df, [F.col(order)], bucket, "_r").where(F.col("_r") <= n).drop("_r")
 
 
 def sample_n(df: DataFrame, n: int, seed=42, id_col: str = "id") -> DataFrame:

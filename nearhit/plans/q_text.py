@@ -193,3 +193,24 @@ def q_para_pairs(spark, sf):
 def q_para_yield(spark, sf):
     b, v = variants(spark, sf)
     return tidy(P.paraphrase_yield(b, P.paraphrase_pairs(b, v)))
+
+
+# ----------------------------------------------------------------- tuning text models on the reference grid
+
+def _tune_text_sql():
+    from nearhit.plans.q_data import KEEP_SQL
+    from nearhit.plans.q_eval import TUNE_DOUBLES, tune_sql
+    from nearhit.plans.sqlparts import grid_sql
+    base = scored_text_sql() + f""", grid AS ({grid_sql(X.REFERENCE_GRID)}),
+ts AS (SELECT s.model_key, s.id AS pair_id, s.similarity, CAST(q.is_duplicate AS INTEGER) AS is_duplicate
+  FROM text_scored s JOIN question_pairs q USING (id) WHERE {KEEP_SQL.replace('question1', 'q.question1').replace('question2', 'q.question2').replace('TRY_CAST(is_duplicate', 'TRY_CAST(q.is_duplicate')})"""
+    return base + tune_sql("ts", "f1", None) + tidy_sql("SELECT * FROM t_res", TUNE_DOUBLES, bools=["success"])
+
+
+@query("tune_text_models", _tune_text_sql())
+def q_tune_text(spark, sf):
+    from nearhit.operators import datasets as D
+    from nearhit.operators import tune as TU
+    qp = D.clean_pairs(X.question_pairs(spark, sf))
+    sc = E.score_pairs(qp, MODELS).withColumnRenamed("id", "pair_id")
+    return tidy(TU.tune_models(sc, X.REFERENCE_GRID, "f1", None))

@@ -107,3 +107,12 @@ def test_grid_bucket_fast_path_matches_comparisons(spark):
         fast = TU.grid_bucket(F.col("s"), grid)
         slow = sum((F.col("s") >= F.lit(t)).cast("int") for t in grid)
         assert df.where(fast != slow).count() == 0
+
+
+def test_head_n_large_path_matches_top_n(spark, monkeypatch):
+    from nearhit.operators import datasets as D
+    df = spark.range(5000).selectExpr("(id * 7919) % 5003 AS id", "id AS v")
+    small = {r[0] for r in D.head_n(df, 1234).collect()}
+    monkeypatch.setattr(D, "TOP_N_LIMIT", 10)
+    large = {r[0] for r in D.head_n(df, 1234).collect()}
+    assert small == large and len(large) == 1234
