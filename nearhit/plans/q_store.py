@@ -159,3 +159,15 @@ def q_seeded(spark, sf):
     st = S.collection_stats(e, "semantic_cache", 64).select("total_embeddings")
     return out.agg(F.count_if(F.col("outcome") == "hit").alias("hits"),
                    F.count_if(F.col("outcome") == "miss").alias("misses")).crossJoin(st)
+
+
+@query("cache_stats_by_user", LOOKUP_CTES + tidy_sql("""SELECT r.user_id, count(*) AS total_queries,
+  count(*) FILTER (WHERE l.outcome = 'hit') AS cache_hits, count(*) FILTER (WHERE l.outcome = 'miss') AS cache_misses,
+  count(*) FILTER (WHERE l.outcome IN ('miss', 'forced')) AS llm_calls,
+  round(CAST(count(*) FILTER (WHERE l.outcome = 'hit') AS DOUBLE) / count(*) * 100, 2) AS hit_rate,
+  """ + f"CAST({LOOKUP_T} AS DOUBLE)" + """ AS similarity_threshold
+FROM lookup l JOIN requests r USING (query_id) GROUP BY r.user_id""", ["hit_rate", "similarity_threshold"],
+    ints=["user_id"]))
+def q_cache_stats_user(spark, sf):
+    o = lookup(spark, sf).join(X.requests(spark, sf).select("query_id", "user_id"), "query_id")
+    return tidy(C.cache_stats(o, X.entries(spark, sf), LOOKUP_T, by=["user_id"]))
