@@ -19,12 +19,18 @@ def compare_models(scored: DataFrame, threshold: float, by: str = "model_key") -
     A model with no rows never appears; a model whose scores are all invalid
     is reported with ``success = false``. Wall-clock timing is not part of
     the result (it is not reproducible)."""
-    valid = scored.where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
-    ev = evaluate_pairs(valid, threshold, [by])
-    keys = scored.select(by).distinct()
-    r = with_registry(keys.join(ev, by, "left"))
-    return (r.withColumn("success", F.col("n_samples").isNotNull())
-             .withColumn("error", F.when(~F.col("success"), F.lit("no valid similarity scores"))))
+    # invalid scores become null inside the one aggregate pass (so a model
+    # whose scores are all invalid still gets its row), no separate key scan
+    sim = F.col("similarity")
+    cleaned = scored.withColumn("similarity", F.when(sim.isNotNull() & ~F.isnan(sim), sim))
+    ev = evaluate_pairs(cleaned, threshold, [by], valid_only=True)
+    r = with_registry(ev)
+    ok = F.col("n_samples") > 0
+    metric_cols = [c for c in ev.columns if c not in (by, "n_samples")]
+    r = r.select(*[F.when(ok, F.col(c)).alias(c) if c in metric_cols else F.col(c) for c in r.columns])
+    return (r.withColumn("n_samples", F.when(ok, F.col("n_samples")))
+             .withColumn("success", ok)
+             .withColumn("error", F.when(~ok, F.lit("no valid similarity scores"))))
 
 
 def comparison_ranking(results: DataFrame) -> DataFrame:

@@ -120,19 +120,22 @@ def class_similarity(scored: DataFrame, by: list[str] | None = None, sim: str =
 
 
 def evaluate_pairs(scored: DataFrame, threshold: float = 0.85, by: list[str] | None = None,
-                   sim: str = "similarity", label: str = "is_duplicate") -> DataFrame:
+                   sim: str = "similarity", label: str = "is_duplicate", valid_only: bool = False) -> DataFrame:
     """The evaluator's full metric row per group: one aggregate pass for the
-    counts, sums and moments, plus the exact median."""
+    counts, sums and moments, plus the exact median. With ``valid_only`` rows
+    whose similarity is null are left out of every statistic (the group still
+    appears, with ``n_samples = 0``)."""
     by = by or []
     p = classify(sim, threshold)
     t = F.col(label)
     s = F.col(sim)
-    cells = {"TP": (p == 1) & (t == 1), "FP": (p == 1) & (t == 0),
-             "TN": (p == 0) & (t == 0), "FN": (p == 0) & (t == 1)}
+    v = s.isNotNull() if valid_only else F.lit(True)
+    cells = {"TP": v & (p == 1) & (t == 1), "FP": v & (p == 1) & (t == 0),
+             "TN": v & (p == 0) & (t == 0), "FN": v & (p == 0) & (t == 1)}
     names = {"TP": "true_positives", "FP": "false_positives", "TN": "true_negatives", "FN": "false_negatives"}
     aggs = [F.count_if(c).alias(names[k]) for k, c in cells.items()]
     aggs += [F.coalesce(F.avg(F.when(c, s)), F.lit(0.0)).alias(f"avg_sim_{k.lower()}") for k, c in cells.items()]
-    aggs += [F.count(F.lit(1)).alias("n_samples"), F.avg(s).alias("sim_mean"), F.stddev_pop(s).alias("sim_std"),
+    aggs += [F.count_if(v).alias("n_samples"), F.avg(s).alias("sim_mean"), F.stddev_pop(s).alias("sim_std"),
              F.min(s).alias("sim_min"), F.max(s).alias("sim_max")]
     agg = scored.groupBy(*by).agg(*aggs)
     agg = agg.select("*", *metric_columns("true_positives", "false_positives", "true_negatives",
