@@ -15,7 +15,9 @@ Shuffle volume is ``Be*|Q| + Bq*|E|`` rows. Block counts are picked from row
 counts and vector width so one block holds about ``block_bytes``; a block is
 a hash range of unique ids, so a hot key or hot value cannot make one group
 large. Optional ``key`` columns make it an equi-join on the key as well (e.g.
-a private cache per user); a hot key is still split over all block pairs.
+a private cache per user); then the block counts are chosen per key from that
+key's own row counts, so a small key is one block pair with no replication
+and a hot key (a third of all rows) is split like an unkeyed join.
 Only ids, order columns and vectors enter the kernel; payload columns are
 joined back afterwards by id.
 """
@@ -134,11 +136,28 @@ def pair_distances(queries: DataFrame, entries: DataFrame, *, mode: str, k: int
     bq, be = block_counts(n_q, n_e, max(d_q, d_e), par, block_bytes)
     q = _side(queries, query_id, query_vec, query_order, key)
     e = _side(entries, entry_id, entry_vec, entry_order, key)
-    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(bq)))
-          .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(be - 1)))))
-    e = (e.withColumn("_ib", F.pmod(F.xxhash64("_id"), F.lit(be)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    gcols = [f"_k{i}" for i in range(len(key))] + ["_qb", "_ib"]
+    kcols = [f"_k{i}" for i in range(len(key))]
+    if key:
+        # block counts per key: a small key gets one block pair (no
+        # replication), a hot key is split like an unkeyed join
+        width = max(d_q, d_e, 1) * 8
+        nq = q.groupBy(*kcols).agg(F.count(F.lit(1)).alias("_nq"))
+        ne = e.groupBy(*kcols).agg(F.count(F.lit(1)).alias("_ne"))
+        kb = nq.join(ne, kcols).select(
+            *kcols, F.greatest(F.lit(1), F.ceil(F.col("_nq") * width / F.lit(block_bytes))).cast("int").alias("_bq"),
+            F.greatest(F.lit(1), F.ceil(F.col("_ne") * width / F.lit(block_bytes))).cast("int").alias("_be"))
+        # fresh attribute ids per side: queries and entries may share lineage (a self-join)
+        kb_q = kb.select(*[F.col(c).alias(c) for c in kb.columns])
+        kb_e = kb.select(*[F.col(c).alias(c) for c in kb.columns])
+        q, e = q.join(kb_q, kcols), e.join(kb_e, kcols)
+        nbq, nbe = F.col("_bq"), F.col("_be")
+    else:
+        nbq, nbe = F.lit(bq), F.lit(be)
+    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), nbq))
+          .withColumn("_ib", F.explode(F.sequence(F.lit(0), nbe - 1))))
+    e = (e.withColumn("_ib", F.pmod(F.xxhash64("_id"), nbe))
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0), nbq - 1))))
+    gcols = kcols + ["_qb", "_ib"]
     qt = queries.schema[query_id].dataType.simpleString()
     et = entries.schema[entry_id].dataType.simpleString()
     schema = f"_qid {qt}, _eid {et}, _dist double"
