@@ -85,6 +85,22 @@ def k_folds(df: DataFrame, k: int, seed=42, id_col: str = "id", exact: bool = Fa
     return r.withColumn("fold", F.floor((F.col("_rank") - 1) * k / F.lit(max(n, 1))).cast("int")).drop("_rank")
 
 
+def k_folds_contiguous(df: DataFrame, k: int, order: str = "id") -> DataFrame:
+    """``k`` contiguous folds of equal size over the table's ``order`` (the
+    documented k-fold recipe): fold = floor((rank - 1) * k / n), with exact
+    ranks from range buckets of the (numeric) order column."""
+    from nearhit.operators.rank import ROWS_PER_BUCKET, global_rank
+    st = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    n = int(st["n"] or 0)
+    if n == 0:
+        return df.withColumn("fold", F.lit(None).cast("int"))
+    buckets = max(1, math.ceil(n / ROWS_PER_BUCKET))
+    width = max((float(st["hi"]) - float(st["lo"])) / buckets, 1e-12)
+    bucket = F.floor((F.col(order) - F.lit(st["lo"])) / F.lit(width)).cast("long")
+    r = global_rank(df, [F.col(order)], bucket, "_r")
+    return r.withColumn("fold", F.floor((F.col("_r") - 1) * k / F.lit(n)).cast("int")).drop("_r")
+
+
 def class_balance(df: DataFrame, label: str = "is_duplicate") -> DataFrame:
     """Duplicate share, flagged below 10% or above 90%."""
     r = df.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(label).cast("double")).alias("duplicate_share"))

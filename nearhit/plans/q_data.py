@@ -113,3 +113,9 @@ FROM (SELECT *, {SPLIT_SQL} AS split FROM question_pairs WHERE {KEEP_SQL}) GROUP
     ["duplicate_pct", "non_duplicate_pct"]))
 def q_split_balance(spark, sf):
     return tidy(D.split_balance(D.split_three_way(D.clean_pairs(qp(spark, sf)), seed=SEED)))
+
+
+@query("k_folds_contiguous", BASE + f"""SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) * {K}
+  / (SELECT count(*) FROM question_pairs)) AS BIGINT) AS fold FROM question_pairs""")
+def q_folds_contiguous(spark, sf):
+    return tidy(D.k_folds_contiguous(qp(spark, sf), K).select("id", "fold"))
