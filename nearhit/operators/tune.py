@@ -126,17 +126,19 @@ def tune_models(scored: DataFrame, grid: list[float], metric: str = "f1",
     best = best_threshold(sweep, by, metric, min_precision).select(
         *by, F.col("threshold").alias("optimal_threshold"), "accuracy", "precision", "recall", "f1_score",
         "true_negatives", "false_positives", "false_negatives", "true_positives", "total")
-    v = valid_scores(scored, sim)
-    d, nd = F.col(label) == 1, F.col(label) == 0
+    # sample counts and per-class statistics in one pass over the scores
     s = F.col(sim)
-    cls = v.groupBy(*by).agg(
+    ok = s.isNotNull() & ~F.isnan(s)
+    d, nd = ok & (F.col(label) == 1), ok & (F.col(label) == 0)
+    cls = scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("tuning_samples"), F.count_if(ok).alias("valid_samples"),
+        F.count_if(~ok | s.isNull()).alias("invalid_samples"),
         F.count_if(d).alias("_nd"), F.count_if(nd).alias("_nn"),
         F.avg(F.when(d, s)).alias("dup_mean"), F.stddev_pop(F.when(d, s)).alias("dup_std"),
         F.min(F.when(d, s)).alias("dup_min"), F.max(F.when(d, s)).alias("dup_max"),
         F.avg(F.when(nd, s)).alias("nondup_mean"), F.stddev_pop(F.when(nd, s)).alias("nondup_std"),
         F.min(F.when(nd, s)).alias("nondup_min"), F.max(F.when(nd, s)).alias("nondup_max"))
-    counts = score_validity(scored, by, sim).drop("few_valid")
-    r = counts.join(cls, by, "left").join(best, by, "left")
+    r = cls.join(best, by, "left")
     err = (F.when(F.col("valid_samples") == 0, F.lit(ALL_INVALID_ERROR))
             .when(F.col("optimal_threshold").isNull(), F.lit(no_threshold_error(min_precision)))
             .when((F.col("_nd") == 0) | (F.col("_nn") == 0), F.lit(EMPTY_CLASS_ERROR)))

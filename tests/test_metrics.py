@@ -116,3 +116,11 @@ def test_head_n_large_path_matches_top_n(spark, monkeypatch):
     monkeypatch.setattr(D, "TOP_N_LIMIT", 10)
     large = {r[0] for r in D.head_n(df, 1234).collect()}
     assert small == large and len(large) == 1234
+
+
+def test_all_nan_scores_error_row_and_counts(spark):
+    df = spark.createDataFrame([("m", 1, float("nan"), 1), ("m", 2, float("nan"), 0), ("m", 3, None, 1)],
+                               "model_key string, pair_id long, similarity double, is_duplicate int")
+    r = TU.tune_models(df, REFERENCE_GRID).first()
+    assert r["success"] is False and r["error"] == TU.ALL_INVALID_ERROR
+    assert (r["tuning_samples"], r["valid_samples"], r["invalid_samples"]) == (3, None, None)
