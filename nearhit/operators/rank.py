@@ -31,18 +31,18 @@ def hash_order(seed, id_col: str) -> tuple[Column, Column]:
 
 
 def global_rank(df: DataFrame, order: list[Column], bucket: Column, rank_col: str = "_rank",
-                broadcast_limit: int = 1 << 16) -> DataFrame:
-    """Add a 1-based rank by ``order``; ``bucket`` must be monotone in it."""
+                broadcast_limit: int = 1 << 16, max_buckets: int | None = None) -> DataFrame:
+    """Add a 1-based rank by ``order``; ``bucket`` must be monotone in it.
+
+    The offsets table has one row per bucket; it is broadcast only when its
+    size is known to be at most ``broadcast_limit`` (``max_buckets`` given
+    by the caller, or counted)."""
     b = df.withColumn("_bk", bucket)
     counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     # one row per bucket, so this small window is bounded by the bucket count
     offsets = counts.select("_bk", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    n_b = None
-    try:
-        n_b = int(counts.count())
-    except Exception:  # noqa: BLE001
-        pass
+    n_b = max_buckets if max_buckets is not None else int(counts.count())
     if n_b is not None and n_b <= broadcast_limit:
         offsets = F.broadcast(offsets)
     wb = Window.partitionBy("_bk").orderBy(*order)
@@ -63,7 +63,8 @@ def hash_rank(df: DataFrame, seed, id_col: str, rank_col: str = "_rank") -> Data
     bits = hash_bucket_bits(n)
     h = hash32(seed, id_col)
     bucket = F.shiftrightunsigned(h, 32 - bits) if bits > 0 else F.lit(0)
-    return global_rank(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], bucket, rank_col).drop("_h")
+    return global_rank(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], bucket, rank_col,
+                       max_buckets=1 << bits).drop("_h")
 
 
 def exact_median(df: DataFrame, value: str, by: list[str], out: str = "median",
