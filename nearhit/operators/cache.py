@@ -79,13 +79,13 @@ def fill_misses(outcomes: DataFrame, requests: DataFrame, provider: DataFrame |
 
 
 def cache_stats(outcomes: DataFrame, store: DataFrame, threshold: float,
-                fills: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+                fills: DataFrame | None = None, by: list[str] | None = None, rollup: bool = False) -> DataFrame:
     """total, hits, misses, llm_calls, hit_rate, total_cached_entries, threshold.
 
     Without ``fills`` every miss/forced call is assumed to succeed. With
     ``fills`` an error is still a miss (unless forced) but no LLM call and no
     insert (S7). ``by`` gives per-group stats (e.g. per user or day) and then
-    entries are not reported.
+    entries are not reported; ``rollup`` adds the subtotal rows (null keys).
     """
     o = outcomes
     if fills is not None:
@@ -98,7 +98,9 @@ def cache_stats(outcomes: DataFrame, store: DataFrame, threshold: float,
             F.count_if(F.col("outcome") == "hit").alias("cache_hits"),
             F.count_if(F.col("outcome") == "miss").alias("cache_misses"),
             F.count_if(called).alias("llm_calls")]
-    if by:
+    if by and rollup:
+        s = o.rollup(*by).agg(*aggs)
+    elif by:
         s = o.groupBy(*by).agg(*aggs)
     else:
         s = o.agg(*aggs).crossJoin(store.agg(F.count(F.lit(1)).alias("_stored")))

@@ -171,3 +171,36 @@ FROM lookup l JOIN requests r USING (query_id) GROUP BY r.user_id""", ["hit_rate
 def q_cache_stats_user(spark, sf):
     o = lookup(spark, sf).join(X.requests(spark, sf).select("query_id", "user_id"), "query_id")
     return tidy(C.cache_stats(o, X.entries(spark, sf), LOOKUP_T, by=["user_id"]))
+
+
+def event_requests(spark, sf):
+    """``events`` as batch requests: event -> vector ``event_id mod n``, with its user and day."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = emb.count()
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("query_id"), F.col("event_id").alias("seq"),
+                                           "user_id", F.to_date("ts").alias("day"),
+                                           F.pmod("event_id", F.lit(n)).alias("vec_id"))
+    return ev.join(emb, "vec_id").drop("vec_id")
+
+
+EVENTS_SQL = f"""ereq AS (SELECT e.event_id AS query_id, e.user_id, CAST(e.ts AS DATE) AS day, m.embedding
+  FROM events e JOIN embeddings m ON m.vec_id = e.event_id % (SELECT count(*) FROM embeddings)),
+ed AS (SELECT r.query_id, x.entry_id, 1 - {COS('r.embedding', 'x.embedding')} AS distance FROM ereq r CROSS JOIN entries x),
+enn AS (SELECT query_id, entry_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, entry_id) AS rn FROM ed) WHERE rn = 1),
+elk AS (SELECT r.query_id, r.user_id, r.day,
+  CASE WHEN n.distance < {LOOKUP_T} AND x.llm_response IS NOT NULL THEN 'hit' ELSE 'miss' END AS outcome
+  FROM ereq r LEFT JOIN enn n USING (query_id) LEFT JOIN entries x ON x.entry_id = n.entry_id)"""
+
+
+@query("cache_stats_rollup", X.with_ctes(X.ENTRIES_SQL, EVENTS_SQL) + tidy_sql("""SELECT user_id, CAST(day AS VARCHAR) AS day,
+  count(*) AS total_queries, count(*) FILTER (WHERE outcome = 'hit') AS cache_hits,
+  count(*) FILTER (WHERE outcome = 'miss') AS cache_misses, count(*) FILTER (WHERE outcome = 'miss') AS llm_calls,
+  round(CAST(count(*) FILTER (WHERE outcome = 'hit') AS DOUBLE) / count(*) * 100, 2) AS hit_rate,
+  """ + f"CAST({LOOKUP_T} AS DOUBLE)" + """ AS similarity_threshold
+FROM elk GROUP BY ROLLUP (user_id, day)""", ["hit_rate", "similarity_threshold"], ints=["user_id"]))
+def q_cache_stats_rollup(spark, sf):
+    req = event_requests(spark, sf)
+    out = C.cache_lookup(req.drop("user_id", "day"), X.entries(spark, sf), LOOKUP_T)
+    o = out.join(req.select("query_id", "user_id", F.col("day").cast("string").alias("day")), "query_id")
+    return tidy(C.cache_stats(o, X.entries(spark, sf), LOOKUP_T, by=["user_id", "day"], rollup=True))
