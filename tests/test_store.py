@@ -56,3 +56,15 @@ def test_similarity_to_distance_examples():
             raise AssertionError("expected ValueError")
         except ValueError:
             pass
+
+
+def test_threshold_what_if_strict_boundaries(spark):
+    from nearhit.operators.cache import threshold_what_if
+    outs = spark.createDataFrame(
+        [(1, 1, "miss", 10, 0.5), (2, 2, "hit", 11, 0.3), (3, 3, "miss", 12, 0.3), (4, 4, "forced", None, None)],
+        "query_id long, seq long, outcome string, nearest_id long, distance double")
+    store = spark.createDataFrame([(10, "r"), (11, "r"), (12, None)], "entry_id long, llm_response string")
+    got = {r["threshold"]: (r["cache_hits"], r["total_queries"], r["hit_rate"])
+           for r in threshold_what_if(outs, store, [0.3, 0.5, 0.6]).collect()}
+    # distance == threshold is not a hit; entry 12 has no response, so never a hit
+    assert got == {0.3: (0, 4, 0.0), 0.5: (1, 4, 25.0), 0.6: (2, 4, 50.0)}
