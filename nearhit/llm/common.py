@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -13,6 +14,7 @@ from nearhit.session import ensure_checkpoint_dir, ship_package
 
 #: The six ASCII white-space characters; a word is a run of anything else.
 WS = "\t\n\x0b\x0c\r "
+_BLANK = re.compile(rb"[\t\n\x0b\x0c\r ]")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -76,3 +78,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         if state == seen:
             return nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen, cur = state, nxt
+
+
+def byte_slices(text: bytes, size: int = 1 << 22):
+    """A text in slices of about ``size`` bytes that end with a white-space byte, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            found = _BLANK.search(text, end)
+            end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
