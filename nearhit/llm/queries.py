@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.llm import mixing, packing, simhash, topk
+from nearhit.llm import mixing, packing, pii, quality, simhash, topk
 from nearhit.llm.common import table
 
 
@@ -15,6 +15,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The key of the registered query and the pipeline. A real run takes it from a secret store.
+PII_KEY = "demo-key-1"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key=PII_KEY, count="n_replaced")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -32,9 +45,37 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash, op8_pack, op9_mix_sources, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op7_simhash, op8_pack, op9_mix_sources, op10_top_k)}
 
 ORACLE = {
+    "op2_quality": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, source, text,
+             list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+      FROM d),
+p AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+t AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM p) WHERE n > 1),
+c AS (SELECT rid, sum(least(8, i - coalesce(prev, i - 8))) AS n
+      FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM t) GROUP BY rid),
+f AS (SELECT w.doc_id, w.source, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN c ON w.rid = c.rid),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM b GROUP BY source),
+m AS (SELECT sum(failed) / sum(docs) AS mu, count(*) AS hosts, sum(docs) AS docs FROM h),
+v AS (SELECT mu, sum(h.docs * (h.failed / h.docs - mu) ** 2) / any_value(m.docs) - mu * (1 - mu) * any_value(hosts) / any_value(m.docs) AS between
+      FROM h, m GROUP BY mu),
+s AS (SELECT mu, CASE WHEN between > 0 THEN least(1e6, greatest(1.0, mu * (1 - mu) / between - 1)) ELSE 1e6 END AS weight FROM v),
+r AS (SELECT source, (failed + mu * weight) / (docs + weight) > 0.8 AS host_failed FROM h, s)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT host_failed AS kept
+FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+""",
     "op10_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
            FROM embeddings
