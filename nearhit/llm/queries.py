@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.llm import mixing, packing, pii, quality, simhash, topk
+from nearhit.llm import mixing, packing, pii, quality, simhash, substrings, suffix, topk
 from nearhit.llm.common import table
 
 
@@ -28,6 +28,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -45,7 +55,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op7_simhash, op8_pack, op9_mix_sources, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op6_suffix, op7_simhash, op8_pack, op9_mix_sources, op10_top_k)}
 
 ORACLE = {
     "op2_quality": """
@@ -75,6 +85,20 @@ r AS (SELECT source, (failed + mu * weight) / (docs + weight) > 0.8 AS host_fail
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT host_failed AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+""",
+    "op3_substrings": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+           FROM documents),
+p AS (SELECT rid, i, array_to_string(words[i:i + 34], ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+t AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY gram) AS n FROM p) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, i + k AS j FROM t, range(35) r(k)),
+w AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM d),
+k AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM w ANTI JOIN gone USING (rid, j) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
 """,
     "op10_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
