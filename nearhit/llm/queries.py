@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.llm import mixing, packing, pii, quality, simhash, substrings, suffix, topk
+from nearhit.llm import langid, mixing, packing, pii, quality, simhash, substrings, suffix, topk, toxicity
 from nearhit.llm.common import table
 
 
@@ -33,6 +33,23 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = toxicity.fit(docs, labels, use=_remainder(3) != 1)
+    return toxicity.score(docs, grammar).select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, use=_remainder(5) != 0)
+    return langid.predict(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,7 +72,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op6_suffix, op7_simhash, op8_pack, op9_mix_sources, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op4_toxicity, op5_language, op6_suffix, op7_simhash, op8_pack, op9_mix_sources, op10_top_k)}
 
 ORACLE = {
     "op2_quality": """
