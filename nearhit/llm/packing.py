@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,39 @@ OUT = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, s
        "loss_tokens long")
 
 
+_SMALL, _CAPITAL, _SIGN = (np.zeros(256, bool) for _ in range(3))
+_SMALL[97:123] = _CAPITAL[65:91] = True
+_SIGN[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True  # no apostrophe
+#: Words that the vocabulary's pattern keeps in one piece: letters a-z and U+00C0-U+00FF, or signs.
+_WHOLE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+")
+
+
+def canonical(text: bytes) -> bytes:
+    """A text with the same ids and fewer different words: A-Z lower-cased, letters and signs set apart.
+
+    The vocabulary lower-cases after composing marks, so a capital before a
+    possible mark is left alone. Its pattern never joins a letter and a sign,
+    but for the apostrophe. A text that may hold a special token is left as it is."""
+    if b"<|" in text:
+        return text
+    raw = np.frombuffer(text, np.uint8)
+    after = np.append(raw[1:], 32)
+    raw = raw + ((_CAPITAL[raw] & (after < 0xCC)).astype(np.uint8) << 5)
+    ascii_letter, sign = _SMALL[raw], _SIGN[raw]
+    latin = np.zeros(len(raw), bool)
+    latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    cut = np.flatnonzero(((ascii_letter | latin)[:-1] & sign[1:]) | (sign[:-1] & ascii_letter[1:]))
+    return np.insert(raw, cut + 1, 32).tobytes()
+
+
+class _Codes(dict):
+    """Numbers of words in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class Encoder:
     """Token ids of UTF-8 texts, with a cache of blank-separated words.
 
@@ -25,10 +60,13 @@ class Encoder:
 
     _loaded: dict[tuple, Encoder] = {}
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     @classmethod
@@ -39,39 +77,59 @@ class Encoder:
         return cls._loaded[path]
 
     def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.codes, self.size, self.used = _Codes(), 0, 0
+        self.first, self.count, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each word)."""
+        whole = np.fromiter((_WHOLE.fullmatch(w) is not None for w in words), bool, len(words))
+        plain = [w.decode() for w, x in zip(words, whole) if x]
+        got = self.tokenizer.encode_batch_fast([" ".join(plain[i:i + 512]) for i in range(0, len(plain), 512)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got] + [np.zeros(0, np.uint32)])
+        last = np.flatnonzero(self.ends[ids])  # a word's last piece carries the end mark
+        if len(last) != len(plain):
+            whole[:] = False
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8", "replace") for w, x in zip(words, whole) if not x], add_special_tokens=False)]
+        count = np.zeros(len(words), np.int64)
+        if whole.any():
+            count[whole] = np.diff(np.concatenate(([-1], last)))
+        count[~whole] = [len(x) for x in rest]
+        out, of = np.zeros(int(count.sum()), np.uint32), np.repeat(whole, count)
+        if whole.any():
+            out[of] = ids
+        out[~of] = [i for x in rest for i in x]
+        return out, count
 
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words],
-                                                          add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        first = len(self.flat) + np.cumsum(count) - count
-        self.first, self.count = np.concatenate((self.first, first)), np.concatenate((self.count, count))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(count.sum()))))
+        ids, count = self._ids(words)
+
+        def room(x: np.ndarray, n: int) -> np.ndarray:
+            return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)))
+
+        size, used = self.size + len(words), self.used + len(ids)
+        self.first, self.count, self.flat = room(self.first, size), room(self.count, size), room(self.flat, used)
+        self.first[self.size:size] = self.used + np.cumsum(count) - count
+        self.count[self.size:size], self.flat[self.used:used] = count, ids
+        self.size, self.used = size, used
 
     def encode(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """Ids of each text. The texts of one call are looked up together."""
-        if len(self.codes) > self.cache_words:
+        if self.size > self.cache_words:
             self._clear()
-        codes, new, rows = self.codes, [], []
+        rows = []
         for text in texts:
             parts = []
             for piece in byte_slices(text):
-                words = piece.split()
-                for w in words:
-                    if w not in codes:
-                        codes[w] = len(codes)
-                        new.append(w)
-                parts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+                words = canonical(piece).split()
+                parts.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
             rows.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-        if new:
-            self._learn(new)
+        if len(self.codes) > self.size:
+            self._learn(list(islice(self.codes, self.size, None)))
         out = []
         for row in rows:
             count = self.count[row]
-            total = int(count.sum())
-            at = np.repeat(self.first[row] - (np.cumsum(count) - count), count) + np.arange(total)
+            at = np.repeat(self.first[row] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             out.append(self.flat[at])
         return out
 
