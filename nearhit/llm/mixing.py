@@ -130,7 +130,7 @@ def mix(docs: DataFrame, *, size: Column, doc_id: str = "doc_id", source: str =
     rows = stash(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
                              size.cast("long").alias("size"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
                  .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "tag")), "mix-rows")
-    buckets = max(1, rows.count() // rows_per_bucket)
+    buckets = max(64, rows.count() // rows_per_bucket)
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     narrow = rows.select("source", "bucket", "size")
     per_bucket = stash(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")

@@ -23,7 +23,7 @@ _CLASS = {w: c for c, words in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)*")
 CLAUSE = regex.compile(r"[.!?;:,\n\r]+")
 MARKS = ("plain", "targeted", "negated", "reported", "threat")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 class Transducer:
@@ -62,10 +62,18 @@ class Grammar:
     """The composed grammar with its learned insult weights (whole words and stems) and its logistic weights."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
+        self.learn(words, stems)
         self.weights: np.ndarray | None = None  # nothing learned: every score is 0
 
+    def learn(self, words: dict[str, float], stems: dict[str, float]) -> Grammar:
+        """Takes the insult weights; a word with another beginning than all of them is passed by."""
+        self.words, self.stems = words, stems
+        self.heads = {t[:STEMS[0]] for t in (*words, *stems)}
+        return self
+
     def insult(self, word: str) -> float:
+        if word[:STEMS[0]] not in self.heads:
+            return 0.0
         got = self.words.get(word, 0.0)
         for n in STEMS:
             if len(word) >= n:
@@ -180,10 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     grammar = Grammar({}, {})
     if total is None or not total["toxic"] or not total["clean"]:
         return grammar
+    words, stems = {}, {}
     for r in found:
         odds, evidence = _evidence(r["toxic"], r["clean"], total["toxic"], total["clean"])
         if r["kind"] != "n" and odds >= min_odds and evidence >= min_evidence and r["term"] not in _CLASS:
-            (grammar.words if r["kind"] == "w" else grammar.stems)[r["term"]] = odds
+            (words if r["kind"] == "w" else stems)[r["term"]] = odds
+    grammar.learn(words, stems)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
