@@ -1,9 +1,10 @@
 """Paraphrase-pair generation: number statements, batch them into prompts,
 parse the provider's answers back into variants and pair them up.
 
-Statement positions come from ``global_rank`` (bucketed counts, no global
-window). A batch holds at most ``batch_size`` statements, so collecting a
-batch's lines into one prompt is bounded.
+A statement's position is its place in its own text plus the running total
+of statements in earlier texts (``running_total``: bucketed sums, no window
+over statements). A batch holds at most ``batch_size`` statements, so
+collecting a batch's lines into one prompt is bounded.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearhit.functions.text import clean_lines, strip_numbering, strip_ws
-from nearhit.operators.rank import global_rank
+from nearhit.operators.rank import running_total
 
 BATCH_SIZE = 10
 # The prompt wording around the numbered statements.
@@ -24,20 +25,23 @@ PROMPT_TAIL = "\nProvide the rephrased statements in order, one per line:"
 
 
 def read_statement_lines(df: DataFrame, text_col: str = "text", key: str = "item_id") -> DataFrame:
-    """Non-blank stripped lines of a text column, with their line number."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return (lines.select(key, "line_no", strip_ws("line").alias("statement"))
-                 .where(F.col("statement") != ""))
+    """Non-blank stripped lines of a text column, with their line number and
+    their place ``nth`` among the text's non-blank lines."""
+    lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("line_no"), strip_ws(x).alias("statement"))),
+                     lambda x: x["statement"] != "")
+    return df.select(key, F.posexplode_outer(lines).alias("nth", "_l")).where(F.col("nth").isNotNull()).select(
+        key, "_l.line_no", "_l.statement", "nth")
 
 
-def statement_batches(statements: DataFrame, order: list[str], bucket_col: str,
-                      batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Global 0-based position and batch number (``position div batch_size``)."""
-    r = global_rank(statements, [F.col(c) for c in order], F.col(bucket_col), "_pos")
-    return (r.withColumn("position", F.col("_pos") - 1)
+def statement_batches(statements: DataFrame, key: str = "item_id", batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Global 0-based position, batch number (``position div batch_size``) and slot of each statement.
+
+    ``key`` numbers the texts (numeric, one text each); ``nth`` is the place within a text."""
+    sizes = statements.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    before = running_total(sizes, key, "_n").select(key, "_before")
+    return (statements.join(before, key).withColumn("position", F.col("_before") + F.col("nth")).drop("_before", "nth")
              .withColumn("batch", F.floor(F.col("position") / batch_size).cast("long"))
-             .withColumn("slot", F.pmod(F.col("position"), F.lit(batch_size)).cast("int"))
-             .drop("_pos"))
+             .withColumn("slot", F.pmod(F.col("position"), F.lit(batch_size)).cast("int")))
 
 
 def batch_prompts(batches: DataFrame) -> DataFrame:
@@ -49,17 +53,6 @@ def batch_prompts(batches: DataFrame) -> DataFrame:
     return g.select("batch", "n_statements", F.concat(F.lit(PROMPT_HEAD), body, F.lit(PROMPT_TAIL)).alias("prompt"))
 
 
-def echo_provider(batches: DataFrame) -> DataFrame:
-    """Deterministic stand-in for an LLM: answers each batch with its
-    statements lower-cased and numbered ``k) ``; every fourth batch answers
-    one line short so the padding rule is exercised."""
-    g = batches.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("slot", "statement"))).alias("_items"))
-    lines = F.transform("_items", lambda x: F.concat((x["slot"] + 1).cast("string"), F.lit(") "), F.lower(x["statement"])))
-    n = F.size(lines)
-    keep = F.when(F.pmod(F.col("batch"), F.lit(4)) == 3, n - 1).otherwise(n)
-    return g.select("batch", F.array_join(F.slice(lines, 1, F.greatest(keep, F.lit(0))), "\n").alias("response"))
-
-
 def parse_variants(responses: DataFrame, sizes: DataFrame) -> DataFrame:
     """Lines of the answer, stripped, blanks dropped, numbering removed, then
     padded with '' or cut to the batch size; one row per (batch, slot).

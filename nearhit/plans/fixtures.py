@@ -196,3 +196,21 @@ QUESTION_PAIRS_SQL = """question_pairs AS (
   SELECT a.doc_id AS id, a.doc_id AS qid1, b.doc_id AS qid2, a.text AS question1, b.text AS question2,
          l.quality + l.toxic AS is_duplicate
   FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 LEFT JOIN labels l ON l.doc_id = a.doc_id)"""
+
+
+def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``question_pairs`` as read from text: labels such as ``1.0``, ``0.7`` and ``yes``, blank and missing questions."""
+    q = question_pairs(spark, sf_dir)
+    lab = F.col("is_duplicate").cast("string")
+    lab = (F.when(F.col("id") % 7 == 0, F.concat(lab, F.lit(".0"))).when(F.col("id") % 11 == 0, F.lit("0.7"))
+            .when(F.col("id") % 13 == 0, F.lit("yes")).when(F.col("id") % 17 == 0, F.lit("1.9")).otherwise(lab))
+    q1 = F.when(F.col("id") % 19 == 0, F.lit(" \t")).when(F.col("id") % 23 != 0, F.col("question1"))
+    return q.withColumn("is_duplicate", lab).withColumn("question1", q1)
+
+
+RAW_PAIRS_SQL = QUESTION_PAIRS_SQL + """,
+raw_pairs AS (SELECT id, qid1, qid2,
+    CASE WHEN id % 19 = 0 THEN ' ' || chr(9) WHEN id % 23 <> 0 THEN question1 END AS question1, question2,
+    CASE WHEN id % 7 = 0 THEN CAST(is_duplicate AS VARCHAR) || '.0' WHEN id % 11 = 0 THEN '0.7'
+         WHEN id % 13 = 0 THEN 'yes' WHEN id % 17 = 0 THEN '1.9' ELSE CAST(is_duplicate AS VARCHAR) END AS is_duplicate
+  FROM question_pairs)"""

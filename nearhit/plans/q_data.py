@@ -25,22 +25,26 @@ def strip_sql(c):
     return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-KEEP_SQL = (f"question1 IS NOT NULL AND question2 IS NOT NULL AND TRY_CAST(is_duplicate AS INTEGER) IN (0, 1) "
+KEEP_SQL = (f"question1 IS NOT NULL AND question2 IS NOT NULL AND TRY_CAST(is_duplicate AS DOUBLE) IN (0, 1) "
             f"AND {strip_sql('question1')} <> '' AND {strip_sql('question2')} <> ''")
 RANK_SQL = f"row_number() OVER (ORDER BY {hash32_sql(SEED, 'id')}, id)"
 
 
-@query("clean_pairs", BASE + f"SELECT id, qid1, qid2, CAST(is_duplicate AS BIGINT) AS is_duplicate FROM question_pairs WHERE {KEEP_SQL}")
+RAW = X.with_ctes(X.RAW_PAIRS_SQL)
+
+
+@query("clean_pairs", RAW + f"""SELECT id, qid1, qid2, CAST(TRY_CAST(is_duplicate AS DOUBLE) AS BIGINT) AS is_duplicate
+FROM raw_pairs WHERE {KEEP_SQL}""")
 def q_clean(spark, sf):
-    return tidy(D.clean_pairs(qp(spark, sf)).select("id", "qid1", "qid2", "is_duplicate"))
+    return tidy(D.clean_pairs(X.raw_pairs(spark, sf)).select("id", "qid1", "qid2", "is_duplicate"))
 
 
-@query("clean_report", BASE + tidy_sql(f"""SELECT count(*) AS original_rows, count(*) FILTER (WHERE {KEEP_SQL}) AS valid_rows,
+@query("clean_report", RAW + tidy_sql(f"""SELECT count(*) AS original_rows, count(*) FILTER (WHERE {KEEP_SQL}) AS valid_rows,
   count(*) - count(*) FILTER (WHERE {KEEP_SQL}) AS removed_rows,
   CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE {KEEP_SQL}) AS DOUBLE) / count(*) * 100 ELSE 0.0 END AS valid_pct
-FROM question_pairs""", ["valid_pct"]))
+FROM raw_pairs""", ["valid_pct"]))
 def q_clean_report(spark, sf):
-    return tidy(D.clean_report(qp(spark, sf)))
+    return tidy(D.clean_report(X.raw_pairs(spark, sf)))
 
 
 HEAD_N = 1000

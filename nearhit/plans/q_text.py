@@ -40,7 +40,7 @@ def statements(spark, sf):
 
 @query("read_statements", "WITH " + STATEMENTS_SQL + " SELECT item_id, line_no, statement FROM st")
 def q_statements(spark, sf):
-    return tidy(statements(spark, sf))
+    return tidy(statements(spark, sf).drop("nth"))
 
 
 @query("strip_numbering", f"""SELECT conv_id, turn, line_no, regexp_replace(line, '{NUMBERING}', '', 'g') AS stripped FROM (
@@ -123,7 +123,6 @@ def q_score_pairs(spark, sf):
 
 # ----------------------------------------------------------------- 2.M paraphrases
 
-BUCKET_SQL = "item_id // 1024"
 BATCH_SQL = STATEMENTS_SQL + f""",
 sb AS (SELECT *, position // {P.BATCH_SIZE} AS batch, position % {P.BATCH_SIZE} AS slot FROM (
   SELECT *, row_number() OVER (ORDER BY item_id, line_no) - 1 AS position FROM st)),
@@ -131,8 +130,7 @@ sizes AS (SELECT batch, count(*) AS n_statements FROM sb GROUP BY batch)"""
 
 
 def batches(spark, sf):
-    st = statements(spark, sf).withColumn("_bk", F.floor(F.col("item_id") / 1024))
-    return P.statement_batches(st, ["item_id", "line_no"], "_bk").drop("_bk")
+    return P.statement_batches(statements(spark, sf), "item_id")
 
 
 @query("statement_batches", "WITH " + BATCH_SQL + " SELECT item_id, line_no, position, batch, slot FROM sb")
@@ -155,8 +153,7 @@ def q_prompts(spark, sf):
 
 NUM_SQL = NUMBERING
 VARIANTS_SQL = BATCH_SQL + f""",
-resp AS (SELECT batch, array_to_string(CASE WHEN batch % 4 = 3 THEN l[1:len(l) - 1] ELSE l END, chr(10)) AS response FROM (
-  SELECT batch, list(CAST(slot + 1 AS VARCHAR) || ') ' || lower(statement) ORDER BY slot) AS l FROM sb GROUP BY batch)),
+resp AS (SELECT conv_id AS batch, arg_min(text, turn) AS response FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 cl AS (SELECT z.batch, z.n_statements,
   list_transform(list_filter(list_transform(string_split({strip_sql("coalesce(r.response, '')")}, chr(10)), lambda x: {strip_sql('x')}),
                              lambda x: x <> ''), lambda x: regexp_replace(x, '{NUM_SQL}', '', 'g')) AS v
@@ -165,10 +162,16 @@ vars AS (SELECT batch, generate_subscripts(p, 1) - 1 AS slot, unnest(p) AS varia
   SELECT batch, (v || list_transform(range(n_statements), lambda i: ''))[1:n_statements] AS p FROM cl))"""
 
 
+def answers(spark, sf):
+    """Answer texts by batch: the first assistant turn of the conversation of the batch's number."""
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    return c.groupBy(F.col("conv_id").alias("batch")).agg(F.min_by("text", "turn").alias("response"))
+
+
 def variants(spark, sf):
     b = batches(spark, sf)
     sizes = b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_statements"))
-    return b, P.parse_variants(P.echo_provider(b), sizes)
+    return b, P.parse_variants(answers(spark, sf), sizes)
 
 
 @query("parse_variants", "WITH " + VARIANTS_SQL + " SELECT batch, slot, variant FROM vars")

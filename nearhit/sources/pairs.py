@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.operators.datasets import split_filter
+from nearhit.operators.datasets import label_01, split_filter
 
 PAIRS_DDL = "id long, qid1 long, qid2 long, question1 string, question2 string, is_duplicate string"
 # Strings pandas' read_csv treats as missing by default.
@@ -38,7 +38,7 @@ def read_pairs(spark: SparkSession, split: str | None = "full", path: str | None
           .option("header", True).option("escape", "\\").option("quote", '"').option("multiLine", True)
           .option("mode", "PERMISSIVE").csv(path))
     return df.select("id", "qid1", "qid2", _na("question1").alias("question1"), _na("question2").alias("question2"),
-                     F.expr("try_cast(is_duplicate AS int)").alias("is_duplicate"))
+                     label_01().alias("is_duplicate"))
 
 
 def write_splits(df: DataFrame, out_dir: str, fmt: str = "parquet", split_col: str = "split") -> None:

@@ -109,15 +109,6 @@ def test_grid_bucket_fast_path_matches_comparisons(spark):
         assert df.where(fast != slow).count() == 0
 
 
-def test_head_n_large_path_matches_top_n(spark, monkeypatch):
-    from nearhit.operators import datasets as D
-    df = spark.range(5000).selectExpr("(id * 7919) % 5003 AS id", "id AS v")
-    small = {r[0] for r in D.head_n(df, 1234).collect()}
-    monkeypatch.setattr(D, "TOP_N_LIMIT", 10)
-    large = {r[0] for r in D.head_n(df, 1234).collect()}
-    assert small == large and len(large) == 1234
-
-
 def test_all_nan_scores_error_row_and_counts(spark):
     df = spark.createDataFrame([("m", 1, float("nan"), 1), ("m", 2, float("nan"), 0), ("m", 3, None, 1)],
                                "model_key string, pair_id long, similarity double, is_duplicate int")
