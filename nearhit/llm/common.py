@@ -35,6 +35,8 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffles behind it are spent: Spark drops their files once the JVM has collected their handles
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

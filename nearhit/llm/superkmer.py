@@ -259,26 +259,41 @@ def _bucket_rows(find: Callable[[list[bytes]], list[list[tuple[int, int]]]], lot
     return run
 
 
-def _window_rows(units: Units):
-    """Windows of the strings of an over-full minimiser, by 128-bit digests."""
-    schema = pa.schema([("d", pa.binary()), ("twin", pa.bool_()), ("doc", pa.int64()), ("tag", pa.int64()), ("a", pa.int64())])
+_WINDOW = "done boolean, d binary, twin boolean, doc long, tag long, a long"
+_WINDOW_SCHEMA = pa.schema([("done", pa.bool_()), ("d", pa.binary()), ("twin", pa.bool_()), ("doc", pa.int64()),
+                            ("tag", pa.int64()), ("a", pa.int64())])
+
+
+def _window_rows(units: Units, collapse: int):
+    """Windows of the strings of an over-full minimiser, by 128-bit digests; equal ones of a lot are collapsed as in stage 1."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        place: dict[bytes, int] = {}
+        again: set[int] = set()
+        for i, r in enumerate(rows):
+            first = place.setdefault(r[0], i)
+            if first != i:
+                again |= {first, i}
+        out = [(False, d, i in again or rows[i][1], *rows[i][2:]) for d, i in place.items()]
+        out += [(True, None, True, *rows[i][2:]) for i in sorted(again)]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _WINDOW_SCHEMA.types)], schema=_WINDOW_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for doc, tag, start, n, twin, s in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "start", "n", "twin", "string"))):
                 rows += [(xxhash.xxh3_128_digest(w), twin, doc, tag, start + i) for i, w in enumerate(units.windows(s, n))]
-                if len(rows) > 100_000:
-                    yield pa.record_batch([pa.array(c) for c in zip(*rows)], schema=schema)
+                if len(rows) > collapse:
+                    yield settle(rows)
                     rows = []
-            if rows:
-                yield pa.record_batch([pa.array(c) for c in zip(*rows)], schema=schema)
+        if rows:
+            yield settle(rows)
 
     return run
 
 
 def repeated_marks(texts: DataFrame, units: Units, find: Callable[[list[bytes]], list[list[tuple[int, int]]]], *,
-                   collapse: int = 400_000, bucket_units: int = 1 << 20, lot: int = 1 << 20) -> DataFrame:
+                   collapse: int = 200_000, bucket_units: int = 1 << 20, lot: int = 1 << 20) -> DataFrame:
     """(doc, tag, a, b): unit ranges of documents that repeated windows cover. ``texts``: doc, tag, text."""
     texts = texts.select("doc", "tag", "text")
     probes = texts.mapInArrow(_probe_rows(units, collapse), _ROW)
@@ -299,9 +314,11 @@ def repeated_marks(texts: DataFrame, units: Units, find: Callable[[list[bytes]],
     packed = cut.where("NOT hot").repartition("m").sortWithinPartitions("m")
     inside = packed.mapInArrow(_bucket_rows(find, lot), _MARK)
 
-    windows = cut.where("hot").mapInArrow(_window_rows(units), "d binary, twin boolean, doc long, tag long, a long")
-    again = windows.groupBy("d").agg(F.sum(F.when(F.col("twin"), 2).otherwise(1)).alias("c")).where("c > 1").select("d")
-    spread = windows.where("NOT twin").join(again, "d").select("doc", "tag", "a", (F.col("a") + F.lit(units.width)).alias("b"))
+    windows = stash(cut.where("hot").mapInArrow(_window_rows(units, collapse), _WINDOW), "superkmer-windows")
+    marks = lambda df: df.select("doc", "tag", "a", (F.col("a") + F.lit(units.width)).alias("b"))
+    probe = windows.where("NOT done")
+    again = probe.groupBy("d").agg(F.sum(F.when(F.col("twin"), 2).otherwise(1)).alias("c")).where("c > 1").select("d")
+    spread = marks(windows.where("done")).union(marks(probe.where("NOT twin").join(again, "d")))
     return whole.union(inside).union(spread)
 
 
