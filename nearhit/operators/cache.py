@@ -12,6 +12,7 @@ Semantics kept from the reference:
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,43 @@ from nearhit.operators.vector_join import nearest_one
 MOCK_RESPONSE = "LLM called"
 
 
+def check_threshold(threshold: float) -> float:
+    """A cosine-distance threshold lies in 0..2."""
+    if not 0.0 <= float(threshold) <= 2.0:
+        raise ValueError(f"a cosine distance threshold of {threshold} is outside 0..2")
+    return float(threshold)
+
+
+def provider_table(provider: DataFrame) -> DataFrame:
+    """``(text, response, error)`` with one row a text. Two different answers to one text fail the job."""
+    p = provider if "error" in provider.columns else provider.withColumn("error", F.lit(None).cast("string"))
+    one = p.groupBy("text").agg(F.min(F.struct("response", "error")).alias("a"), F.max(F.struct("response", "error")).alias("z"))
+    clash = F.raise_error(F.concat(F.lit("more than one answer to: "), F.substring("text", 1, 80)))
+    return one.select("text", F.when(F.col("a") != F.col("z"), clash).otherwise(F.col("a.response")).alias("response"),
+                      F.col("a.error").alias("error"))
+
+
+def ask_provider(texts: DataFrame, answer, batch_size: int = 32) -> DataFrame:
+    """``(text, response, error)``: each distinct text is asked once.
+
+    ``answer`` maps a list of texts to a list of responses, None or an
+    exception object for a failed call. It runs on executors."""
+    distinct = texts.select("text").where(F.col("text").isNotNull()).distinct()
+
+    def run(batches):
+        for b in batches:
+            asked = b.column(0).to_pylist()
+            for i in range(0, len(asked), batch_size):
+                part = asked[i:i + batch_size]
+                got = list(answer(part))
+                failed = [str(g) if isinstance(g, Exception) else "no response" if g is None else None for g in got]
+                yield pa.record_batch([pa.array(part, pa.string()),
+                                       pa.array([None if f else g for g, f in zip(got, failed)], pa.string()),
+                                       pa.array(failed, pa.string())], names=["text", "response", "error"])
+
+    return distinct.mapInArrow(run, "text string, response string, error string")
+
+
 def cache_lookup(requests: DataFrame, store: DataFrame, threshold: float = 0.3, *,
                  vec: str = "embedding", key: list[str] | None = None) -> DataFrame:
     """Outcome per request against a frozen store.
@@ -29,6 +67,7 @@ def cache_lookup(requests: DataFrame, store: DataFrame, threshold: float = 0.3,
     outcome, nearest_id, distance, matched_id, matched_text, response``.
     An empty store gives all misses (left join).
     """
+    threshold = check_threshold(threshold)
     has_force = "force" in requests.columns
     force = F.coalesce(F.col("force"), F.lit(False)) if has_force else F.lit(False)
     req = requests.withColumn("_forced", force)
@@ -63,7 +102,8 @@ def fill_misses(outcomes: DataFrame, requests: DataFrame, provider: DataFrame |
     """Attach a response to every miss/forced request.
 
     ``provider`` is a table ``(text, response[, error])`` keyed by request
-    text (the batch form of an LLM call); without one the mock provider
+    text (the batch form of an LLM call), or a function from a list of texts
+    to a list of responses (``ask_provider``); without one the mock provider
     answers ``"LLM called"``. Failed calls carry ``error`` and no response.
     """
     need = outcomes.where(F.col("outcome").isin("miss", "forced")).select("query_id", "outcome")
@@ -71,8 +111,8 @@ def fill_misses(outcomes: DataFrame, requests: DataFrame, provider: DataFrame |
     if provider is None:
         filled = need.withColumn("response", F.lit(MOCK_RESPONSE)).withColumn("error", F.lit(None).cast("string"))
     else:
-        prov = provider if "error" in provider.columns else provider.withColumn("error", F.lit(None).cast("string"))
-        filled = need.join(prov.select("text", "response", "error"), "text", "left")
+        prov = ask_provider(need, provider) if callable(provider) else provider_table(provider)
+        filled = need.join(prov, "text", "left")
         filled = filled.withColumn("error", F.when(F.col("response").isNull() & F.col("error").isNull(),
                                                    F.lit("no response")).otherwise(F.col("error")))
     return filled.select("query_id", "outcome", "text", "response", "error")

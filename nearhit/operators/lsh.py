@@ -1,78 +1,69 @@
 """Approximate cosine kNN: banded sign-random-projection LSH + exact rerank.
 
-* Signatures: ``bands x bits`` random hyperplanes drawn from a seed on the
-  driver (a few thousand floats, shipped inside the UDF closure); each
-  vector gets one ``bits``-wide key per band from one numpy matmul per
-  Arrow batch.
-* Candidates: equi-join of ``(band, key)`` between queries and entries, then
-  distinct pairs, exact cosine rerank and top-k per query.
-* Hot buckets: a bucket with more than ``max_bucket`` entries would emit all
-  its pairs. Queries that land in such a bucket are answered by the exact
-  blocked kernel instead, so nothing is capped or dropped and no group emits
-  its full cross product.
+* Signatures: ``bands x bits`` hyperplanes whose components come from md5 of
+  the seed, so any engine can draw the same; each vector gets one
+  ``bits``-wide key per band from one numpy product per Arrow batch.
+* Candidates: the exact blocked kernel, keyed by ``(band, key)``. A bucket is
+  one block pair while it is small and is split into blocks when it is large,
+  so no bucket is capped, dropped or handed to another method; each block
+  keeps its k nearest only.
+* ``bits`` sets the work: a band compares a query with about
+  ``entries / 2^bits`` entries, so let it grow with the store
+  (``log2(entries / 1000)`` or so); ``bands`` buys recall.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from nearhit.functions.vector import cosine_similarity_batched
-from nearhit.operators.vector_join import knn
+from nearhit.operators.vector_join import pair_distances
 
 
-def _planes(dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, bands * bits))
+def planes(dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
+    """``(bands * bits, dim)`` normals: sums of the four quarters of ``md5(seed:plane:component)``, centred."""
+    digest = b"".join(md5(f"{seed}:{p}:{d}".encode()).digest() for p in range(bands * bits) for d in range(dim))
+    quarters = np.frombuffer(digest, ">u4").reshape(bands * bits, dim, 4).astype(np.float64) / 2 ** 32
+    return quarters.sum(axis=2) - 2.0
 
 
 def signature_udf(dim: int, bands: int, bits: int, seed: int):
-    planes = _planes(dim, bands, bits, seed)
+    normals = planes(dim, bands, bits, seed).T
     weights = (1 << np.arange(bits)).astype(np.int64)
 
     def sig(v: pd.Series) -> pd.Series:
         if len(v) == 0:
             return pd.Series([], dtype=object)
-        m = np.stack([np.asarray(x, dtype=np.float64) for x in v])
-        b = (m @ planes > 0).reshape(len(v), bands, bits).astype(np.int64)
-        keys = b @ weights
-        return pd.Series(list(keys))
+        m = np.concatenate(v.values).astype(np.float64).reshape(len(v), dim)
+        return pd.Series(list((m @ normals > 0).reshape(len(v), bands, bits).astype(np.int64) @ weights))
     return pandas_udf(sig, "array<long>")
 
 
 def knn_approx(queries: DataFrame, entries: DataFrame, k: int = 5, *, dim: int, bands: int = 8,
-               bits: int = 10, seed: int = 7, max_bucket: int = 50_000,
+               bits: int = 10, seed: int = 7,
                query_id: str = "query_id", entry_id: str = "entry_id", vec: str = "embedding") -> DataFrame:
-    """``(query_id, entry_id, distance, rank)`` like ``knn``, approximately."""
+    """``(query_id, entry_id, distance, rank)`` like ``knn``, approximately: of the entries that share a band's key."""
     sig = signature_udf(dim, bands, bits, seed)
-    qs = queries.select(F.col(query_id).alias("_q"), F.col(vec).alias("_qv"))
-    es = entries.select(F.col(entry_id).alias("_e"), F.col(vec).alias("_ev"))
-    qk = qs.select("_q", F.posexplode(sig("_qv")).alias("band", "key"))
-    ek = es.select("_e", F.posexplode(sig("_ev")).alias("band", "key"))
-    sizes = ek.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > max_bucket).select("band", "key")
-    q_hot = qk.join(hot, ["band", "key"], "left_semi").select("_q").distinct()
-    cold_e = ek.join(hot, ["band", "key"], "left_anti")
-    cand = (qk.join(q_hot, "_q", "left_anti").join(cold_e, ["band", "key"])
-              .select("_q", "_e").distinct())
-    scored = (cand.join(qs, "_q").join(es, "_e")
-                  .select("_q", "_e", (F.lit(1.0) - cosine_similarity_batched("_qv", "_ev")).alias("distance")))
-    w = Window.partitionBy("_q").orderBy(F.col("distance").asc(), F.col("_e").asc())
-    approx = (scored.where(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(w))
-                    .where(F.col("rank") <= k)
-                    .select(F.col("_q").alias(query_id), F.col("_e").alias(entry_id), "distance", "rank"))
-    exact_q = queries.join(q_hot.withColumnRenamed("_q", query_id), query_id, "left_semi")
-    exact = knn(exact_q, entries, k=k, query_id=query_id, entry_id=entry_id, query_vec=vec, entry_vec=vec)
-    return approx.unionByName(exact)
+
+    def banded(df: DataFrame, id_col: str) -> DataFrame:
+        usable = df.where(F.size(vec) == dim).select(F.col(id_col), F.col(vec), sig(F.col(vec)).alias("_sig"))
+        return usable.select(id_col, vec, F.posexplode_outer("_sig").alias("band", "key"))
+
+    raw = pair_distances(banded(queries, query_id), banded(entries, entry_id), mode="knn", k=k, query_id=query_id,
+                         entry_id=entry_id, query_vec=vec, entry_vec=vec, key=["band", "key"])
+    w = Window.partitionBy("_qid").orderBy(F.col("_dist").asc(), F.col("_eid").asc())
+    return (raw.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+               .select(F.col("_qid").alias(query_id), F.col("_eid").alias(entry_id), F.col("_dist").alias("distance"), "rank"))
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "query_id",
                 entry_id: str = "entry_id") -> DataFrame:
     """Share of exact top-k neighbours the approximate answer found."""
-    found = exact.join(approx.select(query_id, entry_id), [query_id, entry_id], "left_semi").agg(
-        F.count(F.lit(1)).alias("found_pairs"))
-    total = exact.agg(F.count(F.lit(1)).alias("exact_pairs"))
-    return total.crossJoin(found).withColumn(
+    both = exact.join(approx.select(query_id, entry_id, F.lit(1).alias("_hit")), [query_id, entry_id], "left")
+    return both.agg(F.count(F.lit(1)).alias("exact_pairs"), F.count("_hit").alias("found_pairs")).withColumn(
         "recall", F.when(F.col("exact_pairs") > 0, F.col("found_pairs") / F.col("exact_pairs")).otherwise(0.0))

@@ -79,6 +79,10 @@ def scope_keys(keys: list[str] | None = None, category: str | None = None,
             raise ValueError(f"unknown category {category!r}")
         return [k for k, _, _, _, c in REGISTRY if c == category]
     if keys is not None:
+        known = {k for k, *_ in REGISTRY}
+        lost = [k for k in keys if k not in known]
+        if lost:
+            raise ValueError(f"not in the registry: {', '.join(lost)}")
         return list(keys)
     return [k for k, *_ in REGISTRY]
 

@@ -1,27 +1,29 @@
 """Cache store as append-only Parquet logs.
 
-A collection lives at ``<root>/<name>/`` with three append-only tables per
-generation ``g``: ``entries``, ``touches`` (last access + hit count) and
-``tombstones`` (deletes). ``clear`` starts a new generation; ``compact``
-folds the logs into a fresh generation. The current state is a query:
+A collection lives at ``<root>/<name>/`` with three append-only tables:
+``entries``, ``touches`` (last access + hit count) and ``tombstones``
+(deletes). The current state is a query:
 
-    entries  LEFT ANTI  tombstones
+    entries  LEFT ANTI  tombstones written after them
              LEFT JOIN  touches grouped to (max touched_at, count)
 
-Appends never rewrite files, so concurrent writers cannot lose each other's
-updates (the reference's read-modify-write metadata update can), and a
-failed task simply re-runs. Every function below is also usable on plain
+A tombstone hides entries stored up to its time, so an id can be added again
+after a delete. Appends never rewrite files, so concurrent writers cannot
+lose each other's updates (the reference's read-modify-write metadata update
+can), and a failed task simply re-runs. Every function below is also usable on plain
 DataFrames without a collection.
 """
 
 from __future__ import annotations
 
-import os
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearhit.functions.ids import make_entry_id
+from nearhit.session import Scratch, remove
+from nearhit.sources.tables import read_if_there
 
 ENTRY_DDL = ("entry_id string, model_key string, text string, embedding array<float>, llm_response string, "
              "stored_at timestamp, seq long, extra map<string,string>")
@@ -29,25 +31,37 @@ TOUCH_DDL = "entry_id string, touched_at timestamp, query_id string, was_hit boo
 TOMB_DDL = "entry_id string, deleted_at timestamp"
 
 
+#: Metadata keys of ``extra`` that override what an entry would store under them.
+RESERVED = ("llm_response", "original_text", "timestamp_stored")
+
+
 def build_entries(df: DataFrame, *, text: str = "text", embedding: str = "embedding",
                   response: str | None = "llm_response", model_key: str = "default",
                   stored_at=None, seq: str | None = None, id_col: str | None = None,
                   extra: str | None = None, expected_dim: int | None = None) -> DataFrame:
     """Rows in the entry schema. Without ``id_col`` the id is
     ``md5(model ':' text ':' stored_at ':' seq)`` (reproducible, unlike a
-    salted hash). ``expected_dim`` fails the job on a vector of another length."""
-    ts = F.current_timestamp() if stored_at is None else F.lit(stored_at).cast("timestamp")
-    sq = F.col(seq).cast("long") if seq else F.lit(None).cast("long")
-    emb = F.col(embedding).cast("array<float>")
+    salted hash); without ``seq`` the row's position in the batch stands for
+    it, so equal texts of a batch get ids of their own. All rows share one
+    storage time. A row needs a text and a vector, and ``expected_dim`` fails
+    the job on a vector of another length. A missing response or metadata
+    value is null; metadata under a reserved key overrides the column."""
+    when = stored_at if stored_at is not None else datetime.now(timezone.utc).replace(tzinfo=None)
+    ts = F.lit(when).cast("timestamp")
+    sq = (F.col(seq) if seq else F.monotonically_increasing_id()).cast("long")
+    emb = F.when(F.col(embedding).isNull() | F.col(text).isNull(), F.raise_error(F.lit("an entry needs both a text and a vector"))
+                 ).otherwise(F.col(embedding).cast("array<float>"))
     if expected_dim is not None:
-        emb = F.when(F.size(emb) != expected_dim,
-                     F.raise_error(F.concat(F.lit(f"Embedding dimension mismatch: expected {expected_dim}, got "),
-                                            F.size(emb).cast("string")))).otherwise(emb)
+        emb = F.when(F.size(embedding) != expected_dim,
+                     F.raise_error(F.concat(F.lit("vector of length "), F.size(embedding).cast("string"),
+                                            F.lit(f" in a collection of {expected_dim} dimensions")))).otherwise(emb)
+    meta = F.coalesce(F.col(extra), F.create_map().cast("map<string,string>")) if extra else F.create_map().cast("map<string,string>")
     out = df.select(
-        F.lit(model_key).alias("model_key"), F.col(text).alias("text"), emb.alias("embedding"),
-        (F.col(response) if response else F.lit(None)).cast("string").alias("llm_response"),
-        ts.alias("stored_at"), sq.alias("seq"),
-        (F.col(extra) if extra else F.create_map().cast("map<string,string>")).alias("extra"),
+        F.lit(model_key).alias("model_key"), F.coalesce(F.element_at(meta, "original_text"), F.col(text)).alias("text"),
+        emb.alias("embedding"),
+        F.coalesce(F.element_at(meta, "llm_response"), (F.col(response) if response else F.lit(None)).cast("string")).alias("llm_response"),
+        F.coalesce(F.element_at(meta, "timestamp_stored").cast("timestamp"), ts).alias("stored_at"), sq.alias("seq"),
+        F.map_filter(meta, lambda k, v: ~k.isin(*RESERVED)).alias("extra"),
         *([F.col(id_col).cast("string").alias("_given")] if id_col else []))
     eid = F.col("_given") if id_col else make_entry_id("model_key", "text", "stored_at", "seq")
     out = out.withColumn("entry_id", eid)
@@ -66,7 +80,8 @@ def current_entries(entries: DataFrame, touches: DataFrame | None = None,
     """Live entries with their access summary."""
     e = entries
     if tombstones is not None:
-        e = e.join(tombstones.select("entry_id"), "entry_id", "left_anti")
+        gone = tombstones.groupBy("entry_id").agg(F.max("deleted_at").alias("_gone"))
+        e = e.join(gone, "entry_id", "left").where(F.col("_gone").isNull() | (F.col("stored_at") > F.col("_gone"))).drop("_gone")
     if touches is None:
         return e.withColumn("last_access", F.col("stored_at")).withColumn("cache_hit_count", F.lit(0).cast("long"))
     t = touch_summary(touches)
@@ -100,38 +115,28 @@ class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str = "semantic_cache",
                  expected_dim: int | None = None):
         self.spark, self.root, self.name, self.expected_dim = spark, root, name, expected_dim
-        self.base = os.path.join(root, name)
-
-    # -- layout -------------------------------------------------------------
-    def _gen_path(self) -> str:
-        return os.path.join(self.base, "_generations")
-
-    def generation(self) -> int:
-        try:
-            row = self.spark.read.parquet(self._gen_path()).agg(F.max("generation")).first()
-            return int(row[0]) if row and row[0] is not None else 0
-        except Exception:  # noqa: BLE001 - no generation table yet
-            return 0
+        self.base = f"{root}/{name}"
 
-    def _path(self, table: str, gen: int | None = None) -> str:
-        g = self.generation() if gen is None else gen
-        return os.path.join(self.base, f"gen={g}", table)
+    def _path(self, table: str) -> str:
+        return f"{self.base}/{table}"
 
     def _read(self, table: str, ddl: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(ddl).parquet(self._path(table))
-        except Exception:  # noqa: BLE001 - empty table
-            return self.spark.createDataFrame([], ddl)
+        return read_if_there(self.spark, self._path(table), ddl)
 
     # -- writes -------------------------------------------------------------
     def add(self, df: DataFrame, **kw) -> DataFrame:
-        """Append entries (ids computed if absent); ids already present are
-        skipped. Returns the appended rows."""
+        """Append entries (ids computed if absent) and return (entry_id, text, seq) of
+        all rows of the batch. Ids that are live already are not stored again;
+        an id given twice in one batch is an error."""
         kw.setdefault("expected_dim", self.expected_dim)
-        built = build_entries(df, **kw)
-        new = built.join(self._read("entries", ENTRY_DDL).select("entry_id"), "entry_id", "left_anti")
-        new.write.mode("append").parquet(self._path("entries"))
-        return self._read("entries", ENTRY_DDL).join(built.select("entry_id"), "entry_id", "left_semi")
+        scratch = Scratch(self.spark, "store-add")
+        built = scratch.keep(build_entries(df, **kw), "batch")
+        twice = built.groupBy("entry_id").count().where("count > 1 OR entry_id IS NULL").first()
+        if twice is not None:
+            raise ValueError(f"entry id {twice['entry_id']!r} is not unique in the batch")
+        new = built.join(self.entries().select("entry_id"), "entry_id", "left_anti")
+        new.select(built.columns).write.mode("append").parquet(self._path("entries"))
+        return built.select("entry_id", "text", "seq")
 
     def touch(self, ids: DataFrame, touched_at=None, query_id: str | None = None, was_hit: str | None = None) -> None:
         ts = F.current_timestamp() if touched_at is None else F.lit(touched_at).cast("timestamp")
@@ -144,27 +149,12 @@ class Collection:
         t.write.mode("append").parquet(self._path("touches"))
 
     def delete(self, ids: DataFrame, deleted_at=None) -> None:
-        ts = F.current_timestamp() if deleted_at is None else F.lit(deleted_at).cast("timestamp")
-        ids.select("entry_id", ts.alias("deleted_at")).write.mode("append").parquet(self._path("tombstones"))
+        when = deleted_at if deleted_at is not None else datetime.now(timezone.utc).replace(tzinfo=None)
+        ids.select("entry_id", F.lit(when).cast("timestamp").alias("deleted_at")).write.mode("append").parquet(self._path("tombstones"))
 
     def clear(self) -> None:
-        """Drop all entries by starting a new, empty generation."""
-        g = self.generation() + 1
-        self.spark.createDataFrame([(g,)], "generation int").write.mode("append").parquet(self._gen_path())
-
-    def compact(self) -> None:
-        """Fold the logs into a new generation (entries with their access summary
-        turned into one touch row per touched entry)."""
-        cur = self.entries().cache()
-        g = self.generation() + 1
-        cur.select(*[c.split()[0] for c in ENTRY_DDL.split(", ")]).write.mode("overwrite").parquet(
-            self._path("entries", g))
-        touched = cur.where(F.col("cache_hit_count") > 0)
-        touched.select("entry_id", F.col("last_access").alias("touched_at"), F.lit(None).cast("string").alias("query_id"),
-                       F.lit(None).cast("boolean").alias("was_hit"), F.col("cache_hit_count").alias("n")
-                       ).write.mode("overwrite").parquet(self._path("touches", g))
-        self.spark.createDataFrame([(g,)], "generation int").write.mode("append").parquet(self._gen_path())
-        cur.unpersist()
+        """Remove all tables of the collection."""
+        remove(self.spark, self.base)
 
     # -- reads --------------------------------------------------------------
     def entries(self) -> DataFrame:

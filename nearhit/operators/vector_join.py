@@ -12,9 +12,12 @@ nested-loop join. Instead both sides are cut into hash blocks:
 * a window partitioned by the query id merges the ``Be`` local answers.
 
 Shuffle volume is ``Be*|Q| + Bq*|E|`` rows. Block counts are picked from row
-counts and vector width so one block holds about ``block_bytes``; a block is
+counts and vector width so one block holds about ``block_bytes`` and at most
+``BLOCK_ROWS`` rows, which bounds a block pair's output too; a block is
 a hash range of unique ids, so a hot key or hot value cannot make one group
-large. Optional ``key`` columns make it an equi-join on the key as well (e.g.
+large. Equal query vectors of one key are asked once. Distances are rounded
+to 12 places, so equal vectors tie whatever block they are in, and a tie
+goes to the smaller entry id: each query and block gives at most k rows. Optional ``key`` columns make it an equi-join on the key as well (e.g.
 a private cache per user); then the block counts are chosen per key from that
 key's own row counts, so a small key is one block pair with no replication
 and a hot key (a third of all rows) is split like an unkeyed join.
@@ -25,15 +28,18 @@ joined back afterwards by id.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK_BYTES = 64 << 20
 SCORE_CHUNK_BYTES = 128 << 20
+BLOCK_ROWS = 8192
+PLACES = 12
 
 
 def _size(df: DataFrame, vec: str) -> tuple[int, int]:
@@ -46,8 +52,8 @@ def block_counts(n_q: int, n_e: int, dim: int, parallelism: int,
     """Blocks per side: about ``block_bytes`` each, and at least ``parallelism``
     block pairs so every core gets work (the larger side is split further)."""
     width = max(dim, 1) * 8
-    bq = max(1, math.ceil(n_q * width / block_bytes))
-    be = max(1, math.ceil(n_e * width / block_bytes))
+    bq = max(1, math.ceil(n_q * width / block_bytes), math.ceil(n_q / BLOCK_ROWS))
+    be = max(1, math.ceil(n_e * width / block_bytes), math.ceil(n_e / BLOCK_ROWS))
     while bq * be < parallelism:
         if n_e >= n_q:
             be += 1
@@ -59,16 +65,33 @@ def block_counts(n_q: int, n_e: int, dim: int, parallelism: int,
 
 
 def _stack(col: pd.Series) -> np.ndarray:
+    """Unit rows of a column of vectors; null and zero vectors become NaN rows, which never match."""
     if len(col) == 0:
         return np.zeros((0, 0))
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
+    width = max((len(v) for v in col.values if v is not None), default=0)
+    lost = np.full(width, np.nan)
+    flat = np.concatenate([lost if v is None else v for v in col.values]).astype(np.float64)
+    if len(flat) != width * len(col):
+        raise ValueError("vectors of different lengths in one column")
+    m = flat.reshape(len(col), width)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
         m = m / n
-    m[~np.isfinite(m).all(axis=1)] = np.nan  # zero vectors never match
+    m[~np.isfinite(m).all(axis=1)] = np.nan
     return m
 
 
+def _nearest(dist: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k smallest finite values of each row; of equal ones the first."""
+    k = min(k, dist.shape[1])
+    kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+    mask = (dist <= kth) & np.isfinite(dist)
+    for r in np.flatnonzero(mask.sum(axis=1) > k):
+        tied = np.flatnonzero(dist[r] == kth[r])
+        mask[r, tied[k - int((dist[r] < kth[r]).sum()):]] = False
+    return mask
+
+
 def _kernel(mode: str, k: int, max_distance: float, exclude_self: bool,
             ordered: bool, upper: bool):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -76,6 +99,7 @@ def _kernel(mode: str, k: int, max_distance: float, exclude_self: bool,
                               "_dist": np.zeros(0)})
         if len(left) == 0 or len(right) == 0:
             return empty
+        right = right.sort_values("_id", kind="stable")  # so that the first of equal distances has the smallest id
         Q, E = _stack(left["_v"]), _stack(right["_v"])
         if Q.shape[1] != E.shape[1]:
             raise ValueError(f"dimension mismatch: {Q.shape[1]} vs {E.shape[1]}")
@@ -86,7 +110,7 @@ def _kernel(mode: str, k: int, max_distance: float, exclude_self: bool,
         out_q, out_e, out_d = [], [], []
         for s in range(0, len(left), chunk):
             sl = slice(s, s + chunk)
-            D = 1.0 - Q[sl] @ E.T
+            D = np.round(1.0 - Q[sl] @ E.T, PLACES)
             D[np.isnan(D)] = np.inf
             if exclude_self:
                 D[qid[sl][:, None] == eid[None, :]] = np.inf
@@ -95,9 +119,7 @@ def _kernel(mode: str, k: int, max_distance: float, exclude_self: bool,
             if ordered:
                 D[~(eord[None, :] < qord[sl][:, None])] = np.inf
             if mode == "knn":
-                kk = min(k, D.shape[1])
-                kth = np.partition(D, kk - 1, axis=1)[:, kk - 1:kk]
-                mask = (D <= kth) & np.isfinite(D)       # keeps ties at the k-th place
+                mask = _nearest(D, k)
             elif mode == "threshold":
                 mask = D < max_distance
             else:  # all pairs
@@ -111,6 +133,13 @@ def _kernel(mode: str, k: int, max_distance: float, exclude_self: bool,
     return fn
 
 
+def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on key columns where null equals null (a null user has a cache of its own)."""
+    named = right.select(*[F.col(c).alias(f"_r{c}") if c in keys else F.col(c).alias(c) for c in right.columns])
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in keys])
+    return left.join(named, on).drop(*[f"_r{c}" for c in keys])
+
+
 def _side(df: DataFrame, id_col: str, vec_col: str, order_col: str | None,
           key_cols: list[str]) -> DataFrame:
     cols = [F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)]
@@ -143,13 +172,10 @@ def pair_distances(queries: DataFrame, entries: DataFrame, *, mode: str, k: int
         width = max(d_q, d_e, 1) * 8
         nq = q.groupBy(*kcols).agg(F.count(F.lit(1)).alias("_nq"))
         ne = e.groupBy(*kcols).agg(F.count(F.lit(1)).alias("_ne"))
-        kb = nq.join(ne, kcols).select(
-            *kcols, F.greatest(F.lit(1), F.ceil(F.col("_nq") * width / F.lit(block_bytes))).cast("int").alias("_bq"),
-            F.greatest(F.lit(1), F.ceil(F.col("_ne") * width / F.lit(block_bytes))).cast("int").alias("_be"))
-        # fresh attribute ids per side: queries and entries may share lineage (a self-join)
-        kb_q = kb.select(*[F.col(c).alias(c) for c in kb.columns])
-        kb_e = kb.select(*[F.col(c).alias(c) for c in kb.columns])
-        q, e = q.join(kb_q, kcols), e.join(kb_e, kcols)
+        per = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) * width / F.lit(block_bytes)),
+                                   F.ceil(F.col(n) / F.lit(BLOCK_ROWS))).cast("int")
+        kb = _same_key(nq, ne, kcols).select(*kcols, per("_nq").alias("_bq"), per("_ne").alias("_be"))
+        q, e = _same_key(q, kb, kcols), _same_key(e, kb, kcols)
         nbq, nbe = F.col("_bq"), F.col("_be")
     else:
         nbq, nbe = F.lit(bq), F.lit(be)
@@ -171,14 +197,23 @@ def knn(queries: DataFrame, entries: DataFrame, k: int = 5, **kw) -> DataFrame:
     """k nearest entries per query by cosine distance, ascending; ties by entry id.
 
     Returns ``(query_id, entry_id, distance, rank)``; fewer than k rows when
-    the store is smaller. Queries with no candidate produce no rows.
+    the store is smaller. Queries with no candidate produce no rows. A query
+    id is asked once; equal vectors of one key share one search (found by two 64-bit hashes).
     """
     qn, en = kw.get("query_id", "query_id"), kw.get("entry_id", "entry_id")
-    raw = pair_distances(queries, entries, mode="knn", k=k, **kw)
+    vec, key = kw.get("query_vec", "embedding"), list(kw.get("key") or [])
     w = Window.partitionBy("_qid").orderBy(F.col("_dist").asc(), F.col("_eid").asc())
-    return (raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-               .select(F.col("_qid").alias(qn), F.col("_eid").alias(en),
-                       F.col("_dist").alias("distance"), F.col("rank")))
+    if kw.get("query_order") or kw.get("exclude_self"):  # a query's own place counts: each is asked
+        raw = pair_distances(queries, entries, mode="knn", k=k, **kw)
+        ranked = raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    else:
+        same = queries.select(qn, *key, F.col(vec).alias(vec), *[F.xxhash64(F.lit(i), vec, *key).alias(f"_h{i}") for i in (1, 2)])
+        asked = same.groupBy("_h1", "_h2").agg(F.min_by(F.struct(qn, *key, vec), qn).alias("_one")).select("_one.*", "_h1", "_h2")
+        raw = pair_distances(asked.drop("_h1", "_h2"), entries, mode="knn", k=k, **kw)
+        best = raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = best.join(asked.select(F.col(qn).alias("_qid"), "_h1", "_h2"), "_qid").drop("_qid")
+        ranked = best.join(same.select(F.col(qn).alias("_qid"), "_h1", "_h2"), ["_h1", "_h2"])
+    return ranked.select(F.col("_qid").alias(qn), F.col("_eid").alias(en), F.col("_dist").alias("distance"), F.col("rank"))
 
 
 def nearest_one(queries: DataFrame, entries: DataFrame, **kw) -> DataFrame:

@@ -4,7 +4,6 @@ library's reader, and compare what comes back with the SQL twin."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,10 +16,11 @@ from nearhit.plans.catalog import query, tidy
 from nearhit.plans.sqlparts import tidy_sql
 from nearhit.session import ensure_checkpoint_dir
 from nearhit.sources import pairs as P
+from nearhit.sources.tables import table
 
 
 def scratch(spark) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), f"io-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark)}/io-{uuid.uuid4().hex}"
 
 
 @query("read_pairs", X.with_ctes(X.QUESTION_PAIRS_SQL) + """SELECT id, qid1, qid2, md5(question1) AS q1_md5,
@@ -83,23 +83,35 @@ def q_results_first(spark, sf):
     return P.first_success(r).select("model_key", "optimization_metric", "tuning_samples")
 
 
-@query("open_collection", X.with_ctes(X.ENTRIES_SQL) + """SELECT 'semantic_cache' AS collection_name, count(*) AS total_embeddings,
+COLL_SQL = "WITH c AS (SELECT vec_id, embedding, label FROM embeddings)"
+
+
+def all_entries(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("entry_id"), F.concat(F.lit("query "), F.col("vec_id").cast("string")).alias("text"), "embedding", "label",
+                    F.lit(None).cast("string").alias("llm_response"))
+
+
+@query("open_collection", COLL_SQL + """ SELECT 'semantic_cache' AS collection_name, count(*) AS total_embeddings,
   CAST(64 AS BIGINT) AS embedding_dimension, min(len(embedding)) AS min_dimension, max(len(embedding)) AS max_dimension
-FROM entries WHERE label <> 3""")
+FROM c WHERE label <> 3 OR vec_id % 2 = 0""")
 def q_open_collection(spark, sf):
-    coll = S.open_collection(spark, scratch(spark), "semantic_cache", expected_dim=64)
-    e = X.entries(spark, sf)
+    root = scratch(spark)
+    coll = S.open_collection(spark, root, "semantic_cache", expected_dim=64)
+    e = all_entries(spark, sf)
     coll.add(e, id_col="entry_id", stored_at="2024-01-01 00:00:00")
     coll.delete(e.where(F.col("label") == 3).select(F.col("entry_id").cast("string").alias("entry_id")),
                 "2024-01-02 00:00:00")
-    return tidy(coll.stats())
+    # opened again, it takes back half of what was deleted
+    again = S.open_collection(spark, root, "semantic_cache", expected_dim=64)
+    again.add(e.where((F.col("label") == 3) & (F.col("entry_id") % 2 == 0)), id_col="entry_id", stored_at="2024-01-03 00:00:00")
+    return tidy(again.stats())
 
 
-@query("clear_collection", X.with_ctes(X.ENTRIES_SQL) + """SELECT CAST(0 AS BIGINT) AS after_clear,
-  count(*) AS after_reload FROM entries""")
+@query("clear_collection", COLL_SQL + """ SELECT CAST(0 AS BIGINT) AS after_clear, count(*) AS after_reload FROM c""")
 def q_clear_collection(spark, sf):
     coll = S.open_collection(spark, scratch(spark), "semantic_cache", expected_dim=64)
-    e = X.entries(spark, sf)
+    e = all_entries(spark, sf)
     coll.add(e, id_col="entry_id", stored_at="2024-01-01 00:00:00")
     coll.clear()
     n0 = coll.entries().count()

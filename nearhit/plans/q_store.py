@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from nearhit.functions import vector as V
 from nearhit.functions.ids import make_entry_id
 from nearhit.operators import cache as C
 from nearhit.operators import store as S
@@ -12,8 +13,12 @@ from nearhit.operators import vector_join as J
 from nearhit.operators.metrics import hit_predicate
 from nearhit.plans import fixtures as X
 from nearhit.plans.catalog import query, r6, tidy
+from nearhit.operators.serve import cache_from_text
+from nearhit.plans.q_replay import walk_sql
+from nearhit.plans.q_text import EMB, sparse_sql
 from nearhit.plans.q_vector import LOOKUP_CTES, LOOKUP_T, lookup
 from nearhit.plans.sqlparts import tidy_sql
+from nearhit.session import ensure_checkpoint_dir
 from nearhit.sources.tables import table
 
 STORED_AT = "2024-01-01 00:00:00"
@@ -38,17 +43,39 @@ CHAT_SQL = """chat AS (SELECT u.conv_id, u.turn, u.text, a.text AS llm_response,
 ID_SQL = f"md5(concat_ws(':', '{MODEL}', text, '{STORED_AT}', CAST(seq AS VARCHAR)))"
 
 
-@query("make_entry_id", f"WITH {CHAT_SQL} SELECT seq, {ID_SQL} AS entry_id FROM chat")
+@query("make_entry_id", f"""WITH turns AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS seq FROM conversations)
+SELECT conv_id, turn, {ID_SQL} AS entry_id FROM turns""")
 def q_make_id(spark, sf):
-    ch = chat_cache(spark, sf)
-    return ch.select("seq", make_entry_id(F.lit(MODEL), "text", F.lit(STORED_AT).cast("timestamp"), "seq").alias("entry_id"))
+    c = table(spark, sf, "conversations").withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
+    return c.select("conv_id", "turn", make_entry_id(F.lit(MODEL), "text", F.lit(STORED_AT).cast("timestamp"), "seq").alias("entry_id"))
+
+
+TURNS_SQL = """turns AS (SELECT text, conv_id * 1000 + turn AS seq, CASE WHEN role = 'assistant' THEN role END AS llm_response
+  FROM conversations WHERE text IS NOT NULL)"""
+EMBED_DIM = 256
+
+
+def turn_entries(spark, sf):
+    """Every turn as an entry to add: its text embedded (a text without an n-gram is a zero vector)."""
+    c = table(spark, sf, "conversations").where(F.col("text").isNotNull())
+    rows = c.select("text", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.when(F.col("role") == "assistant", F.col("role")).alias("llm_response"))
+    zero = F.array_repeat(F.lit(0.0), EMBED_DIM)
+    return EMB(rows).withColumn("embedding", F.coalesce("embedding", zero))
 
 
-@query("add_entries", f"WITH {CHAT_SQL} SELECT {ID_SQL} AS entry_id, '{MODEL}' AS model_key, text, llm_response, seq FROM chat")
+@query("add_entries", f"""WITH {TURNS_SQL},
+{sparse_sql('turns', 'seq', 'text', 0, EMBED_DIM, 3, 'sv')},
+cells AS (SELECT seq, count(*) AS nonzero, sum(CAST(CAST(weight AS FLOAT) AS DOUBLE) * (bucket + 1)) AS moment FROM sv GROUP BY seq)
+SELECT {ID_SQL} AS entry_id, '{MODEL}' AS model_key, text, llm_response, seq, coalesce(nonzero, 0) AS nonzero,
+  {r6('coalesce(moment, 0.0)')} AS moment FROM turns LEFT JOIN cells USING (seq)""")
 def q_add_entries(spark, sf):
-    ch = chat_cache(spark, sf).withColumn("embedding", F.array().cast("array<float>"))
-    e = S.build_entries(ch, model_key=MODEL, stored_at=STORED_AT, seq="seq")
-    return e.select("entry_id", "model_key", "text", "llm_response", "seq")
+    coll = S.open_collection(spark, f"{ensure_checkpoint_dir(spark)}/add-{uuid.uuid4().hex}", expected_dim=EMBED_DIM)
+    coll.add(turn_entries(spark, sf), model_key=MODEL, stored_at=STORED_AT, seq="seq")
+    e = coll.entries()
+    nonzero = F.size(F.filter("embedding", lambda x: x != 0))
+    # the vector is compared by its cells and their first moment, rounded as float32 holds them
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return tidy(e.select("entry_id", "model_key", "text", "llm_response", "seq", nonzero.cast("bigint").alias("nonzero"), moment.alias("moment")))
 
 
 # ----------------------------------------------------------------- store over the embeddings cache
@@ -56,16 +83,43 @@ def q_add_entries(spark, sf):
 TOUCH_SQL = LOOKUP_CTES + """, touches AS (SELECT nearest_id AS entry_id, query_id, seq FROM lookup WHERE nearest_id IS NOT NULL)"""
 
 
-@query("touch_entries", TOUCH_SQL + """
-SELECT entry_id, count(*) AS cache_hit_count, max(seq) AS last_seq FROM touches GROUP BY entry_id""")
+def filled_collection(spark, sf, touched=False, deleted=False):
+    """A collection of the entries, touched by a lookup of all requests, with one class deleted and one of its ids added again."""
+    coll = S.open_collection(spark, f"{ensure_checkpoint_dir(spark)}/coll-{uuid.uuid4().hex}", expected_dim=64)
+    e = X.entries(spark, sf)
+    coll.add(e, id_col="entry_id", stored_at=STORED_AT, seq="entry_id")
+    if touched:
+        # one touch a request: the touch log is appended second by second of the request order
+        t = C.lookup_touches(lookup(spark, sf)).select(F.col("entry_id").cast("string").alias("entry_id"), "query_id", "was_hit")
+        coll.touch(t, TOUCHED_AT, query_id="query_id", was_hit="was_hit")
+    if deleted:
+        coll.delete(e.where(F.col("label") == 3).select(F.col("entry_id").cast("string").alias("entry_id")), DELETED_AT)
+        coll.add(e.where((F.col("label") == 3) & (F.col("entry_id") % 4 == 0)), id_col="entry_id", stored_at=READDED_AT, seq="entry_id")
+    return coll
+
+
+TOUCHED_AT, DELETED_AT, READDED_AT = "2024-01-02 00:00:00", "2024-01-03 00:00:00", "2024-01-04 00:00:00"
+
+
+@query("touch_entries", TOUCH_SQL + f"""
+SELECT CAST(e.entry_id AS VARCHAR) AS entry_id, count(t.query_id) AS cache_hit_count,
+  CASE WHEN count(t.query_id) > 0 THEN '{TOUCHED_AT}' ELSE '{STORED_AT}' END AS last_access
+FROM entries e LEFT JOIN touches t USING (entry_id) GROUP BY e.entry_id""")
 def q_touch(spark, sf):
-    t = C.lookup_touches(lookup(spark, sf))
-    return t.groupBy("entry_id").agg(F.count(F.lit(1)).alias("cache_hit_count"), F.max("seq").alias("last_seq"))
+    e = filled_collection(spark, sf, touched=True).entries()
+    return e.select("entry_id", "cache_hit_count", F.date_format("last_access", "yyyy-MM-dd HH:mm:ss").alias("last_access"))
 
 
-@query("delete_by_ids", X.with_ctes(X.ENTRIES_SQL) + "SELECT entry_id FROM entries WHERE label <> 3")
+ALL_SQL = "entries_all AS (SELECT vec_id AS entry_id, embedding, label FROM embeddings)"
+
+
+def all_entries(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_id"), "embedding", "label")
+
+
+@query("delete_by_ids", "WITH " + ALL_SQL + " SELECT entry_id FROM entries_all WHERE label <> 3")
 def q_delete(spark, sf):
-    e = X.entries(spark, sf)
+    e = all_entries(spark, sf)
     return S.delete_by_ids(e, e.where(F.col("label") == 3).select("entry_id")).select("entry_id")
 
 
@@ -77,24 +131,19 @@ def q_get(spark, sf):
     return S.get_by_ids(X.entries(spark, sf), ids).select("entry_id", "text", "llm_response")
 
 
-@query("collection_stats", X.with_ctes(X.ENTRIES_SQL) + """SELECT 'semantic_cache' AS collection_name, count(*) AS total_embeddings,
-  CAST(64 AS BIGINT) AS embedding_dimension, min(len(embedding)) AS min_dimension, max(len(embedding)) AS max_dimension FROM entries""")
+@query("collection_stats", "WITH " + ALL_SQL + """ SELECT 'semantic_cache' AS collection_name, count(*) AS total_embeddings,
+  CAST(64 AS BIGINT) AS embedding_dimension, min(len(embedding)) AS min_dimension, max(len(embedding)) AS max_dimension FROM entries_all""")
 def q_stats_coll(spark, sf):
-    return tidy(S.collection_stats(X.entries(spark, sf), "semantic_cache", 64))
+    return tidy(S.collection_stats(all_entries(spark, sf), "semantic_cache", 64))
 
 
-@query("compact", TOUCH_SQL + """, live AS (SELECT * FROM entries WHERE label <> 3)
-SELECT l.entry_id, coalesce(t.n, 0) AS cache_hit_count, t.last_seq FROM live l
-LEFT JOIN (SELECT entry_id, count(*) AS n, max(seq) AS last_seq FROM touches GROUP BY entry_id) t USING (entry_id)""")
+@query("compact", TOUCH_SQL + f""", live AS (SELECT * FROM entries WHERE label <> 3 OR entry_id % 4 = 0)
+SELECT CAST(l.entry_id AS VARCHAR) AS entry_id, coalesce(t.n, 0) AS cache_hit_count,
+  CASE WHEN l.label = 3 THEN '{READDED_AT}' WHEN t.n IS NOT NULL THEN '{TOUCHED_AT}' ELSE '{STORED_AT}' END AS last_access FROM live l
+LEFT JOIN (SELECT entry_id, count(*) AS n FROM touches GROUP BY entry_id) t USING (entry_id)""")
 def q_compact(spark, sf):
-    e = X.entries(spark, sf).withColumn("stored_at", F.lit(STORED_AT).cast("timestamp"))
-    lk = lookup(spark, sf)
-    touches = C.lookup_touches(lk).select("entry_id", (F.lit(STORED_AT).cast("timestamp")
-                                                       + F.make_interval(secs=F.col("seq"))).alias("touched_at"), "seq")
-    tomb = e.where(F.col("label") == 3).select("entry_id")
-    cur = S.current_entries(e, touches, tomb)
-    last = touches.groupBy("entry_id").agg(F.max("seq").alias("last_seq"))
-    return cur.join(last, "entry_id", "left").select("entry_id", "cache_hit_count", "last_seq")
+    e = filled_collection(spark, sf, touched=True, deleted=True).entries()
+    return e.select("entry_id", "cache_hit_count", F.date_format("last_access", "yyyy-MM-dd HH:mm:ss").alias("last_access"))
 
 
 # ----------------------------------------------------------------- cache serving extras
@@ -144,8 +193,8 @@ SIM_T = 0.5
 
 
 @query("seeded_simulation", X.with_ctes(X.ENTRIES_SQL, X.REQUESTS_SQL) + f"""SELECT
-  count(*) FILTER (WHERE distance < {SIM_T} AND llm_response IS NOT NULL) AS hits,
-  count(*) FILTER (WHERE NOT (distance < {SIM_T} AND llm_response IS NOT NULL)) AS misses,
+  count(*) FILTER (WHERE distance < {SIM_T}) AS hits,
+  count(*) FILTER (WHERE NOT distance < {SIM_T}) AS misses,
   (SELECT count(*) FROM entries) AS total_embeddings
 FROM (SELECT r.query_id, nn.distance, e.llm_response FROM requests r
   JOIN (SELECT query_id, entry_id, distance FROM (SELECT r.query_id, e.entry_id, 1 - {COS('r.embedding', 'e.embedding')} AS distance,
@@ -155,10 +204,11 @@ FROM (SELECT r.query_id, nn.distance, e.llm_response FROM requests r
 def q_seeded(spark, sf):
     e = X.entries(spark, sf)
     r = X.requests(spark, sf).drop("force")
-    out = C.cache_lookup(r, e, SIM_T)
+    # the walkthrough counts a hit on the distance alone, whether or not a response is stored
+    out = r.select("query_id").join(J.nearest_one(r, e), "query_id")
     st = S.collection_stats(e, "semantic_cache", 64).select("total_embeddings")
-    return out.agg(F.count_if(F.col("outcome") == "hit").alias("hits"),
-                   F.count_if(F.col("outcome") == "miss").alias("misses")).crossJoin(st)
+    return out.agg(F.count_if(F.col("distance") < SIM_T).alias("hits"),
+                   F.count_if(F.col("distance") >= SIM_T).alias("misses")).crossJoin(st)
 
 
 @query("cache_stats_by_user", LOOKUP_CTES + tidy_sql("""SELECT r.user_id, count(*) AS total_queries,
@@ -204,3 +254,26 @@ def q_cache_stats_rollup(spark, sf):
     out = C.cache_lookup(req.drop("user_id", "day"), X.entries(spark, sf), LOOKUP_T)
     o = out.join(req.select("query_id", "user_id", F.col("day").cast("string").alias("day")), "query_id")
     return tidy(C.cache_stats(o, X.entries(spark, sf), LOOKUP_T, by=["user_id", "day"], rollup=True))
+
+
+# ----------------------------------------------------------------- the cache from text
+
+TEXT_T = 0.6
+SAID_SQL = f"""said AS (SELECT seq AS query_id, min(seq) OVER (PARTITION BY text) AS first_seq, seq, text, llm_response FROM chat WHERE text IS NOT NULL),
+told AS (SELECT s.query_id, s.seq, s.text, o.llm_response AS answer, false AS "force" FROM said s JOIN said o ON o.seq = s.first_seq),
+{sparse_sql('told', 'seq', 'text', 0, EMBED_DIM, 3, 'tv')},
+vecs AS (SELECT seq, map_from_entries(list((bucket, weight))) AS m FROM tv GROUP BY seq),
+asked AS (SELECT t.*, list_transform(range({EMBED_DIM}), lambda b: coalesce(v.m[b], 0.0)) AS embedding FROM told t JOIN vecs v USING (seq))"""
+
+
+@query("cache_from_text", "WITH RECURSIVE " + CHAT_SQL + ",\n" + SAID_SQL + ",\n"
+       + walk_sql(TEXT_T, "asked", seeds=None, fail="answer IS NULL") + f"""
+SELECT t.query_id, t.seq, coalesce(r.outcome, 'miss') AS outcome, coalesce(r.inserted, 0) AS inserted, r.matched_id, r.distance,
+  CASE WHEN r.outcome = 'hit' THEN o.answer ELSE t.answer END AS response
+FROM told t LEFT JOIN replayed r USING (query_id) LEFT JOIN told o ON CAST(o.query_id AS VARCHAR) = r.matched_id""")
+def q_from_text(spark, sf):
+    ch = chat_cache(spark, sf).where(F.col("text").isNotNull())
+    # the provider answers a text as the assistant did when it was first asked
+    first = ch.groupBy("text").agg(F.min_by(F.struct("llm_response"), "seq").alias("a")).select("text", F.col("a.llm_response").alias("response"))
+    out = cache_from_text(ch.select(F.col("seq").alias("query_id"), "seq", "text"), EMB, TEXT_T, first)
+    return tidy(out)

@@ -51,27 +51,30 @@ def q_cosine(spark, sf):
     return tidy(X.vector_pairs(spark, sf))
 
 
-@query("l2_normalize", f"""SELECT vec_id, {r6('sqrt(list_sum(list_transform(u, lambda x: x * x)))')} AS norm_after,
-  {r6('u[1]')} AS first_component FROM (
-  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u
-  FROM embeddings)""")
+@query("l2_normalize", f"""SELECT vec_id, pos, {r6('component')} AS component FROM (
+  SELECT vec_id, generate_subscripts(u, 1) - 1 AS pos, unnest(u) AS component FROM (
+    SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u
+    FROM embeddings))""")
 def q_l2(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", V.l2_normalize("embedding").alias("u"))
-    return tidy(e.select("vec_id", V.l2_norm("u").alias("norm_after"), F.element_at("u", 1).alias("first_component")))
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("pos", "component"))
+    return tidy(e)
 
 
-@query("check_dimension", "SELECT vec_id, len(embedding) AS dim FROM embeddings WHERE len(embedding) <> 64")
+@query("check_dimension", f"SELECT vec_id, dim FROM (SELECT vec_id, CASE WHEN vec_id % 97 = 5 THEN len(embedding) - 1 ELSE len(embedding) END AS dim FROM embeddings) WHERE dim <> 64")
 def q_check_dim(spark, sf):
-    e = table(spark, sf, "embeddings")
+    # every 97th vector loses its last component
+    e = table(spark, sf, "embeddings").withColumn(
+        "embedding", F.when(F.col("vec_id") % 97 == 5, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding")))
     # report form (the failing form raises inside the task on the first bad row)
     return tidy(e.where(V.dimension_mismatch("embedding", 64)).select("vec_id", F.size("embedding").alias("dim")))
 
 
-@query("similarity_to_distance", X.with_ctes(X.VECTOR_PAIRS_SQL)
-       + f"SELECT pair_id, {r6('1 - similarity')} AS distance FROM vector_pairs WHERE similarity BETWEEN 0 AND 1")
+@query("similarity_to_distance", X.with_ctes(X.VECTOR_PAIRS_SQL) + f"""SELECT pair_id,
+  CASE WHEN similarity BETWEEN 0 AND 1 THEN {r6('1 - similarity')} END AS distance,
+  CAST(similarity NOT BETWEEN 0 AND 1 AS BIGINT) AS out_of_range FROM vector_pairs""")
 def q_sim_to_dist(spark, sf):
-    p = X.vector_pairs(spark, sf).where(F.col("similarity").between(0, 1))
-    return tidy(p.select("pair_id", V.similarity_to_distance("similarity").alias("distance")))
+    p = X.vector_pairs(spark, sf).withColumn("out_of_range", ~F.col("similarity").between(0, 1))
+    return tidy(p.select("pair_id", F.when(~F.col("out_of_range"), V.similarity_to_distance("similarity")).alias("distance"), "out_of_range"))
 
 
 # ----------------------------------------------------------------- 2.E vector joins
@@ -110,19 +113,42 @@ def q_sim_matrix(spark, sf):
     return tidy(J.similarity_matrix(e, id_col="vec_id", upper=True))
 
 
-# ----------------------------------------------------------------- approximate kNN (rows-only)
+# ----------------------------------------------------------------- approximate kNN
+
+BANDS, BITS, PLANE_SEED = 16, 6, 7
+
 
 def _approx(spark, sf):
     from nearhit.operators.lsh import knn_approx
-    return knn_approx(X.requests(spark, sf), X.entries(spark, sf), k=K, dim=64, bands=16, bits=6)
+    return knn_approx(X.requests(spark, sf), X.entries(spark, sf), k=K, dim=64, bands=BANDS, bits=BITS, seed=PLANE_SEED)
+
+
+def _approx_sql() -> str:
+    from nearhit.operators.lsh import planes
+    normals = planes(64, BANDS, BITS, PLANE_SEED)
+    values = ", ".join(f"({p // BITS}, {p % BITS}, [{', '.join(map(repr, n.tolist()))}])" for p, n in enumerate(normals))
+    sig = """SELECT t.{id}, n.band, sum(CASE WHEN list_inner_product(t.embedding::DOUBLE[], n.normal) > 0 THEN 1 << n.bit ELSE 0 END) AS key
+  FROM {src} t CROSS JOIN normals n GROUP BY t.{id}, n.band"""
+    dist = f"round(1 - {COS('r.embedding', 'e.embedding')}, 12)"
+    return X.with_ctes(X.ENTRIES_SQL, X.REQUESTS_SQL, f"normals AS (SELECT * FROM (VALUES {values}) AS n(band, bit, normal))",
+                       f"qk AS ({sig.format(id='query_id', src='requests')})", f"ek AS ({sig.format(id='entry_id', src='entries')})",
+                       "met AS (SELECT DISTINCT query_id, entry_id FROM qk JOIN ek USING (band, key))",
+                       f"""approx AS (SELECT query_id, entry_id, distance, rank FROM (
+  SELECT query_id, entry_id, {dist} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {dist}, entry_id) AS rank
+  FROM met JOIN requests r USING (query_id) JOIN entries e USING (entry_id)) WHERE rank <= {K})""")
+
+
+APPROX_SQL = _approx_sql()
 
 
-@query("knn_approx")
+@query("knn_approx", APPROX_SQL + f"SELECT query_id, entry_id, {r6('distance')} AS distance, rank FROM approx")
 def q_knn_approx(spark, sf):
     return tidy(_approx(spark, sf))
 
 
-@query("knn_approx_recall")
+@query("knn_approx_recall", APPROX_SQL + f""", exact AS ({KNN_SQL[KNN_SQL.index("SELECT query_id, entry_id, "):]})
+SELECT count(*) AS exact_pairs, count(a.entry_id) AS found_pairs, {r6("count(a.entry_id) / count(*)")} AS recall
+FROM exact x LEFT JOIN approx a ON a.query_id = x.query_id AND a.entry_id = x.entry_id""")
 def q_knn_recall(spark, sf):
     from nearhit.operators.lsh import recall_at_k
     exact = J.knn(X.requests(spark, sf), X.entries(spark, sf), k=K)

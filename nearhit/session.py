@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,6 +62,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+class Scratch:
+    """Tables written under the shared checkpoint folder, so that no later step depends on an executor.
+
+    ``keep`` writes a table and reads it back; ``drop`` removes tables that
+    later ones have replaced, so that a loop leaves only its last state."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.base, self.paths = spark, f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}", {}
+
+    def keep(self, df, name: str):
+        path = f"{self.base}/{name}-{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables) -> None:
+        for path, kept in self.paths.items():
+            if any(kept is t for t in tables):
+                remove(self.spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark keeps it; no folder is no error."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
 _SHIPPED: set = set()
 
 

@@ -3,13 +3,10 @@ one side is provably tiny (a one-row aggregate, a threshold grid, a table
 with one row per model, or the single-bucket rank offsets of tiny inputs)."""
 
 import __spark_entry__ as E
+from nearhit.plans import catalog
 
 from conftest import SF_SMALL
 
-# queries with side effects or iterative driver loops are checked elsewhere
-SKIP = {"cache_replay", "cache_replay_by_user", "force_requests", "fill_errors", "replay_stats", "stream_lookup",
-        "stream_replay_by_user", "read_pairs", "write_splits", "write_paraphrases", "write_results_json",
-        "read_results_json", "open_collection", "clear_collection", "tune_text_models"}
 BOUNDED_NLJ = {
     "cache_stats": "one-row aggregates",
     "knn_approx_recall": "one-row aggregates",
@@ -26,9 +23,8 @@ BOUNDED_NLJ = {
 
 def test_plans_have_no_unbounded_nested_loops(spark):
     bad = []
-    for name, fn in sorted(E.queries().items()):
-        if name in SKIP:
-            continue
+    E.queries()
+    for name, fn in sorted(catalog.QUERIES.items()):
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         if "CartesianProduct" in plan:
             bad.append((name, "CartesianProduct"))

@@ -66,13 +66,27 @@ def test_lsh_recall_on_planted_duplicates(spark):
     assert r["recall"] >= 0.95
 
 
-def test_lsh_hot_bucket_falls_back_to_exact(spark):
+def test_lsh_with_one_bucket_is_exact(spark, monkeypatch):
     from nearhit.operators.lsh import knn_approx
     q, e = X.requests(spark, SF_SMALL), X.entries(spark, SF_SMALL)
-    exact = {(r[0], r[1]) for r in J.knn(q, e, k=3).select("query_id", "entry_id").collect()}
-    # max_bucket=0 makes every non-empty bucket hot: every query that meets an
-    # entry in any band is answered exactly by the blocked kernel
-    approx = {(r[0], r[1]) for r in knn_approx(q, e, k=3, dim=64, max_bucket=0).select("query_id", "entry_id").collect()}
-    answered = {a for a, _ in approx}
-    assert approx == {p for p in exact if p[0] in answered}
-    assert len(answered) >= 0.9 * len({a for a, _ in exact})
+    exact = {(r[0], r[1], r[2]) for r in J.knn(q, e, k=3).select("query_id", "entry_id", "rank").collect()}
+    # no bits: all entries in one bucket, which the kernel splits into blocks
+    monkeypatch.setattr(J, "BLOCK_ROWS", 7)
+    got = {(r[0], r[1], r[2]) for r in knn_approx(q, e, k=3, dim=64, bands=1, bits=0).select("query_id", "entry_id", "rank").collect()}
+    assert got == exact
+
+
+def test_ties_give_exactly_k_rows_by_id(spark, monkeypatch):
+    e = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(300)], "entry_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, [2.0, 0.0]) for i in range(50)] + [(99, [0.0, 0.0]), (98, None)], "query_id long, embedding array<double>")
+    monkeypatch.setattr(J, "BLOCK_ROWS", 64)
+    got = sorted((r.query_id, r["rank"], r.entry_id) for r in J.knn(q, e, k=2).collect())
+    assert got == sorted((i, k + 1, k) for i in range(50) for k in range(2))
+    raw = J.pair_distances(q, e, mode="knn", k=2)
+    assert raw.count() <= 50 * 2 * 8 * 8  # at most k a query and block
+
+
+def test_null_keys_meet(spark):
+    q = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, 7, [1.0, 0.0])], "query_id long, user long, embedding array<double>")
+    e = spark.createDataFrame([(10, None, [1.0, 0.1]), (11, 7, [1.0, 0.2]), (12, 8, [1.0, 0.0])], "entry_id long, user long, embedding array<double>")
+    assert sorted((r.query_id, r.entry_id) for r in J.knn(q, e, k=5, key=["user"]).collect()) == [(1, 10), (2, 11)]
