@@ -13,10 +13,12 @@ Two zero-division rule sets exist, as in the reference:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearhit.operators.rank import exact_median
+MEDIAN_BUCKETS = 1 << 16
 
 
 def classify(sim, threshold: float) -> Column:
@@ -88,16 +90,67 @@ def classification_metrics(cm: DataFrame, rules: str = "textbook") -> DataFrame:
                                           "false_negatives", rules))
 
 
+def _moments(name: str, v: Column, when: Column | None = None) -> dict[str, tuple[str, Column]]:
+    """Per-bucket parts of count, mean and population variance that add up over buckets."""
+    x = v if when is None else F.when(when, v)
+    n, total = F.count(x), F.sum(x)
+    return {f"{name}_n": ("sum", n), f"{name}_s": ("sum", total), f"{name}_q": ("sum", n * F.var_pop(x)),
+            f"{name}_r": ("sum", total * total / n), f"{name}_lo": ("min", F.min(x)), f"{name}_hi": ("max", F.max(x))}
+
+
+def moment_columns(name: str, out: str, prefix=lambda c: F.col(c)) -> list[Column]:
+    """mean, population std, min and max from added-up ``_moments``; null without a value."""
+    n, total, inner, outer = (prefix(f"{name}_{x}") for x in "nsqr")
+    var = F.greatest((inner + outer - total * total / n) / n, F.lit(0.0))
+    return [F.when(n > 0, total / n).alias(f"{out}_mean"), F.when(n > 0, F.sqrt(var)).alias(f"{out}_std"),
+            prefix(f"{name}_lo").alias(f"{out}_min"), prefix(f"{name}_hi").alias(f"{out}_max")]
+
+
+def profile(scored: DataFrame, by: list[str], sim: str, parts: dict[str, tuple[str, Column]]) -> DataFrame:
+    """One row per group: ``parts`` added up, and the true median of the valid scores as ``sim_median``.
+
+    Scores are read twice. First one aggregate per (group, score bucket) has
+    the parts of each bucket; windows over a group's buckets add them up and find the
+    bucket or two of the middle ranks. Then only those buckets' scores are looked
+    at, as distinct values with counts. The found buckets, at most two rows
+    a group, are broadcast (a group is a model or a split of one)."""
+    width = 2.0 / MEDIAN_BUCKETS
+    v = F.when(F.col(sim).isNotNull() & ~F.isnan(sim), F.col(sim))
+    bucket = F.least(F.greatest(F.floor((v + 1.0) / F.lit(width)), F.lit(0)), F.lit(MEDIAN_BUCKETS - 1)).cast("long")
+    rows = scored.withColumn("_v", v).withColumn("_bk", F.when(v.isNotNull(), bucket))
+    hist = rows.groupBy(*by, "_bk").agg(F.count("_v").alias("_c"), *[c.alias(n) for n, (_, c) in parts.items()])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    order = group.orderBy("_bk")
+    total = F.struct(*[getattr(F, how)(n).over(group).alias(n) for n, (how, _) in parts.items()])
+    t = hist.select(*by, "_bk", "_c", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"),
+                    F.sum("_c").over(group).alias("_n"), F.row_number().over(order).alias("_i"), total.alias("_total"))
+    t = t.withColumn("_base", F.col("_cum") - F.col("_c"))
+    middle = F.filter(F.array(F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")),
+                      lambda r: (F.col("_n") > 0) & (r > F.col("_base")) & (r <= F.col("_cum")))
+    # a group without a valid score is found by its first bucket, which is then the null one
+    hit = t.withColumn("_ranks", middle).where((F.size("_ranks") > 0) | ((F.col("_n") == 0) & (F.col("_i") == 1)))
+    hit = hit.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_bk").alias("_g__bk"), "_base", "_ranks", "_total")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in [*by, "_bk"]])
+    found = rows.select(*by, "_bk", "_v").join(F.broadcast(hit), same)
+    per = found.groupBy(*by, "_bk", "_v").agg(F.count(F.lit(1)).alias("_vc"), *[F.first(c).alias(c) for c in ("_base", "_ranks", "_total")])
+    w = Window.partitionBy(*by, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.withColumn("_end", F.col("_base") + F.sum("_vc").over(w))
+    times = F.size(F.filter("_ranks", lambda r: (r > F.col("_end") - F.col("_vc")) & (r <= F.col("_end"))))
+    per = per.withColumn("_times", F.when(F.col("_v").isNotNull(), times).otherwise(0))
+    out = per.groupBy(*by).agg(F.first("_total").alias("_total"),
+                               (F.sum(F.when(F.col("_times") > 0, F.col("_v") * F.col("_times")))
+                                / F.sum(F.when(F.col("_times") > 0, F.col("_times")))).alias("sim_median"))
+    return out.select(*by, "_total.*", "sim_median")
+
+
 def similarity_stats(scored: DataFrame, by: list[str] | None = None, sim: str = "similarity",
                      median: bool = True) -> DataFrame:
     """mean, population std, min, max and the true median per group."""
     by = by or []
-    s = scored.groupBy(*by).agg(F.avg(sim).alias("sim_mean"), F.stddev_pop(sim).alias("sim_std"),
-                                F.min(sim).alias("sim_min"), F.max(sim).alias("sim_max"))
     if not median:
-        return s
-    m = exact_median(scored, sim, by, out="sim_median")
-    return s.join(m, by, "left") if by else s.crossJoin(m)
+        return scored.groupBy(*by).agg(F.avg(sim).alias("sim_mean"), F.stddev_pop(sim).alias("sim_std"),
+                                       F.min(sim).alias("sim_min"), F.max(sim).alias("sim_max"))
+    return profile(scored, by, sim, _moments("_m", F.col(sim))).select(*by, *moment_columns("_m", "sim"), "sim_median")
 
 
 def cell_similarity(scored: DataFrame, threshold: float, by: list[str] | None = None,
@@ -126,20 +179,16 @@ def evaluate_pairs(scored: DataFrame, threshold: float = 0.85, by: list[str] | N
     whose similarity is null are left out of every statistic (the group still
     appears, with ``n_samples = 0``)."""
     by = by or []
-    p = classify(sim, threshold)
-    t = F.col(label)
-    s = F.col(sim)
+    p, t, s = classify(sim, threshold), F.col(label), F.col(sim)
     v = s.isNotNull() if valid_only else F.lit(True)
-    cells = {"TP": v & (p == 1) & (t == 1), "FP": v & (p == 1) & (t == 0),
-             "TN": v & (p == 0) & (t == 0), "FN": v & (p == 0) & (t == 1)}
-    names = {"TP": "true_positives", "FP": "false_positives", "TN": "true_negatives", "FN": "false_negatives"}
-    aggs = [F.count_if(c).alias(names[k]) for k, c in cells.items()]
-    aggs += [F.coalesce(F.avg(F.when(c, s)), F.lit(0.0)).alias(f"avg_sim_{k.lower()}") for k, c in cells.items()]
-    aggs += [F.count_if(v).alias("n_samples"), F.avg(s).alias("sim_mean"), F.stddev_pop(s).alias("sim_std"),
-             F.min(s).alias("sim_min"), F.max(s).alias("sim_max")]
-    agg = scored.groupBy(*by).agg(*aggs)
-    agg = agg.select("*", *metric_columns("true_positives", "false_positives", "true_negatives",
-                                          "false_negatives", "textbook"),
-                     F.lit(float(threshold)).alias("threshold"))
-    m = exact_median(scored, sim, by, out="sim_median")
-    return agg.join(m, by, "left") if by else agg.crossJoin(m)
+    cells = {"true_positives": v & (p == 1) & (t == 1), "false_positives": v & (p == 1) & (t == 0),
+             "true_negatives": v & (p == 0) & (t == 0), "false_negatives": v & (p == 0) & (t == 1)}
+    short = {"true_positives": "tp", "false_positives": "fp", "true_negatives": "tn", "false_negatives": "fn"}
+    parts = {n: ("sum", F.count_if(c)) for n, c in cells.items()}
+    parts |= {f"_s_{n}": ("sum", F.sum(F.when(c, s))) for n, c in cells.items()}
+    parts |= {"n_samples": ("sum", F.count_if(v))} | _moments("_m", s)
+    got = profile(scored, by, sim, parts)
+    means = [F.when(F.col(n) > 0, F.col(f"_s_{n}") / F.col(n)).otherwise(0.0).alias(f"avg_sim_{short[n]}") for n in cells]
+    cols = [*by, *cells, *means, "n_samples", *moment_columns("_m", "sim")]
+    return got.select(*cols, *metric_columns("true_positives", "false_positives", "true_negatives", "false_negatives", "textbook"),
+                      F.lit(float(threshold)).alias("threshold"), "sim_median")

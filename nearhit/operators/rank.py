@@ -1,14 +1,10 @@
-"""Exact ranks, cuts at given ranks, and medians without a single-partition window.
+"""Exact ranks and cuts at given ranks without a single-partition window.
 
 Rows are counted per bucket, where a bucket is a range of the order. The
 buckets' offsets are running sums in levels of 1,024, so that no window
 holds more rows than that, and only the buckets that hold a wanted rank are
 looked into. ``first_ranks`` turns ranks into predicates on the row itself:
 wide rows are filtered where they lie, never shuffled or joined back.
-
-``exact_median`` finds the bucket holding the middle rank from a value
-histogram, then resolves inside that bucket over distinct values with their
-counts, so heavy ties collapse to one row instead of one hot partition.
 """
 
 from __future__ import annotations
@@ -165,36 +161,3 @@ def running_total(df: DataFrame, order: str, weight: str, out: str = "_before")
     w = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (b.join(offsets.select("_bk", "_off"), "_bk")
              .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight).over(w), F.lit(0))).drop("_bk", "_off"))
-
-
-def exact_median(df: DataFrame, value: str, by: list[str], out: str = "median",
-                 buckets: int = 1 << 20, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
-    """True median per group (mean of the two middle values when n is even).
-
-    Values outside ``[lo, hi]`` fall into the edge buckets, which stays exact
-    (the second pass works on actual values); only the speed assumes most
-    values lie inside the range.
-    """
-    width = (hi - lo) / buckets
-    v = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    v = v.withColumn("_bk", F.least(F.greatest(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                                    F.lit(buckets - 1)).cast("long"))
-    hist = v.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-    wg = Window.partitionBy(*by)
-    wc = wg.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_cum", F.sum("_c").over(wc)).withColumn("_n", F.sum("_c").over(wg)))
-    # middle ranks (1-based): lo_r = (n+1) div 2, hi_r = n div 2 + 1
-    targets = (hist.select(*by, "_n").distinct()
-                   .withColumn("_r", F.explode(F.array(((F.col("_n") + 1) / 2).cast("long"),
-                                                       (F.col("_n") / 2).cast("long") + 1))))
-    hit = (hist.join(targets, by + ["_n"])
-               .where((F.col("_cum") - F.col("_c") < F.col("_r")) & (F.col("_r") <= F.col("_cum")))
-               .select(*by, "_bk", "_r", (F.col("_r") - (F.col("_cum") - F.col("_c"))).alias("_in")))
-    cand = (v.join(hit.select(*by, "_bk").distinct(), by + ["_bk"], "left_semi")
-              .groupBy(*by, "_bk", "_v").agg(F.count(F.lit(1)).alias("_vc")))
-    wv = Window.partitionBy(*by, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("_vcum", F.sum("_vc").over(wv))
-    picked = (cand.join(hit, by + ["_bk"])
-                  .where((F.col("_vcum") - F.col("_vc") < F.col("_in")) & (F.col("_in") <= F.col("_vcum")))
-                  .select(*by, "_r", "_v").distinct())
-    return picked.groupBy(*by).agg(F.avg("_v").alias(out)) if by else picked.agg(F.avg("_v").alias(out))

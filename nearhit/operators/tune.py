@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearhit.operators.metrics import metric_columns
+from nearhit.operators.metrics import _moments, metric_columns, moment_columns
 from nearhit.operators.registry import registry
 
 METRICS = ("f1", "accuracy", "precision", "recall")
@@ -60,36 +60,42 @@ def grid_bucket(s, ts: list[float]):
     return F.least(F.greatest(m - lo + 1, F.lit(0)), F.lit(hi - lo + 1)).cast("int")
 
 
-def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str] | None = None,
-                    sim: str = "similarity", label: str = "is_duplicate", rules: str = "tuner") -> DataFrame:
-    """Confusion cells and metrics at every grid threshold, per group."""
-    by = list(by or [])
-    ts = sorted(float(t) for t in grid)
-    g = len(ts)
-    s = valid_scores(scored, sim)
-    bucket = grid_bucket(F.col(sim), ts)
-    counts = (s.groupBy(*by, bucket.alias("_b"))
-               .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
-    # one histogram per group (at most len(grid)+1 entries), so the input is
+def _sweep(scored: DataFrame, ts: list[float], by: list[str], sim: str, label: str, rules: str,
+           parts: dict | None = None) -> DataFrame:
+    """Every grid threshold of every group, from one aggregate over (group, bucket).
+
+    ``parts`` (name -> (how they add up, aggregate)) are added up over the
+    group's buckets, the one of invalid scores (bucket null) included, and carried along."""
+    ok = F.col(sim).isNotNull() & ~F.isnan(sim)
+    counts = (scored.groupBy(*by, F.when(ok, grid_bucket(F.col(sim), ts)).alias("_b"))
+               .agg(F.count_if(ok & (F.col(label) == 1)).alias("_pos"), F.count_if(ok & (F.col(label) == 0)).alias("_neg"),
+                    *[c.alias(n) for n, (_, c) in (parts or {}).items()]))
+    # one histogram per group (at most len(grid)+2 entries), so the input is
     # scanned once; thresholds are then read off the histogram
     per = counts.groupBy(*by).agg(F.collect_list(F.struct("_b", "_pos", "_neg")).alias("_h"),
-                                  F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    full = per.select(*by, "_P", "_N", "_h", F.explode(F.sequence(F.lit(1), F.lit(g))).alias("_b"))
+                                  F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
+                                  *[getattr(F, how)(n).alias(n) for n, (how, _) in (parts or {}).items()])
+    full = per.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(ts)))).alias("_b"))
     above = F.filter("_h", lambda x: x["_b"] >= F.col("_b"))
     full = (full.withColumn("tp", F.aggregate(above, F.lit(0).cast("long"), lambda a, x: a + x["_pos"]))
                 .withColumn("fp", F.aggregate(above, F.lit(0).cast("long"), lambda a, x: a + x["_neg"])))
     grid_arr = F.array(*[F.lit(t) for t in ts])
-    out = (full
-               .select(*by, F.element_at(grid_arr, F.col("_b").cast("int")).alias("threshold"),
-                       F.col("tp").cast("bigint").alias("true_positives"),
-                       F.col("fp").cast("bigint").alias("false_positives"),
-                       (F.col("_N") - F.col("fp")).cast("bigint").alias("true_negatives"),
-                       (F.col("_P") - F.col("tp")).cast("bigint").alias("false_negatives"),
-                       (F.col("_P") + F.col("_N")).cast("bigint").alias("total")))
+    out = full.select(*by, F.element_at(grid_arr, F.col("_b").cast("int")).alias("threshold"),
+                      F.col("tp").cast("bigint").alias("true_positives"),
+                      F.col("fp").cast("bigint").alias("false_positives"),
+                      (F.col("_N") - F.col("fp")).cast("bigint").alias("true_negatives"),
+                      (F.col("_P") - F.col("tp")).cast("bigint").alias("false_negatives"),
+                      (F.col("_P") + F.col("_N")).cast("bigint").alias("total"), *(parts or {}))
     return out.select("*", *metric_columns("true_positives", "false_positives", "true_negatives",
                                            "false_negatives", rules))
 
 
+def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str] | None = None,
+                    sim: str = "similarity", label: str = "is_duplicate", rules: str = "tuner") -> DataFrame:
+    """Confusion cells and metrics at every grid threshold, per group."""
+    return _sweep(valid_scores(scored, sim), sorted(float(t) for t in grid), list(by or []), sim, label, rules)
+
+
 def best_threshold(sweep: DataFrame, by: list[str] | None = None, metric: str = "f1",
                    min_precision: float | None = None) -> DataFrame:
     """Row of the best threshold per group: highest score, lowest threshold on
@@ -106,13 +112,12 @@ def best_threshold(sweep: DataFrame, by: list[str] | None = None, metric: str =
 
 def no_threshold_error(min_precision: float | None) -> str:
     if min_precision is not None:
-        return (f"No threshold found that meets precision >= {min_precision:.2f}. "
-                "Try lowering min_precision or check your data quality.")
-    return "No valid threshold found. Check your data quality."
+        return f"every threshold has a precision below {min_precision:.2f}"
+    return "the grid has no threshold"
 
 
 EMPTY_CLASS_ERROR = "A class has no valid samples"
-ALL_INVALID_ERROR = "All similarity scores are NaN. Check your dataset for empty or invalid text."
+ALL_INVALID_ERROR = "no pair has a valid score"
 
 
 def tune_models(scored: DataFrame, grid: list[float], metric: str = "f1",
@@ -121,24 +126,23 @@ def tune_models(scored: DataFrame, grid: list[float], metric: str = "f1",
     """One result row per model (flattened T10): optimal threshold, metrics and
     confusion cells there, sample counts, per-class similarity stats,
     ``success`` and ``error``. A failing model yields an error row (S22, S23)."""
+    if metric not in METRICS:
+        raise ValueError(f"Unknown metric: {metric}")
     by = list(by or ["model_key"])
-    sweep = threshold_sweep(scored, grid, by, sim, label, rules="tuner")
-    best = best_threshold(sweep, by, metric, min_precision).select(
-        *by, F.col("threshold").alias("optimal_threshold"), "accuracy", "precision", "recall", "f1_score",
-        "true_negatives", "false_positives", "false_negatives", "true_positives", "total")
-    # sample counts and per-class statistics in one pass over the scores
     s = F.col(sim)
     ok = s.isNotNull() & ~F.isnan(s)
     d, nd = ok & (F.col(label) == 1), ok & (F.col(label) == 0)
-    cls = scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("tuning_samples"), F.count_if(ok).alias("valid_samples"),
-        F.count_if(~ok | s.isNull()).alias("invalid_samples"),
-        F.count_if(d).alias("_nd"), F.count_if(nd).alias("_nn"),
-        F.avg(F.when(d, s)).alias("dup_mean"), F.stddev_pop(F.when(d, s)).alias("dup_std"),
-        F.min(F.when(d, s)).alias("dup_min"), F.max(F.when(d, s)).alias("dup_max"),
-        F.avg(F.when(nd, s)).alias("nondup_mean"), F.stddev_pop(F.when(nd, s)).alias("nondup_std"),
-        F.min(F.when(nd, s)).alias("nondup_min"), F.max(F.when(nd, s)).alias("nondup_max"))
-    r = cls.join(best, by, "left")
+    parts = {"tuning_samples": ("sum", F.count(F.lit(1))), "valid_samples": ("sum", F.count_if(ok)),
+             "invalid_samples": ("sum", F.count_if(~ok))} | _moments("_d", s, d) | _moments("_n", s, nd)
+    sweep = _sweep(scored, sorted(float(t) for t in grid), by, sim, label, "tuner", parts)
+    # the best admissible threshold; a group without one keeps a row of its own, with no threshold
+    admitted = (F.col("valid_samples") > 0) if min_precision is None else \
+        (F.col("valid_samples") > 0) & (F.col("precision") >= F.lit(float(min_precision)))
+    w = Window.partitionBy(*by).orderBy(F.col("_ok").desc(), F.col(METRIC_COL[metric]).desc(), F.col("threshold").asc())
+    r = (sweep.withColumn("_ok", admitted).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+              .withColumn("optimal_threshold", F.when(F.col("_ok"), F.col("threshold"))))
+    r = r.select("*", *moment_columns("_d", "dup"), *moment_columns("_n", "nondup"),
+                 F.col("_d_n").alias("_nd"), F.col("_n_n").alias("_nn"))
     err = (F.when(F.col("valid_samples") == 0, F.lit(ALL_INVALID_ERROR))
             .when(F.col("optimal_threshold").isNull(), F.lit(no_threshold_error(min_precision)))
             .when((F.col("_nd") == 0) | (F.col("_nn") == 0), F.lit(EMPTY_CLASS_ERROR)))
@@ -190,17 +194,13 @@ def strategy_comparison(scored: DataFrame, grid: list[float], min_precision: flo
     """F1-, precision-, recall- and constrained-F1-optimal thresholds side by
     side per model, from one sweep."""
     by = list(by or ["model_key"])
-    sweep = threshold_sweep(scored, grid, by).cache()
-    parts = []
-    for name, metric, mp in STRATEGIES:
-        b = best_threshold(sweep, by, metric, min_precision if mp else None)
-        parts.append(b.select(*by, F.lit(name).alias("strategy"), "threshold", "f1_score", "precision", "recall"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    names = [s for s, _, _ in STRATEGIES]
-    return (u.groupBy(*by).pivot("strategy", names)
-             .agg(F.first("threshold").alias("threshold"), F.first("f1_score").alias("f1")))
+    sweep = threshold_sweep(scored, grid, by)
+    cols = []
+    for name, metric, constrained in STRATEGIES:
+        ok = F.col("precision") >= F.lit(float(min_precision)) if constrained else F.lit(True)
+        order = F.when(ok, F.struct(F.col(METRIC_COL[metric]), -F.col("threshold")))  # highest score, then lowest threshold
+        cols += [F.max_by("threshold", order).alias(f"{name}_threshold"), F.max_by("f1_score", order).alias(f"{name}_f1")]
+    return sweep.groupBy(*by).agg(*cols)
 
 
 def tune_then_validate(train: DataFrame, evals: DataFrame, grid: list[float], metric: str = "f1",

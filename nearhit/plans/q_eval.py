@@ -351,13 +351,24 @@ def q_pareto(spark, sf):
     return tidy(TU.pareto_thresholds(sw))
 
 
-@query("valid_scores", BASE + """SELECT model_key, count(*) AS tuning_samples,
+SPOILT_SQL = """spoilt AS (SELECT model_key, pair_id, is_duplicate,
+  CASE WHEN pair_id % 50 = 1 THEN NULL WHEN pair_id % 51 = 2 THEN 'nan'::DOUBLE ELSE similarity END AS similarity FROM model_pairs)"""
+
+
+def spoilt(spark, sf):
+    """``model_pairs`` with some scores missing and some not a number."""
+    s = F.when(F.col("pair_id") % 50 != 1, F.when(F.col("pair_id") % 51 == 2, F.lit(float("nan"))).otherwise(F.col("similarity")))
+    return pairs(spark, sf).withColumn("similarity", s)
+
+
+@query("valid_scores", BASE + "," + SPOILT_SQL + """
+SELECT model_key, count(*) AS tuning_samples,
   count(*) FILTER (WHERE similarity IS NOT NULL AND NOT isnan(similarity)) AS valid_samples,
   count(*) FILTER (WHERE similarity IS NULL OR isnan(similarity)) AS invalid_samples,
   CAST(count(*) FILTER (WHERE similarity IS NOT NULL AND NOT isnan(similarity)) < 100 AS BIGINT) AS few_valid
-FROM model_pairs GROUP BY model_key""")
+FROM spoilt GROUP BY model_key""")
 def q_valid(spark, sf):
-    return tidy(TU.score_validity(pairs(spark, sf), ["model_key"]))
+    return tidy(TU.score_validity(spoilt(spark, sf), ["model_key"]))
 
 
 # ----------------------------------------------------------------- 2.L scope / registry

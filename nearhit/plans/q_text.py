@@ -45,10 +45,9 @@ def q_statements(spark, sf):
 
 @query("strip_numbering", f"""SELECT conv_id, turn, line_no, regexp_replace(line, '{NUMBERING}', '', 'g') AS stripped FROM (
   SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
-         unnest(string_split(text, chr(10))) AS line FROM conversations WHERE role = 'assistant')""")
+         unnest(string_split(text, chr(10))) AS line FROM conversations)""")
 def q_strip_numbering(spark, sf):
-    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return tidy(lines.select("conv_id", "turn", "line_no", strip_numbering("line").alias("stripped")))
 
 

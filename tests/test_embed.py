@@ -1,30 +1,71 @@
-"""Hashed embedder: unit norms, and the sparse and dense pair paths agree."""
+"""Hashed embedder: unit norms, pair scores against a plain loop, and plans without a shuffle."""
 
+import hashlib
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearhit.functions.text import normalize_text
 from nearhit.operators import embed as E
 from nearhit.plans import fixtures as X
 
 from conftest import SF_SMALL
 
+MODELS = {"a": E.HashedEmbedder(0, 256, 3), "b": E.HashedEmbedder(7, 10_000, 1), "raw": E.HashedEmbedder(1, 64, 2, normalize=False)}
+
+
+def vector(text, m):
+    words = [w for w in (text or "").split(" ") if w]
+    c = Counter(int(hashlib.md5(f"{m.seed}:{' '.join(words[i:i + m.n])}".encode()).hexdigest()[:8], 16) % m.dim
+                for i in range(len(words) - m.n + 1))
+    norm = math.sqrt(sum(v * v for v in c.values()))
+    return {k: v / norm for k, v in c.items()}
+
 
-def test_unit_norm(spark):
+def test_unit_norm_without_a_shuffle(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    sp = E.HashedEmbedder(0, 256, 3).sparse(docs, "doc_id", "text")
+    sp = MODELS["a"].sparse(docs, "doc_id", "text")
+    assert "Exchange" not in sp._jdf.queryExecution().executedPlan().toString()
     norms = sp.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert norms and all(abs(r["n"] - 1.0) < 1e-9 for r in norms)
 
 
-def test_sparse_and_dense_paths_agree(spark, monkeypatch):
-    qp = X.question_pairs(spark, SF_SMALL)
-    emb = E.HashedEmbedder(0, 256, 3)
-    dense = {r[0]: r[1] for r in E.embed_distinct(qp, emb).collect()}
-    monkeypatch.setattr(E, "DENSE_MAX_DIM", 0)
-    sparse = {r[0]: r[1] for r in E.embed_distinct(qp, emb).collect()}
-    assert dense.keys() == sparse.keys()
-    for k in dense:
-        if dense[k] is None:
-            assert sparse[k] is None
-        else:
-            assert sparse[k] == pytest.approx(dense[k], abs=1e-9)
+def test_pair_scores_equal_a_plain_loop(spark):
+    extra = spark.createDataFrame([(10 ** 6, None, "a b c", 1), (10 ** 6 + 1, "", "a b c d", 0), (10 ** 6 + 2, "x y z", "x y z", None),
+                                   (10 ** 6 + 3, "one", "one", 1)], "id long, question1 string, question2 string, is_duplicate int")
+    qp = X.question_pairs(spark, SF_SMALL).select(extra.columns).unionByName(extra)
+    scored = E.score_pairs(qp, MODELS)
+    got = {(r.model_key, r.id): (r.similarity, r.is_duplicate) for r in scored.collect()}
+    rows = qp.select("id", "question1", "question2", "is_duplicate", normalize_text("question1").alias("n1"), normalize_text("question2").alias("n2")).collect()
+    assert len(got) == 3 * len(rows)
+    for key, m in MODELS.items():
+        for r in rows:
+            a, b = (vector(t, m) for t in ((r.n1, r.n2) if m.normalize else (r.question1, r.question2)))
+            want = sum(v * b.get(k, 0.0) for k, v in a.items()) if a and b else None
+            sim, label = got[(key, r.id)]
+            assert label == r.is_duplicate
+            assert (sim is None) == (want is None) and (want is None or sim == pytest.approx(want, abs=1e-9))
+    plan = E.score_pairs(X.question_pairs(spark, SF_SMALL), MODELS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_dense_equals_sparse(spark):
+    df = spark.createDataFrame([(1, "a b c d a b c"), (2, "a"), (3, None)], "id long, text string")
+    m = E.HashedEmbedder(3, 32, 2)
+    got = {r.id: r.embedding for r in m(df).collect()}
+    assert got[2] is None and got[3] is None
+    want = np.zeros(32)
+    for k, v in vector("a b c d a b c", m).items():
+        want[k] = v
+    assert np.allclose(got[1], want)
+
+
+def test_model_embedder_runs_a_model_on_batches(spark):
+    def make_predict():
+        return lambda texts: np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+    df = spark.createDataFrame([(1, "  Aa  b "), (2, "xyz")], "id long, text string")
+    got = {r.id: list(r.embedding) for r in E.model_embedder(make_predict, 2)(df).collect()}
+    assert got == {1: [4.0, 2.0], 2: [3.0, 0.0]}
