@@ -16,7 +16,7 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
-             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
+             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -85,22 +85,31 @@ def _same_class(text: str, kind: str, key: str, hexadecimal: str = "false") -> s
     return _let("cs", chars, _let("pv", fed, "array_join(transform(cs, (c, i) -> IF((" + base + ") < 0, c, chr((" + base + ") + pv[i]))), '')"))
 
 
-def _date(parsed: str, shown: str, key: str) -> str:
-    """A valid date to another of the same 400 years, shown in its format; others are left as they are."""
-    day = f"CAST(datediff({parsed}, {EPOCH}) AS BIGINT)"
+def _date(parsed: str, shown: str, key: str, day_first: bool = False) -> str:
+    """A valid date to another of the same 400 years, shown in its format; others are left as they are.
+
+    ``day_first``: for dates that only read as day before month, that is of a
+    day above 12. The permutation is walked on until it meets such a date again."""
     part = f"pmod(dd, {CYCLE}L)"
     fed = _feistel(f"array({part} div {LOW}, {part} % {LOW})", f"array({HIGH}L, {LOW}L)", "date", key)
-    moved = f"date_add({EPOCH}, CAST(dd - {part} + dv[0] * {LOW} + dv[1] AS INT))"
+    step = _let("dv", fed, f"dd - {part} + dv[0] * {LOW} + dv[1]")
+    start = f"CAST(datediff({parsed}, {EPOCH}) AS BIGINT)"
+    if day_first:
+        # a walk of 64 steps that meets none has a chance below 1e-25
+        moved = (f"aggregate(sequence(1, 64), {start}, (dd, di) -> IF(di > 1 AND day(date_add({EPOCH}, CAST(dd AS INT))) > 12, dd, {step}))")
+    else:
+        moved = _let("dd", start, step)
     # a year below 1000 or above 9999 would change the format; the cycles 1600-2399 hold no such date
     return (f"IF({parsed} IS NULL OR {parsed} NOT BETWEEN {EPOCH} AND DATE'2400-02-29', m, "
-            + _let("dd", day, _let("dv", fed, f"date_format({moved}, '{shown}')")) + ")")
+            f"date_format(date_add({EPOCH}, CAST({moved} AS INT)), '{shown}'))")
 
 
 def pseudonym(key: str) -> str:
     """SQL for the pseudonym of a match ``m``; a value that does not validate stays as it is."""
     if not key or not all(c.isalnum() or c in "-_." for c in key):
         raise ValueError("the key must be of letters, digits, '-', '_' and '.'")
-    email = "concat(" + _same_class("split(m, '@')[0]", "email", key) + ", substr(m, instr(m, '@')))"
+    # all but the top-level domain: a short name alone has too few others to hide among
+    email = "concat(" + _same_class("regexp_extract(m, '^(.*)[.][^.]*$', 1)", "email", key) + ", regexp_extract(m, '([.][^.]*)$', 1))"
     secret = f"IF(m LIKE 'AKIA%', concat('AKIA', {_same_class('substr(m, 5)', 'secret', key)}), " + _same_class(
         "m", "secret", key, "m RLIKE '^[0-9a-f]+$'") + ")"
     body = "regexp_extract(m, '^....([A-Z]*)', 1)"
@@ -109,6 +118,7 @@ def pseudonym(key: str) -> str:
     iban = (f"IF({_mod97('concat(substr(m, 5), substr(m, 1, 4))')} <> 1, m, "
             + _let("nb", f"concat({body}, array_join(transform({fed}, x -> CAST(x AS STRING)), ''))", f"concat(substr(m, 1, 2), {check}, nb)") + ")")
     date = ("CASE WHEN m RLIKE '^....-' THEN " + _date("try_to_date(m, 'yyyy-MM-dd')", "yyyy-MM-dd", key)
+            + " WHEN m LIKE '%/%' AND substr(m, 1, 2) > '12' THEN " + _date("try_to_date(m, 'dd/MM/yyyy')", "dd/MM/yyyy", key, day_first=True)
             + " WHEN m LIKE '%/%' THEN " + _date("try_to_date(m, 'MM/dd/yyyy')", "MM/dd/yyyy", key)
             + " ELSE " + _date("try_to_date(m, 'dd.MM.yyyy')", "dd.MM.yyyy", key) + " END")
     octets = "transform(split(m, '[.]'), o -> CAST(o AS BIGINT))"
@@ -119,11 +129,15 @@ def pseudonym(key: str) -> str:
     ssn = (f"IF({area} IN (0, 666) OR {area} >= 900 OR {group} = 0 OR {serial} = 0, m, " + _let(
         "sv", fed, "concat_ws('-', lpad(CAST(sv[0] + IF(sv[0] >= 665, 2, 1) AS STRING), 3, '0'), "
         "lpad(CAST(sv[1] + 1 AS STRING), 2, '0'), lpad(CAST(sv[2] + 1 AS STRING), 4, '0'))") + ")")
-    # the national number's first digit stays within 2-9 or within 0-1; a country code stays
-    first = "IF(pd[size(pd) - 10] > 1, 2L, 0L)"
-    fed = _feistel(f"transform(slice(pd, -10, 10), (x, i) -> IF(i = 0, x - {first}, x))",
-                   f"transform(sequence(0, 9), i -> IF(i = 0, IF({first} = 2, 8L, 2L), 10L))", "phone", key)
-    phone = _let("pd", _digits("m"), _into("m", f"concat(slice(pd, 1, size(pd) - 10), transform({fed}, (x, i) -> IF(i = 0, x + {first}, x)))"))
+    # a country code stays: the digits up to the first separator after a plus sign, or what ten digits leave over. A
+    # national number of ten digits keeps its first digit within 2-9 or within 0-1.
+    count = ("IF(m LIKE '+%', IF(m RLIKE '^[+][0-9]{1,3}[^0-9]', size(pd) - length(regexp_extract(m, '^[+]([0-9]+)', 1)), "
+             "least(10, size(pd) - 1)), size(pd))")
+    first = "IF(pn = 10 AND pd[size(pd) - 10] > 1, 2L, 0L)"
+    fed = _feistel("transform(slice(pd, -pn, pn), (x, i) -> IF(i = 0, x - pf, x))",
+                   "transform(sequence(1, pn), i -> IF(i = 1 AND pn = 10, IF(pf = 2, 8L, 2L), 10L))", "phone", key)
+    moved = f"concat(slice(pd, 1, size(pd) - pn), transform({fed}, (x, i) -> IF(i = 0, x + pf, x)))"
+    phone = _let("pd", _digits("m"), "IF(size(pd) < 8 OR size(pd) > 15, m, " + _let("pn", count, _let("pf", first, _into("m", moved))) + ")")
     fed = _feistel("slice(cd, 2, size(cd) - 2)", "transform(sequence(1, size(cd) - 2), z -> 10L)", "card", key)
     paid = f"concat(slice(cd, 1, 1), {fed})"
     card = _let("cd", _digits("m"), f"IF({_luhn('cd')} % 10 <> 0, m, " + _into("m", _let(
@@ -152,8 +166,8 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str |
 
     Cards (Luhn), IBANs (mod 97), social security numbers, IP addresses,
     phone numbers and dates are validated and permuted among the valid values
-    of their format by a keyed Feistel network; e-mail names and secrets are
-    permuted letter by letter within their classes. The permutation depends on ``key`` and kind
+    of their format by a keyed Feistel network; e-mail addresses (but for the
+    top-level domain) and secrets are permuted letter by letter within their classes. The permutation depends on ``key`` and kind
     only, so equal values get equal pseudonyms in all documents and different
     values different ones. What does not validate stays as it is.
 
