@@ -7,6 +7,11 @@ These are for row-wise work: one pair of vectors per row. All-pairs work
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +47,6 @@ def cosine_similarity(a, b) -> Column:
     return F.when(den > 0, dot(a, b) / den)
 
 
-def cosine_distance(a, b) -> Column:
-    """1 - cosine similarity, range 0..2."""
-    return F.lit(1.0) - cosine_similarity(a, b)
-
-
 def similarity_to_distance(s, *, check: bool = True):
     """``1 - s``. A Python number is range-checked on the driver; a column is
     checked per row with ``raise_error`` (valid range 0..1)."""
@@ -75,41 +75,31 @@ def dimension_mismatch(a, expected: int) -> Column:
     return F.size(_c(a)) != F.lit(expected)
 
 
-def truncate_normalize(a, dims: int) -> Column:
-    """First ``dims`` components, re-normalised to unit length."""
-    return l2_normalize(F.slice(_c(a), 1, dims))
-
-
 # --------------------------------------------------------------- vectorised path
 #
 # The higher-order-function forms above are interpreted per element, and
 # Catalyst inlines a derived column into every expression that reads it (a
-# 76-threshold sweep would evaluate the cosine 76 times). The Arrow-batched
-# pandas UDF below computes each batch with one numpy pass and is evaluated
-# exactly once per row.
-
-import numpy as _np  # noqa: E402
-import pandas as _pd  # noqa: E402
-from pyspark.sql.functions import pandas_udf as _pandas_udf  # noqa: E402
-
-
-def _rowwise_cosine(a: _pd.Series, b: _pd.Series) -> _pd.Series:
-    out = _np.full(len(a), _np.nan)
-    valid = _np.zeros(len(a), dtype=bool)
-    la = _np.fromiter((-1 if x is None else len(x) for x in a), dtype=_np.int64, count=len(a))
-    lb = _np.fromiter((-1 if x is None else len(x) for x in b), dtype=_np.int64, count=len(b))
-    for n in _np.unique(la[(la == lb) & (la > 0)]):
-        idx = _np.nonzero((la == n) & (lb == n))[0]
-        A = _np.stack([_np.asarray(a.iat[i], dtype=_np.float64) for i in idx])
-        B = _np.stack([_np.asarray(b.iat[i], dtype=_np.float64) for i in idx])
-        den = _np.linalg.norm(A, axis=1) * _np.linalg.norm(B, axis=1)
-        num = _np.einsum("ij,ij->i", A, B)
+# 76-threshold sweep would evaluate the cosine 76 times). The Arrow UDF below
+# flattens each batch's list columns into matrices and is evaluated exactly once per row.
+
+
+def matrices(a: pa.Array, b: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, A, B) for each length that both lists of a row have; rows with a null, empty or unequal list are left out."""
+    la, lb = (pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (a, b))
+    for n in np.unique(la[(la == lb) & (la > 0)]):
+        rows = np.flatnonzero((la == n) & (lb == n))
+        take = pa.array(rows)
+        yield (rows, *(x.take(take).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) for x in (a, b)))
+
+
+def _rowwise_cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    out, valid = np.zeros(len(a)), np.zeros(len(a), dtype=bool)
+    for rows, A, B in matrices(a, b):
+        den = np.linalg.norm(A, axis=1) * np.linalg.norm(B, axis=1)
         ok = den > 0
-        out[idx[ok]] = num[ok] / den[ok]
-        valid[idx[ok]] = True
-    res = _pd.array(out, dtype="Float64")
-    res[~valid] = _pd.NA
-    return _pd.Series(res)
+        out[rows[ok]] = np.einsum("ij,ij->i", A, B)[ok] / den[ok]
+        valid[rows[ok]] = True
+    return pa.array(out, mask=~valid)
 
 
 _UDFS: dict = {}
@@ -119,5 +109,5 @@ def cosine_similarity_batched(a, b) -> Column:
     """Row-wise cosine similarity through one numpy pass per Arrow batch;
     null for missing, zero or mismatched vectors."""
     if "cos" not in _UDFS:
-        _UDFS["cos"] = _pandas_udf(_rowwise_cosine, "double")
+        _UDFS["cos"] = F.arrow_udf(_rowwise_cosine, "double")
     return _UDFS["cos"](_c(a), _c(b))

@@ -206,10 +206,10 @@ def strategy_comparison(scored: DataFrame, grid: list[float], min_precision: flo
 def tune_then_validate(train: DataFrame, evals: DataFrame, grid: list[float], metric: str = "f1",
                        min_precision: float | None = None, split_col: str = "split") -> DataFrame:
     """Tune on ``train``, then textbook metrics at the tuned threshold on each
-    split of ``evals``. The tuned table has one row per model: broadcast."""
+    split of ``evals``. The tuned table has one row per model."""
     res = tune_models(train, grid, metric, min_precision).where("success").select(
         "model_key", F.col("optimal_threshold").alias("tuned_threshold"))
-    j = evals.join(F.broadcast(res), "model_key")
+    j = evals.join(res, "model_key")
     p = (F.col("similarity") >= F.col("tuned_threshold")).cast("int")
     t = F.col("is_duplicate")
     cm = j.groupBy("model_key", split_col, "tuned_threshold").agg(

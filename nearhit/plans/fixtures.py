@@ -15,11 +15,12 @@ recompute every registered query from the same parquet tables.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearhit.functions.vector import cosine_similarity_batched as cosine_similarity
+from nearhit.functions.vector import matrices
 from nearhit.sources.tables import table
 
 PAIR_SPAN = 20
@@ -90,35 +91,20 @@ def model_dims(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODEL_DIMS, "model_key string, dims int")
 
 
-class _PrefixCosines:
+def _prefix_cosines(dims: list[int]):
     """Cosine of the first ``d`` components for every ``d`` in ``dims`` from
     one pass of cumulative sums: one Arrow round trip for all models instead
     of one per model."""
-
-    def __init__(self, dims: list[int]):
-        self.idx = np.asarray(dims) - 1
-
-    def __call__(self, a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype=object)
-        A = np.stack([np.asarray(x, dtype=np.float64) for x in a])
-        B = np.stack([np.asarray(x, dtype=np.float64) for x in b])
-        i = self.idx
-        ab, aa, bb = np.cumsum(A * B, axis=1)[:, i], np.cumsum(A * A, axis=1)[:, i], np.cumsum(B * B, axis=1)[:, i]
-        den = np.sqrt(aa * bb)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            c = np.where(den > 0, ab / den, np.nan)
-        return pd.Series(list(c))
-
-
-def _prefix_cosines(dims: list[int]):
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.pandas.functions import PandasUDFType  # noqa: F401
-    fn = _PrefixCosines(dims)
-
-    def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        return fn(a, b)
-    return pandas_udf(f, "array<double>")
+    i = np.asarray(dims) - 1
+
+    def f(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.full((len(a), len(i)), np.nan)
+        for rows, A, B in matrices(a, b):
+            ab, aa, bb = (np.cumsum(x, axis=1)[:, i] for x in (A * B, A * A, B * B))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[rows] = np.where(aa * bb > 0, ab / np.sqrt(aa * bb), np.nan)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * len(i)), pa.array(out.reshape(-1)))
+    return F.arrow_udf(f, "array<double>")
 
 
 def model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
