@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.operators.datasets import label_01, split_filter
+from nearhit.operators.datasets import split_filter
 
 PAIRS_DDL = "id long, qid1 long, qid2 long, question1 string, question2 string, is_duplicate string"
 # Strings pandas' read_csv treats as missing by default.
@@ -26,6 +26,12 @@ def _na(c: str):
     return F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c))
 
 
+def _whole(c: str):
+    """A whole number, written ``1`` or ``1.0``; anything else is null (cleaning drops it either way)."""
+    x = F.expr(f"try_cast({c} AS double)")
+    return F.when(x == F.floor(x), F.expr(f"try_cast(try_cast({c} AS double) AS int)"))
+
+
 def read_pairs(spark: SparkSession, split: str | None = "full", path: str | None = None,
                data_dir: str = "data") -> DataFrame:
     """Question pairs by split (``train``/``val``/``test``/``full``) or an
@@ -38,7 +44,7 @@ def read_pairs(spark: SparkSession, split: str | None = "full", path: str | None
           .option("header", True).option("escape", "\\").option("quote", '"').option("multiLine", True)
           .option("mode", "PERMISSIVE").csv(path))
     return df.select("id", "qid1", "qid2", _na("question1").alias("question1"), _na("question2").alias("question2"),
-                     label_01().alias("is_duplicate"))
+                     _whole("is_duplicate").alias("is_duplicate"))
 
 
 def write_splits(df: DataFrame, out_dir: str, fmt: str = "parquet", split_col: str = "split") -> None:
