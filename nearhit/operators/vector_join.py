@@ -179,10 +179,11 @@ def pair_distances(queries: DataFrame, entries: DataFrame, *, mode: str, k: int
         nbq, nbe = F.col("_bq"), F.col("_be")
     else:
         nbq, nbe = F.lit(bq), F.lit(be)
-    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), nbq))
-          .withColumn("_ib", F.explode(F.sequence(F.lit(0), nbe - 1))))
-    e = (e.withColumn("_ib", F.pmod(F.xxhash64("_id"), nbe))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), nbq - 1))))
+    # both sides' block numbers must be of one type, or the two sides of a block are hashed to different tasks
+    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), nbq).cast("int"))
+          .withColumn("_ib", F.explode(F.sequence(F.lit(0), (nbe - 1).cast("int")))))
+    e = (e.withColumn("_ib", F.pmod(F.xxhash64("_id"), nbe).cast("int"))
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0), (nbq - 1).cast("int")))))
     gcols = kcols + ["_qb", "_ib"]
     qt = queries.schema[query_id].dataType.simpleString()
     et = entries.schema[entry_id].dataType.simpleString()
