@@ -1,6 +1,7 @@
 """Block kernel against numpy brute force, and plan shape checks."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from nearhit.operators import vector_join as J
 from nearhit.plans import fixtures as X
@@ -90,3 +91,19 @@ def test_null_keys_meet(spark):
     q = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, 7, [1.0, 0.0])], "query_id long, user long, embedding array<double>")
     e = spark.createDataFrame([(10, None, [1.0, 0.1]), (11, 7, [1.0, 0.2]), (12, 8, [1.0, 0.0])], "entry_id long, user long, embedding array<double>")
     assert sorted((r.query_id, r.entry_id) for r in J.knn(q, e, k=5, key=["user"]).collect()) == [(1, 10), (2, 11)]
+
+
+def test_blocks_meet_when_partitions_are_not_coalesced(spark, monkeypatch):
+    q, e = X.requests(spark, SF_SMALL), X.entries(spark, SF_SMALL).withColumn("user_id", F.col("entry_id") % 7)
+    keys = [None, ["user_id"]]
+    found = lambda: [sorted((r.query_id, r["rank"], r.entry_id, round(r.distance, 9)) for r in J.knn(q, e, k=3, key=k).collect())
+                     for k in keys]
+    want = found()
+    monkeypatch.setattr(J, "BLOCK_ROWS", 20)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        got = found()
+    finally:
+        spark.conf.set(name, "true")
+    assert got == want and len(want[0]) == 3 * q.count()
