@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +105,7 @@ def shard_quota(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
 
 
 def mix(docs: DataFrame, *, size: Column, doc_id: str = "doc_id", source: str = "source",
-        weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, block_size: int = 8192, shards: int = 64,
+        weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, block_size: int = 8192, shards: int | None = None, shard_size: int = 1_000_000,
         rows_per_bucket: int = 50_000, seed: int = 17, tag: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with their targets, pieces of the mix).
 
@@ -119,7 +121,8 @@ def mix(docs: DataFrame, *, size: Column, doc_id: str = "doc_id", source: str =
     no document is taken more than ``max_repeats`` times over. Each epoch is cut into blocks of
     about ``block_size`` units of whole documents; ``shard_quota`` splits the
     exact block quotas of all sources among the shards and each shard draws
-    its own disjoint range of the permuted blocks.
+    its own disjoint range of the permuted blocks. There is a shard for every
+    ``shard_size`` units, 16 at least, unless ``shards`` says how many.
 
     Documents are ordered within (source, hash bucket) windows and the
     buckets' sums added up, so a source with most of the rows is many tasks.
@@ -130,7 +133,9 @@ def mix(docs: DataFrame, *, size: Column, doc_id: str = "doc_id", source: str =
     rows = stash(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
                              size.cast("long").alias("size"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
                  .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "tag")), "mix-rows")
-    buckets = max(64, rows.count() // rows_per_bucket)
+    count, total = rows.agg(F.count("*"), F.sum("size")).first()
+    buckets = max(64, count // rows_per_bucket)
+    shards = shards or max(16, math.ceil((total or 0) / shard_size))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     narrow = rows.select("source", "bucket", "size")
     per_bucket = stash(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
@@ -174,7 +179,7 @@ def mix(docs: DataFrame, *, size: Column, doc_id: str = "doc_id", source: str =
                                             "draw": _permuted(index, int(quota[i]), seed + int(i))})
 
     one = quotas.where("quota > 0").agg(F.collect_list(F.struct("source", "quota")).alias("table"))
-    leaves = docs.sparkSession.range(0, shards, 1, min(shards, 16)).withColumnRenamed("id", "shard").join(F.broadcast(one))
+    leaves = docs.sparkSession.range(0, shards, 1, min(shards, 256)).withColumnRenamed("id", "shard").join(F.broadcast(one))
     drawn = leaves.mapInPandas(deal, "source string, shard long, draw long")
     placed_pieces = (pieces.alias("p").join(drawn.alias("d"), F.expr("p.source <=> d.source AND p.draw = d.draw"))
                      .select("p.doc_id", "p.tag", "p.source", "p.start", "p.size", "p.epoch", "p.length",
