@@ -8,8 +8,11 @@
   so no bucket is capped, dropped or handed to another method; each block
   keeps its k nearest only.
 * ``bits`` sets the work: a band compares a query with about
-  ``entries / 2^bits`` entries, so let it grow with the store
-  (``log2(entries / 1000)`` or so); ``bands`` buys recall.
+  ``entries / 2^bits`` entries; ``bands`` buys recall. Both are to be chosen
+  by the recall measured on the real neighbours (``recall_at_k``): more bits
+  need many more bands. The defaults find 0.97 of the exact top 5 of the
+  ``embeddings`` table at sf0.1 (0.94 at sf0.01), at about as many
+  comparisons as the exact search makes.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ def signature_udf(dim: int, bands: int, bits: int, seed: int):
     return pandas_udf(sig, "array<long>")
 
 
-def knn_approx(queries: DataFrame, entries: DataFrame, k: int = 5, *, dim: int, bands: int = 8,
-               bits: int = 10, seed: int = 7,
+def knn_approx(queries: DataFrame, entries: DataFrame, k: int = 5, *, dim: int, bands: int = 64,
+               bits: int = 6, seed: int = 7,
                query_id: str = "query_id", entry_id: str = "entry_id", vec: str = "embedding") -> DataFrame:
     """``(query_id, entry_id, distance, rank)`` like ``knn``, approximately: of the entries that share a band's key."""
     sig = signature_udf(dim, bands, bits, seed)

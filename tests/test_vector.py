@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from nearhit.operators import vector_join as J
 from nearhit.plans import fixtures as X
 
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 
 def _unit(rows):
@@ -67,6 +67,13 @@ def test_lsh_recall_on_planted_duplicates(spark):
     assert r["recall"] >= 0.95
 
 
+def test_lsh_defaults_find_the_real_neighbours(spark):
+    from nearhit.operators.lsh import knn_approx, recall_at_k
+    q, e = X.requests(spark, SF_MID), X.entries(spark, SF_MID)
+    r = recall_at_k(knn_approx(q, e, k=5, dim=64), J.knn(q, e, k=5)).first()
+    assert r["exact_pairs"] == 5 * q.count() and r["recall"] >= 0.9
+
+
 def test_lsh_with_one_bucket_is_exact(spark, monkeypatch):
     from nearhit.operators.lsh import knn_approx
     q, e = X.requests(spark, SF_SMALL), X.entries(spark, SF_SMALL)
