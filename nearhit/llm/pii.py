@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 #: and use possessive repeats, so that a scan stays linear on very long tokens.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,20})",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=password=)[A-Za-z0-9]{8,64}+"
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=password=)([A-Za-z0-9]{8,64}+)"
               r"|(?<![0-9A-Za-z])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,64}+(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{10,26}+(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
@@ -20,8 +20,10 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The only group of the pattern: a password, which its letters alone do not tell from other kinds.
+PASSWORD = 1
 #: A text without any of these cannot hold a value of the patterns.
-HINT = "[@0-9]"
+HINT = "[@0-9]|password=|AKIA"
 #: 400 Gregorian years are 146097 = 189 * 773 days; the first day counted is 1600-03-01.
 CYCLE, HIGH, LOW, EPOCH = 146097, 189, 773, "DATE'1600-03-01'"
 
@@ -105,7 +107,7 @@ def _date(parsed: str, shown: str, key: str, day_first: bool = False) -> str:
 
 
 def pseudonym(key: str) -> str:
-    """SQL for the pseudonym of a match ``m``; a value that does not validate stays as it is."""
+    """SQL for the pseudonym of a match ``m``, a password if ``p`` is not empty; a value that does not validate stays as it is."""
     if not key or not all(c.isalnum() or c in "-_." for c in key):
         raise ValueError("the key must be of letters, digits, '-', '_' and '.'")
     # all but the top-level domain: a short name alone has too few others to hide among
@@ -148,10 +150,10 @@ def pseudonym(key: str) -> str:
 
 
 def kind_is(kind: str) -> str:
-    """SQL test of a match ``m`` for a kind, given that the kinds before it have been tested."""
+    """SQL test of a match ``m`` for a kind, given that the kinds before it have been tested; ``p`` is the match if it was found as a password, else empty."""
     return {
         "email": "instr(m, '@') > 0",
-        "secret": "m RLIKE '^(AKIA[0-9A-Z]{16}|(?=.*[0-9])(?=.*[a-z])[A-Za-z0-9]+|[A-Za-z]+)$'",
+        "secret": "p <> '' OR m RLIKE '^(AKIA[0-9A-Z]{16}|(?=.*[0-9])(?=.*[a-z])[0-9a-f]{32,64})$'",
         "iban": "m RLIKE '^[A-Z]{2}[0-9]{2}'",
         "date": "m RLIKE '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})$'",
         "ip": "m RLIKE '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' AND length(m) < 16 AND m NOT RLIKE '[0-9]{4}'",
@@ -172,8 +174,8 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str |
     values different ones. What does not validate stays as it is.
 
     ``count`` names a column to add with the number of values replaced. Null
-    and empty texts stay; texts without a digit or an at sign are not
-    searched. No join, shuffle or Python: each row is worked on alone."""
+    and empty texts stay; texts without a digit, an at sign, ``password=`` and
+    ``AKIA`` are not searched. No join, shuffle or Python: each row is worked on alone."""
     t = f"`{text.replace('`', '``')}`"
     pattern = PATTERN.replace("\\", "\\\\").replace("'", "\\'")
     pieces = f"split({t}, '{pattern}', -1)"
@@ -182,7 +184,8 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str |
         "gaps", pieces, "_let_named"))
     body = ("named_struct('t', concat(array_join(transform(news, (n, j) -> concat(gaps[j], n)), ''), element_at(gaps, -1)), "
             "'n', size(filter(zip_with(news, found, (n, f) -> n <> f), x -> x)))")
-    joined = joined.replace("_let_named", _let("news", f"transform(found, m -> {pseudonym(key)})", body))
+    passwords = f"IF(instr({t}, 'password=') > 0, regexp_extract_all({t}, '{pattern}', {PASSWORD}), transform(found, m -> ''))"
+    joined = joined.replace("_let_named", _let("news", f"zip_with(found, {passwords}, (m, p) -> {pseudonym(key)})", body))
     same = f"named_struct('t', {t}, 'n', 0)"
     work = f"IF({t} RLIKE '{HINT}', {joined}, {same})"
     out = [F.col("_new.t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
