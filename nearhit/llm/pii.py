@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Lengths of IBANs by country: printed in groups of four, only the length tells where one ends.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+                26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+                30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _grouped(length: int, countries: str) -> str:
+    """Pattern of an IBAN of this length in groups of four, the last of one to four."""
+    last = (length - 1) % 4 + 1
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(length - last) // 4 - 1}}} [A-Z0-9]{{{last}}}"
+
+
 #: What is looked for, in the order in which alternatives are tried. Patterns start only where a token can start
 #: and use possessive repeats, so that a scan stays linear on very long tokens.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,20})",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=password=)([A-Za-z0-9]{8,64}+)"
               r"|(?<![0-9A-Za-z])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,64}+(?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{10,26}+(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}+|" + "|".join(_grouped(*x) for x in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9])|"
+            r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9]))",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
@@ -114,11 +128,20 @@ def pseudonym(key: str) -> str:
     email = "concat(" + _same_class("regexp_extract(m, '^(.*)[.][^.]*$', 1)", "email", key) + ", regexp_extract(m, '([.][^.]*)$', 1))"
     secret = f"IF(m LIKE 'AKIA%', concat('AKIA', {_same_class('substr(m, 5)', 'secret', key)}), " + _same_class(
         "m", "secret", key, "m RLIKE '^[0-9a-f]+$'") + ")"
-    body = "regexp_extract(m, '^....([A-Z]*)', 1)"
-    fed = _feistel(_digits("substr(m, 5 + length(" + body + "))"), "transform(sequence(1, length(m) - 4 - length(" + body + ")), z -> 10L)", "iban", key)
-    check = "lpad(CAST(98 - " + _mod97("concat(nb, substr(m, 1, 2), '00')") + " AS STRING), 2, '0')"
-    iban = (f"IF({_mod97('concat(substr(m, 5), substr(m, 1, 4))')} <> 1, m, "
-            + _let("nb", f"concat({body}, array_join(transform({fed}, x -> CAST(x AS STRING)), ''))", f"concat(substr(m, 1, 2), {check}, nb)") + ")")
+    fed = _feistel("slice(cd, 2, size(cd) - 2)", "transform(sequence(1, size(cd) - 2), z -> 10L)", "card", key)
+    paid = f"concat(slice(cd, 1, 1), {fed})"
+    card = _let("cd", _digits("m"), f"IF({_luhn('cd')} % 10 <> 0, m, " + _into("m", _let(
+        "pay", paid, f"concat(pay, array(pmod(-{_luhn('concat(pay, array(0L))')}, 10L)))")) + ")")
+    # the letters that begin the account (a bank's name) stay; blanks are taken out and set again after every four
+    body = "regexp_extract(s, '^....([A-Z]*)', 1)"
+    check = "lpad(CAST(98 - " + _mod97("concat(nb, substr(s, 1, 2), '00')") + " AS STRING), 2, '0')"
+    number = _let("nb", f"concat({body}, " + _same_class(f"substr(s, 5 + length({body}))", "iban", key) + ")", f"concat(substr(s, 1, 2), {check}, nb)")
+    # in groups of four that are no IBAN there can be a card
+    inside = "regexp_extract(f, '(?<![0-9A-Z])[0-9](?: ?[0-9]){12,18}+(?![0-9A-Z])', 0)"
+    other = _let("f", "m", _let("m", inside, f"IF(m = '', f, replace(f, m, {card}))"))
+    iban = _let("s", "replace(m, ' ', '')", f"CASE WHEN {_mod97('concat(substr(s, 5), substr(s, 1, 4))')} = 1 THEN "
+                + _let("ib", number, "IF(instr(m, ' ') > 0, trim(regexp_replace(ib, '(.{4})', '$1 ')), ib)")
+                + f" WHEN instr(m, ' ') > 0 THEN {other} ELSE m END")
     date = ("CASE WHEN m RLIKE '^....-' THEN " + _date("try_to_date(m, 'yyyy-MM-dd')", "yyyy-MM-dd", key)
             + " WHEN m LIKE '%/%' AND substr(m, 1, 2) > '12' THEN " + _date("try_to_date(m, 'dd/MM/yyyy')", "dd/MM/yyyy", key, day_first=True)
             + " WHEN m LIKE '%/%' THEN " + _date("try_to_date(m, 'MM/dd/yyyy')", "MM/dd/yyyy", key)
@@ -140,10 +163,6 @@ def pseudonym(key: str) -> str:
                    "transform(sequence(1, pn), i -> IF(i = 1 AND pn = 10, IF(pf = 2, 8L, 2L), 10L))", "phone", key)
     moved = f"concat(slice(pd, 1, size(pd) - pn), transform({fed}, (x, i) -> IF(i = 0, x + pf, x)))"
     phone = _let("pd", _digits("m"), "IF(size(pd) < 8 OR size(pd) > 15, m, " + _let("pn", count, _let("pf", first, _into("m", moved))) + ")")
-    fed = _feistel("slice(cd, 2, size(cd) - 2)", "transform(sequence(1, size(cd) - 2), z -> 10L)", "card", key)
-    paid = f"concat(slice(cd, 1, 1), {fed})"
-    card = _let("cd", _digits("m"), f"IF({_luhn('cd')} % 10 <> 0, m, " + _into("m", _let(
-        "pay", paid, f"concat(pay, array(pmod(-{_luhn('concat(pay, array(0L))')}, 10L)))")) + ")")
     shown = {"email": email, "secret": secret, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
     cases = " ".join(f"WHEN {kind_is(k)} THEN {shown[k]}" for k in PATTERNS)
     return f"CASE {cases} ELSE m END"
@@ -171,7 +190,9 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str |
     of their format by a keyed Feistel network; e-mail addresses (but for the
     top-level domain) and secrets are permuted letter by letter within their classes. The permutation depends on ``key`` and kind
     only, so equal values get equal pseudonyms in all documents and different
-    values different ones. What does not validate stays as it is.
+    values different ones. IBANs are found in one piece, and in groups of four if their country is in
+    ``IBAN_LENGTHS``; other blanks and dashes in them, small letters, and dates with month names or single figures are not looked
+    for. What does not validate stays as it is.
 
     ``count`` names a column to add with the number of values replaced. Null
     and empty texts stay; texts without a digit, an at sign, ``password=`` and
