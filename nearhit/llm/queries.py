@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.llm import langid, mixing, packing, pii, quality, simhash, substrings, suffix, topk, toxicity
+from nearhit.llm import alignment, langid, mixing, packing, pii, quality, simhash, substrings, suffix, topk, toxicity
 from nearhit.llm.common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 #: The key of the registered query and the pipeline. A real run takes it from a secret store.
@@ -72,7 +72,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op4_toxicity, op5_language, op6_suffix, op7_simhash, op8_pack, op9_mix_sources, op10_top_k)}
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op4_toxicity, op5_language, op6_suffix, op7_simhash, op8_pack, op9_mix_sources, op10_top_k, op11_align)}
 
 ORACLE = {
     "op2_quality": """
