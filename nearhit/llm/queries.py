@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.llm import alignment, langid, mixing, packing, pii, quality, simhash, substrings, suffix, topk, toxicity
+from nearhit.llm import alignment, langid, mixing, packing, pii, quality, simhash, spelling, substrings, suffix, topk, toxicity
 from nearhit.llm.common import table
 
 
@@ -76,7 +76,12 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op4_toxicity, op5_language, op6_suffix, op7_simhash, op8_pack, op9_mix_sources, op10_top_k, op11_align)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op4_toxicity, op5_language, op6_suffix, op7_simhash, op8_pack,
+                                   op9_mix_sources, op10_top_k, op11_align, op12_spelling)}
 
 ORACLE = {
     "op2_quality": """
@@ -132,5 +137,28 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
+""",
+    "op12_spelling": """
+WITH RECURSIVE crc AS (
+SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+FROM (SELECT unnest(range(256)) AS i)),
+r AS (SELECT doc_id, run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents)
+      WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda k: CAST('0x' || substr(x, k, 2) AS BIGINT))),
+                                                 lambda c, d: xor(c >> 8, t[1 + (xor(c, d) & 255)]))) AS h FROM b, crc),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.head = b.head AND a.tail = b.tail AND a.i = b.i AND a.word <> b.word
+      UNION SELECT g.word, w.word FROM g JOIN w ON g.head || g.tail = w.word
+      UNION SELECT w.word, g.word FROM g JOIN w ON g.head || g.tail = w.word),
+f AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS near, max(n) AS near_n FROM p JOIN w ON w.word = p.b GROUP BY a),
+o AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+      FROM w LEFT JOIN f ON f.word = w.word),
+u AS (SELECT word, word AS root FROM o UNION ALL SELECT u.word, o.form FROM u JOIN o ON o.word = u.root WHERE o.form IS NOT NULL)
+SELECT o.word, o.form, u.root, o.n, CAST(o.n_near AS BIGINT) AS n_near, o.form_n
+FROM o JOIN u ON u.word = o.word JOIN o AS e ON e.word = u.root AND e.form IS NULL
 """,
 }
