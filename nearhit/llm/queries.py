@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearhit.llm import alignment, langid, mixing, packing, pii, quality, simhash, spelling, substrings, suffix, topk, toxicity
+from nearhit.llm import alignment, langid, lmscore, mixing, packing, pii, quality, simhash, spelling, substrings, suffix, topk, toxicity
 from nearhit.llm.common import table
 
 
@@ -80,8 +80,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_substrings, op4_toxicity, op5_language, op6_suffix, op7_simhash, op8_pack,
-                                   op9_mix_sources, op10_top_k, op11_align, op12_spelling)}
+                                   op9_mix_sources, op10_top_k, op11_align, op12_spelling, op13_lm_score)}
 
 ORACLE = {
     "op2_quality": """
