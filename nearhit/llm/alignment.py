@@ -339,11 +339,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, doc_id: str = "doc_id",
     other = counts.join(F.broadcast(identity), ["a", "b"], "left_anti")
     top = other.select("n").orderBy(F.desc("n")).limit(hot + 1).agg(F.min("n"), F.count("*")).first()
     floor = top[0] if top[1] > hot else 0  # pairs above it are few enough to be sent
-    found = other.where(F.col("n") > floor).select("a", "b", "n").toPandas()
-    code = (found["a"] * width + found["b"]).to_numpy(np.int64)
+    found = other.where(F.col("n") > floor).select("a", "b", "n").toArrow()
+    code = found["a"].to_numpy() * width + found["b"].to_numpy()
     order = np.argsort(code)
     shared = spark.sparkContext.broadcast({
-        "best": best, "same_n": same_n, "code": code[order], "n": found["n"].to_numpy(np.int64)[order]})
+        "best": best, "same_n": same_n, "code": code[order], "n": found["n"].to_numpy()[order]})
 
     def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts of pairs, which of them are among the frequent ones)."""
