@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nearhit.functions.text import normalize_text
 from nearhit.operators import embed as E
+from nearhit.operators.embed_store import EmbeddingStore, PredictEmbedder
 from nearhit.plans import fixtures as X
 
 from conftest import SF_SMALL
@@ -48,8 +50,46 @@ def test_pair_scores_equal_a_plain_loop(spark):
             sim, label = got[(key, r.id)]
             assert label == r.is_duplicate
             assert (sim is None) == (want is None) and (want is None or sim == pytest.approx(want, abs=1e-9))
-    plan = E.score_pairs(X.question_pairs(spark, SF_SMALL), MODELS)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1
+
+
+def test_a_text_is_embedded_once_in_two_runs(spark, scratch):
+    @dataclass(frozen=True)
+    class Counting(E.HashedEmbedder):
+        """Counts the texts that it is asked to embed."""
+        calls: object = None
+
+        def counted(self, texts):
+            self.calls.add(len(texts))
+            return E.HashedEmbedder.counted(self, texts)
+
+    texts = ["a b c d", "b c d e", "a b c d", None, "", "x y"]
+    pairs = spark.createDataFrame([(i, texts[i % 6], texts[(i * 5 + 1) % 6], i % 2) for i in range(40)],
+                                  "id long, question1 string, question2 string, is_duplicate int").repartition(5)
+    calls = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    models = {"one": Counting(0, 256, 2, calls=calls[0]), "two": Counting(1, 64, 1, calls=calls[1])}
+    store = EmbeddingStore(spark, f"{scratch}/store")
+    first = {(r.model_key, r.id): r.similarity for r in store.score_pairs(pairs, {"one": models["one"]}).collect()}
+    assert calls[0].value == 4 and calls[1].value == 0  # four distinct texts
+    both = {(r.model_key, r.id): r.similarity for r in store.score_pairs(pairs, models).collect()}
+    assert calls[0].value == 4 and calls[1].value == 4
+    more = pairs.unionByName(spark.createDataFrame([(99, "new text here", "a b c d", 1)], pairs.schema))
+    assert len(store.score_pairs(more, models).collect()) == 82
+    assert calls[0].value == calls[1].value == 5 and store.table().count() == 10
+    assert all(both[k] == v for k, v in first.items())
+    plain = {(r.model_key, r.id): r.similarity for r in E.score_pairs(pairs, {"one": E.HashedEmbedder(0, 256, 2), "two": E.HashedEmbedder(1, 64, 1)}).collect()}
+    assert plain == both and both[("one", 0)] == pytest.approx(2 / 3)
+
+
+def test_store_takes_a_dense_model(spark, scratch):
+    def make_predict():
+        return lambda texts: [[len(t), t.count("a")] for t in texts]
+    store = EmbeddingStore(spark, f"{scratch}/store")
+    pairs = spark.createDataFrame([(1, "aa", "a"), (2, "aaa", "bbb"), (3, None, "a"), (4, "", "a")], "id long, question1 string, question2 string")
+    got = {r.id: r.similarity for r in store.score_pairs(pairs, {"m": PredictEmbedder(make_predict, 2)}, label=None).collect()}
+    assert got[1] == pytest.approx(1) and got[2] == pytest.approx(math.sqrt(0.5)) and got[3] is None and got[4] is None
+    assert store.ensure(pairs.select(F.col("question1").alias("text")), {"m": PredictEmbedder(make_predict, 2)}) == 0
+    with pytest.raises(ValueError):
+        store.ensure(pairs.select(F.col("question1").alias("text")), {"a/b": PredictEmbedder(make_predict, 2)})
 
 
 def test_dense_equals_sparse(spark):
