@@ -9,6 +9,7 @@ from nearhit.functions.ids import hash32_sql
 from nearhit.functions.text import NUMBERING, WS, normalize_text, normalize_text_sql, strip_numbering
 from nearhit.operators import embed as E
 from nearhit.operators import paraphrase as P
+from nearhit.operators import sparse_join as SJ
 from nearhit.plans import fixtures as X
 from nearhit.plans.catalog import query, tidy
 from nearhit.plans.sqlparts import tidy_sql
@@ -120,6 +121,34 @@ def q_score_pairs(spark, sf):
     return tidy(text_scored(spark, sf))
 
 
+# ----------------------------------------------------------------- 2.E sparse similarity join
+
+WIDE = E.HashedEmbedder(seed=3, dim=1 << 18, n=3)
+NEAR = 0.8
+SPARSE_JOIN_SQL = "WITH " + sparse_sql("documents", "doc_id", "text", WIDE.seed, WIDE.dim, WIDE.n, "sv") + f""",
+sig AS (SELECT doc_id, string_agg(bucket || ':' || weight, ' ' ORDER BY bucket) AS h FROM sv GROUP BY doc_id),
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM sig),
+dots AS (SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.weight * b.weight), 9) AS similarity
+  FROM sv a JOIN sv b ON a.bucket = b.bucket AND a.doc_id <> b.doc_id GROUP BY ALL HAVING round(sum(a.weight * b.weight), 9) >= {NEAR})"""
+
+
+def sparse_join(spark, sf):
+    return SJ.SparseJoin(WIDE.sparse(table(spark, sf, "documents"), "doc_id", "text"), NEAR, "doc_id")
+
+
+@query("similarity_join_sparse", SPARSE_JOIN_SQL + tidy_sql(""" SELECT a, b, similarity FROM dots
+  JOIN cls x ON x.doc_id = a AND x.class_id = a JOIN cls y ON y.doc_id = b AND y.class_id = b WHERE a < b""", ["similarity"]))
+def q_sparse_join(spark, sf):
+    return tidy(sparse_join(spark, sf).pairs())
+
+
+@query("similarity_join_links", SPARSE_JOIN_SQL + """ SELECT cls.doc_id, class_id, count(a) AS links
+FROM cls LEFT JOIN dots ON a = cls.doc_id GROUP BY ALL""")
+def q_sparse_links(spark, sf):
+    join = sparse_join(spark, sf)
+    return tidy(join.links(join.pairs()).withColumnRenamed("id", "doc_id"))
+
+
 # ----------------------------------------------------------------- 2.M paraphrases
 
 BATCH_SQL = STATEMENTS_SQL + f""",
