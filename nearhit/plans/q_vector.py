@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from nearhit.functions import vector as V
+from nearhit.functions.ids import hash32_sql
 from nearhit.operators import cache as C
+from nearhit.operators import ivfpq as IVF
 from nearhit.operators import vector_join as J
 from nearhit.plans import fixtures as X
 from nearhit.plans.catalog import query, r6, tidy
+from nearhit.session import ensure_checkpoint_dir
 from nearhit.sources.tables import table
 
 LOOKUP_T = 0.65
@@ -115,27 +121,41 @@ def q_sim_matrix(spark, sf):
 
 # ----------------------------------------------------------------- approximate kNN
 
-BANDS, BITS, PLANE_SEED = 16, 6, 7
+# half as many lists as entries (at most 1,024), three in ten of them probed: these vectors have no clusters, see README
+MOST_LISTS, PROBE_SHARE, SUB, CODES, RERANK, ROUNDS, IVF_SEED = 1024, 0.3, 16, 64, 60, 3, 7
 
 
 def _approx(spark, sf):
-    from nearhit.operators.lsh import knn_approx
-    return knn_approx(X.requests(spark, sf), X.entries(spark, sf), k=K, dim=64, bands=BANDS, bits=BITS, seed=PLANE_SEED)
+    entries = X.entries(spark, sf)
+    lists = max(1, min(MOST_LISTS, entries.count() // 2))
+    path = f"{ensure_checkpoint_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    return IVF.knn_ivf(X.requests(spark, sf), entries, path, K, dim=64, lists=lists, probes=math.ceil(PROBE_SHARE * lists), rerank=RERANK,
+                       sub=SUB, codes=CODES, seed=IVF_SEED)
 
 
 def _approx_sql() -> str:
-    from nearhit.operators.lsh import planes
-    normals = planes(64, BANDS, BITS, PLANE_SEED)
-    values = ", ".join(f"({p // BITS}, {p % BITS}, [{', '.join(map(repr, n.tolist()))}])" for p, n in enumerate(normals))
-    sig = """SELECT t.{id}, n.band, sum(CASE WHEN list_inner_product(t.embedding::DOUBLE[], n.normal) > 0 THEN 1 << n.bit ELSE 0 END) AS key
-  FROM {src} t CROSS JOIN normals n GROUP BY t.{id}, n.band"""
+    """The index in SQL: sampled rows, three rounds of k-means, codes, probes, looked-up scores and exact rerank."""
+    unit = "list_transform({v}::DOUBLE[], lambda x: x / sqrt(list_inner_product({v}::DOUBLE[], {v}::DOUBLE[])))"
+    width = 64 // SUB
+    ctes = [X.ENTRIES_SQL, X.REQUESTS_SQL, f"sizes AS (SELECT greatest(1, least({MOST_LISTS}, count(*) // 2)) AS lists FROM entries)",
+            f"u AS (SELECT entry_id, {unit.format(v='embedding')} AS v, row_number() OVER (ORDER BY {hash32_sql(IVF_SEED, 'entry_id')}, entry_id) AS nth FROM entries)",
+            f"q AS (SELECT query_id, {unit.format(v='embedding')} AS v FROM requests)",
+            "c0 AS (SELECT nth - 1 AS l, v AS c FROM u, sizes WHERE nth <= lists)"]
+    for r in range(ROUNDS):
+        ctes += [f"a{r} AS (SELECT entry_id, arg_min(l, (-list_inner_product(v, c), l)) AS l FROM u, c{r} GROUP BY entry_id)",
+                 f"s{r} AS (SELECT l, list(x ORDER BY i) AS c FROM (SELECT l, i, sum(x) AS x FROM (SELECT l, unnest(v) AS x, unnest(range(64)) AS i FROM u JOIN a{r} USING (entry_id)) GROUP BY l, i) GROUP BY l)",
+                 f"c{r + 1} AS (SELECT c{r}.l, CASE WHEN s{r}.c IS NULL THEN c{r}.c ELSE {unit.format(v=f's{r}.c')} END AS c FROM c{r} LEFT JOIN s{r} USING (l))"]
+    ctes += [f"placed AS (SELECT entry_id, arg_min(l, (-list_inner_product(v, c), l)) AS l FROM u, c{ROUNDS} GROUP BY entry_id)",
+             f"probed AS (SELECT query_id, l FROM (SELECT query_id, l, row_number() OVER (PARTITION BY query_id ORDER BY -list_inner_product(v, c), l) AS r FROM q, c{ROUNDS}), sizes WHERE r <= ceil({PROBE_SHARE} * lists))",
+             f"book AS (SELECT s, nth - 1 AS code, v[s * {width} + 1:s * {width} + {width}] AS b FROM u, range({SUB}) t(s) WHERE nth <= {CODES})",
+             f"coded AS (SELECT entry_id, s, arg_min(b, (list_distance(v[s * {width} + 1:s * {width} + {width}], b), code)) AS b FROM u, book GROUP BY entry_id, s)",
+             "spelled AS (SELECT entry_id, flatten(list(b ORDER BY s)) AS w FROM coded GROUP BY entry_id)",
+             f"near AS (SELECT query_id, entry_id FROM (SELECT query_id, entry_id, row_number() OVER (PARTITION BY query_id ORDER BY -list_inner_product(v, w), entry_id) AS r "
+             f"FROM probed JOIN placed USING (l) JOIN spelled USING (entry_id) JOIN q USING (query_id)) WHERE r <= {RERANK})"]
     dist = f"round(1 - {COS('r.embedding', 'e.embedding')}, 12)"
-    return X.with_ctes(X.ENTRIES_SQL, X.REQUESTS_SQL, f"normals AS (SELECT * FROM (VALUES {values}) AS n(band, bit, normal))",
-                       f"qk AS ({sig.format(id='query_id', src='requests')})", f"ek AS ({sig.format(id='entry_id', src='entries')})",
-                       "met AS (SELECT DISTINCT query_id, entry_id FROM qk JOIN ek USING (band, key))",
-                       f"""approx AS (SELECT query_id, entry_id, distance, rank FROM (
+    return X.with_ctes(*ctes, f"""approx AS (SELECT query_id, entry_id, distance, rank FROM (
   SELECT query_id, entry_id, {dist} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {dist}, entry_id) AS rank
-  FROM met JOIN requests r USING (query_id) JOIN entries e USING (entry_id)) WHERE rank <= {K})""")
+  FROM near JOIN requests r USING (query_id) JOIN entries e USING (entry_id)) WHERE rank <= {K})""")
 
 
 APPROX_SQL = _approx_sql()
