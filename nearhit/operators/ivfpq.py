@@ -5,11 +5,11 @@
   book of each sub-space is the first ``codes`` rows' part in it. Both are
   small arrays whose size the caller sets.
 * ``build``: every entry goes to the list of its nearest centroid, with one
-  code a sub-space. The index is a Parquet table with a folder a list.
+  code a sub-space. The index is a Parquet table in ``FOLDERS`` folders of lists.
 * ``search``: a query probes its ``probes`` nearest lists; only their folders
-  are read. Scores come from a table of products of the query with all codes,
-  looked up code by code; the best ``rerank`` entries of a query are compared
-  exactly. Long lists and lists that many queries probe are split on both sides, so no group grows with the data.
+  are read, and a query goes to a folder once, with the lists it probes there. Scores come from a table of products
+  of the query with all codes, looked up code by code; the best ``rerank`` entries of a query are compared
+  exactly. Folders of many entries or queries are split on both sides, so no group grows with the data.
 
 Recall is a matter of ``probes`` and ``rerank``, to be measured on the data in hand (``recall_at_k``).
 """
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from nearhit.functions.ids import hash32
 from nearhit.functions.vector import cosine_similarity_batched
 
+FOLDERS = 64
 LIST_ROWS, LIST_QUERIES = 8192, 2048  # of one group of the search
 SCORE_CELLS = 1 << 23
 
@@ -84,7 +85,7 @@ def fit(entries: DataFrame, *, dim: int, lists: int, sub: int = 16, codes: int =
 
 
 def build(entries: DataFrame, model: IvfPq, path: str, *, entry_id: str = "entry_id", vec: str = "embedding") -> None:
-    """Writes the index of all usable entries: ``list`` folders of (id, codes)."""
+    """Writes the index of all usable entries, (id, codes, list), by ``folder`` (the list modulo ``FOLDERS``)."""
     rows = entries.where(usable(vec, model.dim)).select(F.col(entry_id).alias("id"), F.col(vec).alias("v"))
     shared = entries.sparkSession.sparkContext.broadcast(model)
 
@@ -97,9 +98,8 @@ def build(entries: DataFrame, model: IvfPq, path: str, *, entry_id: str = "entry
             yield pa.record_batch([batch.column(0), pa.array([codes[i * width:(i + 1) * width] for i in range(len(v))], pa.binary()),
                                    pa.array(model.nearest_lists(v, 1)[:, 0].astype(np.int32))], names=["id", "codes", "list"])
 
-    # rows of a list come from many tasks; one file a list and part, however large the list
     placed = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, codes binary, list int")
-    placed.write.partitionBy("list").mode("overwrite").parquet(path)
+    placed.withColumn("folder", F.col("list") % FOLDERS).write.partitionBy("folder").mode("overwrite").parquet(path)
 
 
 def search(queries: DataFrame, entries: DataFrame, model: IvfPq, path: str, *, k: int = 5, probes: int = 16, rerank: int = 100,
@@ -112,44 +112,57 @@ def search(queries: DataFrame, entries: DataFrame, model: IvfPq, path: str, *, k
     def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = shared.value.nearest_lists(unit_rows(batch.column(1), shared.value.dim), probes).astype(np.int32)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * near.shape[1])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))], names=["qid", "qv", "lists"])
+            key = np.repeat(np.arange(len(near)), near.shape[1]) * FOLDERS + near.ravel() % FOLDERS
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+            row = pa.array(key[order][first] // FOLDERS)
+            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array((key[order][first] % FOLDERS).astype(np.int32)),
+                                   pa.ListArray.from_arrays(offsets, pa.array(near.ravel()[order]))], names=["qid", "qv", "folder", "lists"])
 
     kinds = dict(asked.dtypes)
-    probed = asked.mapInArrow(lists_of, f"qid {kinds['qid']}, qv {kinds['qv']}, lists array<int>").select("qid", "qv", F.explode("lists").alias("list"))
+    probed = asked.mapInArrow(lists_of, f"qid {kinds['qid']}, qv {kinds['qv']}, folder int, lists array<int>")
     index = spark.read.parquet(path)
-    queries_of = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}  # at most one row a list
-    index = index.where(F.col("list").isin(list(queries_of)))  # only folders that are probed
-    entries_of = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
-    parts = spark.createDataFrame([(c, -(-queries_of[c] // LIST_QUERIES), -(-n // LIST_ROWS)) for c, n in entries_of.items()], "list int, nq int, ne int")
+    queries_of = {r["folder"]: r["count"] for r in probed.groupBy("folder").count().collect()}  # at most one row a folder
+    index = index.where(F.col("folder").isin(list(queries_of)))  # only folders that are probed
+    entries_of = {r["folder"]: r["count"] for r in index.groupBy("folder").count().collect()}
+    parts = spark.createDataFrame([(c, -(-queries_of[c] // LIST_QUERIES), -(-n // LIST_ROWS)) for c, n in entries_of.items()], "folder int, nq int, ne int")
 
     def dealt(rows: DataFrame, own: str, n_own: str, other: str, n_other: str, by: str) -> DataFrame:
-        placed = rows.join(F.broadcast(parts), "list").withColumn(own, F.pmod(F.xxhash64(by), F.col(n_own)).cast("int"))
+        placed = rows.join(F.broadcast(parts), "folder").withColumn(own, F.pmod(F.xxhash64(by), F.col(n_own)).cast("int"))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
 
-    left = dealt(probed, "qp", "nq", "ep", "ne", "qid").select("list", "qp", "ep", "qid", "qv")
-    right = dealt(index, "ep", "ne", "qp", "nq", "id").select("list", "qp", "ep", "id", "codes")
+    left = dealt(probed, "qp", "nq", "ep", "ne", "qid").select("folder", "qp", "ep", "qid", "qv", "lists")
+    right = dealt(index, "ep", "ne", "qp", "nq", "id").select("folder", "qp", "ep", "id", "codes", "list")
 
     def best(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         model, out = shared.value, []
         if not len(q) or not len(e):
             return pd.DataFrame({"qid": q["qid"][:0], "id": e["id"][:0], "score": np.zeros(0)})
-        e = e.sort_values("id", ignore_index=True)
+        e = e.sort_values(["list", "id"], ignore_index=True)
         sub, _, width = model.books.shape
         codes = np.frombuffer(b"".join(e["codes"]), np.uint16).reshape(len(e), sub)
-        v, keep = unit_rows(q["qv"], model.dim).reshape(len(q), sub, width), min(rerank, len(e))
-        for a in range(0, len(q), max(1, SCORE_CELLS // len(e))):
-            part = v[a:a + max(1, SCORE_CELLS // len(e))]
-            score = np.zeros((len(part), len(e)))
-            for s in range(sub):
-                score += (part[:, s] @ model.books[s].T)[:, codes[:, s]]  # products with all codes, looked up
-            top = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-            out.append(pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy()[a:a + len(part)], keep), "id": e["id"].to_numpy()[top.ravel()],
-                                     "score": np.take_along_axis(score, top, 1).ravel()}))
+        names, first = np.unique(e["list"].to_numpy(), return_index=True)
+        ends = np.append(first[1:], len(e))
+        v = unit_rows(q["qv"], model.dim).reshape(len(q), sub, width)
+        size = q["lists"].map(len).to_numpy()
+        row, probe = np.repeat(np.arange(len(q)), size), np.concatenate(q["lists"].tolist())
+        step = max(1, SCORE_CELLS // max(len(e), sub * model.books.shape[1]))
+        for a in range(0, len(q), step):
+            looked = np.einsum("qsd,scd->qsc", v[a:a + step], model.books)  # products of each query with all codes
+            score = np.full((len(looked), len(e)), -np.inf)
+            for name, lo, hi in zip(names, first, ends):
+                who = row[(probe == name) & (row >= a) & (row < a + step)] - a
+                if len(who):
+                    score[who, lo:hi] = sum(looked[who, s][:, codes[lo:hi, s]] for s in range(sub))
+            top = np.argsort(-score, axis=1, kind="stable")[:, :rerank]
+            good = np.take_along_axis(score, top, 1)
+            at, place = np.nonzero(good > -np.inf)
+            out.append(pd.DataFrame({"qid": q["qid"].to_numpy()[a + at], "id": e["id"].to_numpy()[top[at, place]], "score": good[at, place]}))
         return pd.concat(out, ignore_index=True)
 
     types = f"qid {kinds['qid']}, id {dict(index.dtypes)['id']}, score double"
-    found = left.groupBy("list", "qp", "ep").cogroup(right.groupBy("list", "qp", "ep")).applyInPandas(best, types)
+    found = left.groupBy("folder", "qp", "ep").cogroup(right.groupBy("folder", "qp", "ep")).applyInPandas(best, types)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rerank).select("qid", "id")
     whole = found.join(asked, "qid").join(entries.select(F.col(entry_id).alias("id"), F.col(vec).alias("ev")), "id")
