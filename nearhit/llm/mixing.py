@@ -71,6 +71,24 @@ def _permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _from_mode(good: int, bad: int, draw: int, u: float) -> int:
+    """A hypergeometric draw by inversion: chances relative to the mode's, multiplied out to both sides of it.
+
+    Covers twenty standard deviations and the whole of a small support; what lies beyond has a chance far below a double's."""
+    low, high = max(0, draw - bad), min(good, draw)
+    total = good + bad
+    mode = min(max((draw + 1) * (good + 1) // (total + 2), low), high)
+    spread = (draw * (good / total) * (bad / total) * ((total - draw) / max(total - 1, 1))) ** 0.5
+    reach = int(20 * spread) + 50
+    a, b = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(a, b, dtype=np.int64)  # step from k to k + 1
+    step = (np.log((good - k).astype(float)) + np.log((draw - k).astype(float)) - np.log(k + 1.0) - np.log((bad - draw + k + 1).astype(float)))
+    log = np.concatenate(([0.0], np.cumsum(step)))
+    log -= log[mode - a]
+    upto = np.cumsum(np.exp(log))
+    return a + int(np.searchsorted(upto, u * upto[-1], side="right"))
+
+
 def _hypergeometric(counts: np.ndarray, draw: int, rng: np.random.Generator) -> np.ndarray:
     """One multivariate-hypergeometric draw, source by source with the rest's total."""
     out, rest = np.zeros(len(counts), np.int64), int(counts.sum())
@@ -78,9 +96,9 @@ def _hypergeometric(counts: np.ndarray, draw: int, rng: np.random.Generator) ->
         if draw == 0:
             break
         good = int(counts[i])
-        # numpy's exact sampler ends at 1e9 a side; beyond it the relative spread is below 1e-4 and the mean is used
+        # numpy's sampler ends at 1e9 a side; beyond it the same law is drawn from by inversion
         got = (int(rng.hypergeometric(good, rest - good, draw)) if max(good, rest - good) < 10 ** 9
-               else min(good, max(draw - (rest - good), round(draw * good / rest))))
+               else _from_mode(good, rest - good, draw, rng.random()))
         out[i], rest, draw = got, rest - good, draw - got
     return out
 

@@ -1,5 +1,6 @@
 """Mixing (op9) and packing (op8): exact sums, exact round trips."""
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -153,3 +154,24 @@ def test_encoder_equals_tokenizer():
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(100)]
         for text, ids in zip(texts, e.encode([x.encode() for x in texts])):
             assert t.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
+def test_draws_by_inversion_follow_the_same_law():
+    rng = np.random.default_rng(3)
+    for good, bad, draw in ((5, 7, 4), (40, 3, 20), (1, 1, 1), (3000, 50, 2990), (10, 0, 4)):
+        low, high = max(0, draw - bad), min(good, draw)
+        chance = np.array([math.comb(good, k) * math.comb(bad, draw - k) / math.comb(good + bad, draw) for k in range(low, high + 1)])
+        upto = np.cumsum(chance)
+        us = rng.random(400)
+        assert [mixing._from_mode(good, bad, draw, u) for u in us] == [low + int(np.searchsorted(upto, u * upto[-1], side="right")) for u in us]
+
+
+def test_draws_above_a_billion_blocks_spread_as_they_should():
+    good, bad, draw = 2 * 10 ** 9, 3 * 10 ** 9, 10 ** 6
+    got = np.array([mixing._hypergeometric(np.array([good, bad]), draw, np.random.default_rng(s))[0] for s in range(300)])
+    mean, spread = draw * 0.4, math.sqrt(draw * 0.4 * 0.6 * (1 - draw / (good + bad)))
+    assert len(set(got.tolist())) > 100 and abs(got.mean() - mean) < 4 * spread / math.sqrt(300)
+    assert 0.85 * spread < got.std() < 1.15 * spread
+    huge = np.array([10 ** 10, 5 * 10 ** 9, 7])
+    out = mixing._hypergeometric(huge, 7 * 10 ** 9, np.random.default_rng(1))
+    assert out.sum() == 7 * 10 ** 9 and (out <= huge).all()

@@ -20,22 +20,18 @@ def vectors(n=300, dim=9, seed=1):
     rows[7] = (7, rows[6][1])  # ties
     rows[8] = (8, rows[6][1])
     rows += [(None, [1.0] * dim), (400, None), (401, [None] * dim), (402, [math.nan] * dim), (403, [math.inf] * dim),
-             (404, []), (405, [1.0, 2.0]), (3, rows[3][1]), (3, rows[3][1]), (450, [0.0] * dim)]
+             (404, []), (405, [1.0, 2.0]), (3, rows[3][1]), (3, rows[3][1]), (3, rows[4][1]), (50, rows[9][1]), (50, rows[9][1]), (450, [0.0] * dim)]
     return rows
 
 
 def brute_top(rows, k=5):
-    usable = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(256 * x) for x in v]
-        usable[i] = min(usable[i], q) if i in usable else q
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in usable:
+    for r, (q, w) in enumerate(usable):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, (i, v) in enumerate(usable) if j != r)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -53,11 +49,19 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_scores_beyond_a_double_are_exact(spark):
+def test_rows_of_a_repeated_id_are_candidates(spark):
+    df = spark.createDataFrame([(1, [1.0]), (1, [3.0]), (50, [1.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+    assert got == [(1, 196608), (1, 65536)]
+
+
+def test_scores_beyond_a_double_are_exact_or_refused(spark):
     big = [(0, [float(2 ** 20)] * 3), (1, [float(2 ** 20)] * 3), (2, [float(2 ** 20), float(2 ** 20), 2.0 ** 20 + 2 ** -8])]
     df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
     got = topk.top_k(df, F.col("vec_id") == 0).collect()
     assert [(r.vec_id, r.score) for r in got] == [(2, 3 * 2 ** 56 + 2 ** 28), (1, 3 * 2 ** 56)]
+    with pytest.raises(ValueError):
+        topk.top_k(df.union(spark.createDataFrame([(9, [1e300])], df.schema)), F.col("vec_id") == 0)
 
 
 def plain_fingerprint(text):
