@@ -209,7 +209,9 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str |
     joined = joined.replace("_let_named", _let("news", f"zip_with(found, {passwords}, (m, p) -> {pseudonym(key)})", body))
     same = f"named_struct('t', {t}, 'n', 0)"
     work = f"IF({t} RLIKE '{HINT}', {joined}, {same})"
-    out = [F.col("_new.t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    extra = [] if count is None else [F.coalesce("_new.n", F.lit(0)).cast("long").alias(count)]
+    # the whole row travels as one struct, so no column of it can clash;
     # explode of the one-element list keeps the rewrite from being computed once for each column that reads it
-    return docs.withColumn("_new", F.explode(F.array(F.expr(work)))).select(*out, *extra)
+    made = docs.select(F.struct("*").alias("row"), F.explode(F.array(F.expr(work))).alias("made"))
+    out = [(F.col("made.t") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    extra = [] if count is None else [F.coalesce("made.n", F.lit(0)).cast("long").alias(count)]
+    return made.select(*out, *extra)

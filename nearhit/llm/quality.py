@@ -117,9 +117,9 @@ def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", min_
 
     The base rules run twice over the texts, once for the hosts' rates and
     once for the filter, instead of moving or storing the texts."""
-    based = with_base_rules(docs, text=text, min_words=min_words, max_repeat_pct=max_repeat_pct)
-    verdicts = host_verdicts(based.select(F.col(f"`{host}`").alias("host"), F.col("_base.base_failed").alias("base_failed")),
-                             max_rate=max_rate)
-    bad = verdicts.where("host_failed").select(F.col("host").alias("_bad_host"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
+    based = with_base_rules(rows, min_words=min_words, max_repeat_pct=max_repeat_pct)
+    verdicts = host_verdicts(based.select("host", F.col("_base.base_failed").alias("base_failed")), max_rate=max_rate)
+    bad = verdicts.where("host_failed").select(F.col("host").alias("bad_host"))
     good = based.where("NOT _base.base_failed")
-    return good.join(bad, good[f"`{host}`"].eqNullSafe(bad["_bad_host"]), "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    return good.join(bad, good["host"].eqNullSafe(bad["bad_host"]), "left_anti").select("row.*")

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from nearhit.llm import pii
@@ -130,7 +131,7 @@ def test_run_equals_the_stages(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_the_rest_imports_nothing_of_it():
@@ -148,3 +149,23 @@ def test_the_rest_imports_nothing_of_it():
     assert got.stdout.strip().endswith("fine"), got.stderr
 
 
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the stages' own, one text under two sources, and rows that differ in another column only."""
+    import corpus_pipeline
+
+    names = ("row", "made", "doc", "tag", "host", "bad_host", "shard", "size", "_new", "_f", "_base", "_doc", "_tag", "_shard", "_size", "place", "length")
+    text = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(i, t, s, *[f"{n}{i}" for n in names]) for i, (t, s) in enumerate([(text, "a"), (other, "b"), (other + " mail a.b@example.org", "a"), (text, "b")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    good = corpus_pipeline.quality_rules(spark, docs, "")
+    assert sorted(map(tuple, good.collect())) == sorted(rows) and good.columns == docs.columns
+    one = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert {tuple(r) for r in one} < set(rows) and {r["doc_id"] for r in one} >= {0, 1}
+    for r in corpus_pipeline.pseudonyms(spark, docs, "").collect():
+        assert tuple(r)[2:] == rows[r["doc_id"]][2:] and (r["text"] == rows[r["doc_id"]][1]) == (r["doc_id"] != 2)
+    mixed = corpus_pipeline.mix_sources(spark, docs.withColumn("doc_id", F.lit(5).cast("long")), "").collect()
+    by = {(r["source"], r["text"].split(" ")[0], r["_new"]) for r in mixed}
+    assert by == {("a", "word0", "_new0"), ("b", "other0", "_new1"), ("a", "other0", "_new2"), ("b", "word0", "_new3")}
