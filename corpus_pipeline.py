@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepare(spark)
     marked = simhash.near_duplicates(docs, tag=F.xxhash64("text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
-    keep = marked.groupBy("root").agg(first).select(F.xxhash64("first.doc_id").alias("_doc"), F.col("first.tag").alias("_tag"))
-    keyed = docs.withColumn("_doc", F.xxhash64(F.col("doc_id").cast("long"))).withColumn("_tag", F.xxhash64("text"))
-    return keyed.join(keep, ["_doc", "_tag"], "left_semi").dropDuplicates(["_doc", "_tag"]).select(*docs.columns)
+    keep = marked.groupBy("root").agg(first).select(F.xxhash64("first.doc_id").alias("doc"), F.col("first.tag").alias("tag"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), F.xxhash64("text").alias("tag"))
+    return keyed.join(keep, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]).select("row.*")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +47,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix cuts keeps its first words, joined by one space; all others keep their text."""
     prepare(spark)
-    tag = F.xxhash64("text")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # what tells two rows apart
+    tag = F.xxhash64(*[x for c in hashed for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
     _, pieces = mixing.mix(docs, size=mixing.n_words(F.col("text")), tag=tag)
-    dealt = pieces.select(F.xxhash64("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("size").alias("_size"),
-                          F.col("length").alias("_length"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))
-    texts = docs.withColumn("_doc", F.xxhash64(F.col("doc_id").cast("long"))).withColumn("_tag", tag).dropDuplicates(["_doc", "_tag"])
-    taken = texts.join(dealt, ["_doc", "_tag"])
-    words = F.expr("filter(split(text, '[\\\\x09-\\\\x0D ]'), w -> w <> '')")
-    cut = F.when(F.col("_length") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_length").cast("int")), " "))
-    return _refreshed(taken.withColumn("text", F.coalesce(cut, "text"))
-                      .repartition("_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns))
+    dealt = pieces.select(F.xxhash64("doc_id").alias("doc"), "tag", "size", "length", "shard", "place")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), tag.alias("tag"))
+    taken = rows.dropDuplicates(["doc", "tag"]).join(dealt, ["doc", "tag"])
+    words = F.expr("filter(split(row.text, '[\\\\x09-\\\\x0D ]'), w -> w <> '')")
+    cut = F.when(F.col("length") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("length").cast("int")), " "))
+    dealt_out = taken.repartition("shard").sortWithinPartitions("shard", "place")
+    return _refreshed(dealt_out.select(F.col("row").withField("text", F.coalesce(cut, "row.text")).alias("row")).select("row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
