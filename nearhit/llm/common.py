@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
@@ -82,6 +83,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         seen, cur = state, nxt
 
 
+def give_back() -> None:
+    """Hands freed memory of this Python worker back to the system; Spark keeps workers for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call on this system
+        pass
+
+
 def byte_slices(text: bytes, size: int = 1 << 22):
     """A text in slices of about ``size`` bytes that end with a white-space byte, so that no word is cut."""
     at = 0
