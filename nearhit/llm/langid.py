@@ -178,7 +178,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
 
     At most ``rows_per_lang`` rows a language, those of the smallest hashed
     ids, are read for it: ids are ranked first, on narrow rows, and the texts
-    of the chosen ones fetched by a join with that bounded list. One task
+    of the chosen ones fetched by a join with that bounded list, one text (the smallest) for each id and language. One task
     trains; the model has ``space`` times the languages weights. No labelled row: no label."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"),
                        F.col(f"`{text}`").cast("string").alias("text"), (F.lit(True) if use is None else use).alias("use"))
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
         model = train(frame["text"].tolist(), frame["lang"].tolist(), space=space, epochs=epochs, span=span, spans=spans, seed=seed)
         return pd.DataFrame({"labels": [model["labels"]], "weight": [model["weight"].tobytes()], "move": [model["move"].tobytes()]})
 
-    got = sample.select("id", "lang", "text").groupBy().applyInPandas(
+    got = sample.groupBy("id", "lang").agg(F.min("text").alias("text")).groupBy().applyInPandas(
         one, "labels array<string>, weight binary, move binary").collect()
     if not got:
         return {"labels": [], "weight": np.zeros((space, 0), np.float32), "move": np.zeros((0, 0), np.float32)}

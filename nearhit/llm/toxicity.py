@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     At most ``sample`` labelled ids, those of the smallest hashes, are used:
     the ids are chosen from the labels alone, and their texts found by a join
-    with that bounded list. The insult transducer's words and stems are those whose document counts
+    with that bounded list, one text (the smallest) for each id. The insult transducer's words and stems are those whose document counts
     by label, summed by Spark, are evidence enough, at most ``lexicon`` of each. The
     logistic weights of the clause scores are fitted to the same texts.
     An id labelled more than once is toxic if any label says so; null ids and labels are left out. With no toxic or
@@ -165,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         ids = ids.withColumnRenamed("id", doc_id).where(use).withColumnRenamed(doc_id, "id")
     chosen = ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").where("text IS NOT NULL").select("text", "y")
+    # one text an id, the smallest, however many rows repeat the id
+    rows = rows.join(F.broadcast(chosen), "id").where("text IS NOT NULL").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
