@@ -99,21 +99,27 @@ p AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS gram
 t AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM p) WHERE n > 1),
 c AS (SELECT rid, sum(least(8, i - coalesce(prev, i - 8))) AS n
       FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM t) GROUP BY rid),
-f AS (SELECT w.doc_id, w.source, CAST(len(words) AS BIGINT) AS n_words,
+f AS (SELECT w.doc_id, w.source, len(lines) AS n_lines, CAST(len(words) AS BIGINT) AS n_words,
              CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN c ON w.rid = c.rid),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM b GROUP BY source),
-m AS (SELECT sum(failed) / sum(docs) AS mu, count(*) AS hosts, sum(docs) AS docs FROM h),
-v AS (SELECT mu, sum(h.docs * (h.failed / h.docs - mu) ** 2) / any_value(m.docs) - mu * (1 - mu) * any_value(hosts) / any_value(m.docs) AS between
-      FROM h, m GROUP BY mu),
-s AS (SELECT mu, CASE WHEN between > 0 THEN least(1e6, greatest(1.0, mu * (1 - mu) / between - 1)) ELSE 1e6 END AS weight FROM v),
-r AS (SELECT source, (failed + mu * weight) / (docs + weight) > 0.8 AS host_failed FROM h, s)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT host_failed AS kept
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 10 * word_chars AS symbols_failed,
+             n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines AS lines_failed, word_chars < 3 * n_words OR word_chars > 10 * n_words AS length_failed FROM f),
+u AS (SELECT source, rule, failed FROM b, LATERAL (VALUES ('base', base_failed), ('symbols', symbols_failed), ('lines', lines_failed),
+                                                          ('length', length_failed)) x(rule, failed)),
+h AS (SELECT source, rule, count(*) AS docs, count(*) FILTER (failed) AS failed FROM u GROUP BY source, rule),
+m AS (SELECT rule, sum(failed) / sum(docs) AS mu, count(*) AS hosts, sum(docs) AS docs FROM h GROUP BY rule),
+v AS (SELECT rule, mu, sum(h.docs * (h.failed / h.docs - mu) ** 2) / any_value(m.docs) - mu * (1 - mu) * any_value(hosts) / any_value(m.docs) AS between
+      FROM h JOIN m USING (rule) GROUP BY rule, mu),
+s AS (SELECT rule, mu, CASE WHEN between > 0 THEN least(1e6, greatest(1.0, mu * (1 - mu) / between - 1)) ELSE 1e6 END AS weight FROM v),
+q AS (SELECT source, rule, (failed + mu * weight) / (docs + weight) AS rate FROM h JOIN s USING (rule)),
+r AS (SELECT source, max(rate) FILTER (rule <> 'length') > 0.8 AS host_failed, max(rate) FILTER (rule = 'symbols') > 0.5 AS symbols_ok,
+             max(rate) FILTER (rule = 'lines') > 0.5 AS lines_ok, max(rate) FILTER (rule = 'length') > 0.5 AS length_ok FROM q GROUP BY source)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbols_failed, lines_failed, length_failed,
+       NOT base_failed AND NOT host_failed AND (NOT symbols_failed OR symbols_ok) AND (NOT lines_failed OR lines_ok)
+       AND (NOT length_failed OR length_ok) AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """,
     "op3_substrings": """

@@ -16,7 +16,7 @@ from nearhit.llm import pii
 from nearhit.llm.queries import PII_KEY, QUERIES, tokenizer_path
 
 from test_llm_mix_pack import level_targets
-from test_llm_rules_pii import base, verdicts
+from test_llm_rules_pii import verdicts
 from test_llm_search_simhash import classes, plain_fingerprint
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,9 +55,8 @@ def test_all_but_the_last_return_the_columns(stages):
 
 def test_quality_stage(stages):
     rows = rows_of(stages[0])
-    failed = [base(r[1])[5] for r in rows]
-    bad = verdicts([(r[3], f) for r, f in zip(rows, failed)], 0.8)
-    assert sorted(map(str, rows_of(stages[1]))) == sorted(str(r) for r, f in zip(rows, failed) if not f and not bad[r[3]])
+    kept = verdicts([(r[3], r[1]) for r in rows], 0.8)
+    assert sorted(map(str, rows_of(stages[1]))) == sorted(str(r) for r, k in zip(rows, kept) if k)
 
 
 def test_near_duplicate_stage_keeps_one_of_each_group(stages):

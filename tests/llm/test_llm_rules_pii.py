@@ -27,7 +27,15 @@ def base(text):
             len(words) < 20 or 100 * len(cover) > 30 * len(words))
 
 
-def verdicts(rows, max_rate):
+def rules(text):
+    """The four rules of a text: base, symbols, lines, word length."""
+    n_words, chars, symbols, dup, _, failed = base(text)
+    lines = sum(bool(re.search(WORD, line)) for line in (text or "").split("\n"))
+    return failed, 100 * symbols > 10 * chars, dup >= 3 and 100 * dup > 30 * lines, not 3 * n_words <= chars <= 10 * n_words
+
+
+def shrunk(rows):
+    """Shrunk failure rate by host from (host, failed)."""
     n, k = Counter(), Counter()
     for h, f in rows:
         n[h] += 1
@@ -35,12 +43,20 @@ def verdicts(rows, max_rate):
     total, mu = sum(n.values()), sum(k.values()) / sum(n.values())
     between = sum(n[h] * (k[h] / n[h] - mu) ** 2 for h in n) / total - mu * (1 - mu) * len(n) / total
     weight = min(1e6, max(1.0, mu * (1 - mu) / between - 1)) if between > 0 else 1e6
-    return {h: (k[h] + mu * weight) / (n[h] + weight) > max_rate for h in n}
+    return {h: (k[h] + mu * weight) / (n[h] + weight) for h in n}
+
+
+def verdicts(rows, max_rate, style_rate=0.5):
+    """Whether each (host, text) is kept."""
+    failed = [rules(t) for _, t in rows]
+    rates = [shrunk([(h, f[i]) for (h, _), f in zip(rows, failed)]) for i in range(4)]
+    return [not f[0] and max(r[h] for r in rates[:3]) <= max_rate and not any(f[i] and rates[i][h] <= style_rate for i in (1, 2, 3))
+            for (h, _), f in zip(rows, failed)]
 
 
 def quality_rows():
     rng = random.Random(1)
-    vocab = ["w%d" % i for i in range(60)] + ["é#", "a*b", "|"]
+    vocab = ["wo%d" % i for i in range(60)] + ["é#", "a*b", "|"]
     line = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     rows = []
     for i in range(150):
@@ -49,6 +65,14 @@ def quality_rows():
         rows.append((i, text, rng.choice(["good", "good", "other", None])))
     rows += [(200 + i, "junk", "bad") for i in range(30)] + [(230, line(50), "bad"), (231, None, "good"), (232, "", None),
              (233, "a\tb\x0bc\x0cd\re  f", "good"), (234, "same " * 40, "lone"), (None, line(25), "good"), (3, rows[3][1], "good")]
+    marks = " " + " ".join(f"#{i}$*&" for i in range(12))
+    # a host whose style is symbols, one that is symbols only, one of verse, and single failures in a host of plain text
+    rows += [(300 + i, line(30) + marks * (i % 10 < 6), "style") for i in range(40)]
+    rows += [(340 + i, line(30) + marks, "noise") for i in range(40)]
+    rows += [(380 + i, "\n".join([line(25)] + ["o"] * (6 if i % 10 < 6 else 0) + [line(20)]), "verse") for i in range(40)]
+    rows += [(420, line(30) + marks, "good"), (421, "\n".join([line(25)] + ["o"] * 6), "good"), (425, "\n".join([line(25), "o", "o"]), "good"),
+             (422, " ".join("abcdefghijklmnop%d" % i for i in range(30)), "good"), (423, " ".join(f"{i}" for i in range(30)), "good"),
+             (424, line(30) + marks, "single")]
     return rows
 
 
@@ -57,13 +81,17 @@ def test_quality_equals_brute_force(spark):
     df = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, source string, host int, kept boolean").repartition(4)
     got = quality.judge(df, max_rate=0.7).collect()
     facts = [base(t) for _, t, _ in rows]
-    bad = verdicts([(h, f[5]) for (_, _, h), f in zip(rows, facts)], 0.7)
-    assert bad["bad"] and not bad["good"]
-    want = [(i if i is not None else -1, *f, not f[5] and not bad[h]) for (i, _, h), f in zip(rows, facts)]
+    kept = verdicts([(h, t) for _, t, h in rows], 0.7)
+    of = {i: k for (i, _, _), k in zip(rows, kept)}
+    assert all(of[300 + i] for i in range(40)) and not any(of[340 + i] for i in range(40)) and all(of[380 + i] for i in range(40))
+    assert not any(of[i] for i in (230, *range(420, 424))) and of[425]
+    want = [(i if i is not None else -1, *f, k) for (i, _, _), f, k in zip(rows, facts, kept)]
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines,
                    r.n_repeat_words, r.base_failed, r.kept) for r in got) == sorted(want)
-    kept = quality.keep_good(df, max_rate=0.7)
-    assert kept.columns == df.columns and kept.count() == sum(w[-1] for w in want)
+    good = quality.keep_good(df, max_rate=0.7)
+    assert good.columns == df.columns
+    by = {(h, t): k for (_, t, h), k in zip(rows, kept)}
+    assert sorted(map(str, good.collect())) == sorted(str(r) for r in df.collect() if by[r.source, r.text])
 
 
 def test_quality_of_one_host_and_of_nothing(spark):
