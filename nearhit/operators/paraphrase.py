@@ -53,25 +53,29 @@ def batch_prompts(batches: DataFrame) -> DataFrame:
     return g.select("batch", "n_statements", F.concat(F.lit(PROMPT_HEAD), body, F.lit(PROMPT_TAIL)).alias("prompt"))
 
 
-def parse_variants(responses: DataFrame, sizes: DataFrame) -> DataFrame:
+def parse_variants(responses: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Lines of the answer, stripped, blanks dropped, numbering removed, then
-    padded with '' or cut to the batch size; one row per (batch, slot).
-    A failed batch (null response) yields '' for every slot."""
+    padded with '' or cut to the batch size; one row per (batch, answer, slot).
+    A failed batch (null response, or no answer at all) yields '' for every slot.
+
+    ``keys`` are the columns that tell a batch's answers apart, where a batch is answered more than
+    once; they are null for a batch without an answer. The batch table has one narrow row a
+    batch; answers are split where they lie and joined by batch, so a batch with a large share of all answers
+    is split by the adaptive skew join."""
     j = sizes.join(responses, "batch", "left")
     cleaned = F.transform(clean_lines(F.coalesce(F.col("response"), F.lit(""))), lambda x: strip_numbering(x))
     padded = F.slice(F.concat(cleaned, F.array_repeat(F.lit(""), F.col("n_statements").cast("int"))), 1, F.col("n_statements").cast("int"))
-    return j.select("batch", F.posexplode(padded).alias("slot", "variant"))
+    return j.select("batch", *keys, F.posexplode(padded).alias("slot", "variant"))
 
 
-def paraphrase_pairs(batches: DataFrame, variants: DataFrame) -> DataFrame:
-    """(statement, semantically_same_statement) for non-empty variants."""
+def paraphrase_pairs(batches: DataFrame, variants: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(statement, semantically_same_statement) for non-empty variants, with the ``keys`` of their answer."""
     return (batches.join(variants, ["batch", "slot"])
                    .where(F.col("variant") != "")
-                   .select("position", F.col("statement"), F.col("variant").alias("semantically_same_statement")))
+                   .select("position", *keys, F.col("statement"), F.col("variant").alias("semantically_same_statement")))
 
 
-def paraphrase_yield(batches: DataFrame, pairs: DataFrame) -> DataFrame:
-    total = batches.agg(F.count(F.lit(1)).alias("statements"))
-    acc = pairs.agg(F.count(F.lit(1)).alias("pairs"))
-    return total.crossJoin(acc).withColumn(
-        "yield_pct", F.when(F.col("statements") > 0, F.col("pairs") / F.col("statements") * 100).otherwise(0.0))
+def paraphrase_yield(variants: DataFrame) -> DataFrame:
+    """(statements, pairs, yield_pct): slots asked for over all answers, and how many hold a variant."""
+    got = variants.agg(F.count(F.lit(1)).alias("statements"), F.count_if(F.col("variant") != "").alias("pairs"))
+    return got.withColumn("yield_pct", F.when(F.col("statements") > 0, F.col("pairs") / F.col("statements") * 100).otherwise(0.0))

@@ -181,67 +181,48 @@ def q_prompts(spark, sf):
 
 NUM_SQL = NUMBERING
 VARIANTS_SQL = BATCH_SQL + f""",
-resp AS (SELECT conv_id AS batch, arg_min(text, turn) AS response FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-cl AS (SELECT z.batch, z.n_statements,
+resp AS (SELECT conv_id, turn, conv_id % (SELECT count(*) FROM sizes) AS batch, text AS response
+  FROM conversations WHERE role = 'assistant'),
+cl AS (SELECT z.batch, r.conv_id, r.turn, z.n_statements,
   list_transform(list_filter(list_transform(string_split({strip_sql("coalesce(r.response, '')")}, chr(10)), lambda x: {strip_sql('x')}),
                              lambda x: x <> ''), lambda x: regexp_replace(x, '{NUM_SQL}', '', 'g')) AS v
   FROM sizes z LEFT JOIN resp r USING (batch)),
-vars AS (SELECT batch, generate_subscripts(p, 1) - 1 AS slot, unnest(p) AS variant FROM (
-  SELECT batch, (v || list_transform(range(n_statements), lambda i: ''))[1:n_statements] AS p FROM cl))"""
+vars AS (SELECT batch, conv_id, turn, generate_subscripts(p, 1) - 1 AS slot, unnest(p) AS variant FROM (
+  SELECT batch, conv_id, turn, (v || list_transform(range(n_statements), lambda i: ''))[1:n_statements] AS p FROM cl))"""
+ANSWER = ("conv_id", "turn")
 
 
-def answers(spark, sf):
-    """Answer texts by batch: the first assistant turn of the conversation of the batch's number."""
+def answers(spark, sf, n_batches):
+    """Every assistant turn as an answer, dealt to the ``n_batches`` (one-row table) batches by conversation."""
     c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    return c.groupBy(F.col("conv_id").alias("batch")).agg(F.min_by("text", "turn").alias("response"))
+    return c.join(F.broadcast(n_batches)).select(F.pmod("conv_id", "n_batches").alias("batch"), *ANSWER, F.col("text").alias("response"))
 
 
 def variants(spark, sf):
     b = batches(spark, sf)
     sizes = b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_statements"))
-    return b, P.parse_variants(answers(spark, sf), sizes)
+    n_batches = sizes.agg(F.count(F.lit(1)).alias("n_batches")).where("n_batches > 0")
+    return b, P.parse_variants(answers(spark, sf, n_batches), sizes, ANSWER)
 
 
-@query("parse_variants", "WITH " + VARIANTS_SQL + " SELECT batch, slot, variant FROM vars")
+@query("parse_variants", "WITH " + VARIANTS_SQL + " SELECT batch, conv_id, turn, slot, variant FROM vars")
 def q_variants(spark, sf):
     return tidy(variants(spark, sf)[1])
 
 
 PAIRS_SQL = VARIANTS_SQL + """,
-pp AS (SELECT sb.position, sb.statement, v.variant AS semantically_same_statement
+pp AS (SELECT sb.position, v.conv_id, v.turn, sb.statement, v.variant AS semantically_same_statement
   FROM sb JOIN vars v ON v.batch = sb.batch AND v.slot = sb.slot WHERE v.variant <> '')"""
 
 
 @query("paraphrase_pairs", "WITH " + PAIRS_SQL + " SELECT * FROM pp")
 def q_para_pairs(spark, sf):
     b, v = variants(spark, sf)
-    return tidy(P.paraphrase_pairs(b, v))
+    return tidy(P.paraphrase_pairs(b, v, ANSWER))
 
 
-@query("paraphrase_yield", "WITH " + PAIRS_SQL + tidy_sql("""SELECT s.statements, p.pairs,
-  CASE WHEN s.statements > 0 THEN CAST(p.pairs AS DOUBLE) / s.statements * 100 ELSE 0.0 END AS yield_pct
-  FROM (SELECT count(*) AS statements FROM sb) s, (SELECT count(*) AS pairs FROM pp) p""", ["yield_pct"]))
+@query("paraphrase_yield", "WITH " + VARIANTS_SQL + tidy_sql("""SELECT s.statements, s.pairs,
+  CASE WHEN s.statements > 0 THEN CAST(s.pairs AS DOUBLE) / s.statements * 100 ELSE 0.0 END AS yield_pct
+  FROM (SELECT count(*) AS statements, count(*) FILTER (variant <> '') AS pairs FROM vars) s""", ["yield_pct"]))
 def q_para_yield(spark, sf):
-    b, v = variants(spark, sf)
-    return tidy(P.paraphrase_yield(b, P.paraphrase_pairs(b, v)))
-
-
-# ----------------------------------------------------------------- tuning text models on the reference grid
-
-def _tune_text_sql():
-    from nearhit.plans.q_data import KEEP_SQL
-    from nearhit.plans.q_eval import TUNE_DOUBLES, tune_sql
-    from nearhit.plans.sqlparts import grid_sql
-    base = scored_text_sql() + f""", grid AS ({grid_sql(X.REFERENCE_GRID)}),
-ts AS (SELECT s.model_key, s.id AS pair_id, s.similarity, CAST(q.is_duplicate AS INTEGER) AS is_duplicate
-  FROM text_scored s JOIN question_pairs q USING (id) WHERE {KEEP_SQL.replace('question1', 'q.question1').replace('question2', 'q.question2').replace('TRY_CAST(is_duplicate', 'TRY_CAST(q.is_duplicate')})"""
-    return base + tune_sql("ts", "f1", None) + tidy_sql("SELECT * FROM t_res", TUNE_DOUBLES, bools=["success"])
-
-
-@query("tune_text_models", _tune_text_sql())
-def q_tune_text(spark, sf):
-    from nearhit.operators import datasets as D
-    from nearhit.operators import tune as TU
-    qp = D.clean_pairs(X.question_pairs(spark, sf))
-    sc = E.score_pairs(qp, MODELS).withColumnRenamed("id", "pair_id")
-    return tidy(TU.tune_models(sc, X.REFERENCE_GRID, "f1", None))
+    return tidy(P.paraphrase_yield(variants(spark, sf)[1]))
