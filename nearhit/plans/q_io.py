@@ -16,6 +16,7 @@ from nearhit.plans.catalog import query, tidy
 from nearhit.plans.sqlparts import tidy_sql
 from nearhit.session import ensure_checkpoint_dir
 from nearhit.sources import pairs as P
+from nearhit.sources import results as N
 from nearhit.sources.tables import table
 
 
@@ -83,6 +84,29 @@ def q_results_first(spark, sf):
     return P.first_success(r).select("model_key", "optimization_metric", "tuning_samples")
 
 
+NESTED_COLS = ["optimal_threshold", *N.CONFIG, *N.METRICS, *N.CELLS, *(f"{c}_{s}" for c in N.CLASSES.values() for s in N.STATISTICS)]
+NESTED_DOUBLES = ["optimal_threshold", "min_precision_constraint", *N.METRICS,
+                  *(f"{c}_{s}" for c in N.CLASSES.values() for s in N.STATISTICS)]
+
+
+@query("read_results_nested", q_eval.TUNE_SQL + tidy_sql(
+    "SELECT row_number() OVER (ORDER BY model_key) - 1 AS place, model_key, success, CASE WHEN NOT success THEN error END AS error, "
+    + ", ".join(f"CASE WHEN success THEN {c} END AS {c}" for c in NESTED_COLS) + " FROM t_res", NESTED_DOUBLES, bools=["success"]))
+def q_results_nested(spark, sf):
+    path = scratch(spark)
+    N.write_nested_results(q_eval.tuned(spark, sf), path)
+    return tidy(N.flat_results(N.read_nested_results(spark, path)).drop("file"))
+
+
+@query("results_first_success", q_eval.TUNE_SQL + tidy_sql("""SELECT model_key, optimization_metric, min_precision_constraint, tuning_samples
+FROM t_res WHERE success ORDER BY model_key LIMIT 1""", ["min_precision_constraint"]))
+def q_results_first_success(spark, sf):
+    path = scratch(spark)
+    N.write_nested_results(q_eval.tuned(spark, sf), path)
+    first = N.first_successful(N.flat_results(N.read_nested_results(spark, path)))
+    return tidy(first.select("model_key", "optimization_metric", "min_precision_constraint", "tuning_samples"))
+
+
 COLL_SQL = "WITH c AS (SELECT vec_id, embedding, label FROM embeddings)"
 
 
