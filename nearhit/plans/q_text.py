@@ -193,16 +193,15 @@ ANSWER = ("conv_id", "turn")
 
 
 def answers(spark, sf, n_batches):
-    """Every assistant turn as an answer, dealt to the ``n_batches`` (one-row table) batches by conversation."""
+    """Every assistant turn as an answer, dealt to the ``n_batches`` batches by conversation."""
     c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    return c.join(F.broadcast(n_batches)).select(F.pmod("conv_id", "n_batches").alias("batch"), *ANSWER, F.col("text").alias("response"))
+    return c.select(F.pmod("conv_id", F.lit(n_batches)).alias("batch"), *ANSWER, F.col("text").alias("response"))
 
 
 def variants(spark, sf):
     b = batches(spark, sf)
     sizes = b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_statements"))
-    n_batches = sizes.agg(F.count(F.lit(1)).alias("n_batches")).where("n_batches > 0")
-    return b, P.parse_variants(answers(spark, sf, n_batches), sizes, ANSWER)
+    return b, P.parse_variants(answers(spark, sf, max(1, sizes.count())), sizes, ANSWER)
 
 
 @query("parse_variants", "WITH " + VARIANTS_SQL + " SELECT batch, conv_id, turn, slot, variant FROM vars")
