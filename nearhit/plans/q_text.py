@@ -10,6 +10,7 @@ from nearhit.functions.text import NUMBERING, WS, normalize_text, normalize_text
 from nearhit.operators import embed as E
 from nearhit.operators import paraphrase as P
 from nearhit.operators import sparse_join as SJ
+from nearhit.operators import weighted as W
 from nearhit.plans import fixtures as X
 from nearhit.plans.catalog import query, tidy
 from nearhit.plans.sqlparts import tidy_sql
@@ -73,6 +74,26 @@ def q_embed_texts(spark, sf):
     return tidy(EMB.sparse(docs, "doc_id", "text"))
 
 
+WORDS = E.HashedEmbedder(seed=3, dim=4096, n=1)
+
+
+@query("embed_weighted", "WITH " + sparse_sql("documents", "doc_id", "text", 3, 4096, 1, "sv") + """,
+df AS (SELECT bucket, ln((1 + (SELECT count(DISTINCT doc_id) FROM sv)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM sv GROUP BY bucket),
+wt AS (SELECT doc_id, bucket, weight * idf AS w FROM sv JOIN df USING (bucket)) """
+       + tidy_sql("SELECT doc_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM wt", ["weight"]))
+def q_embed_weighted(spark, sf):
+    docs = table(spark, sf, "documents")
+    return tidy(W.fit_idf(docs, WORDS).sparse(docs, "doc_id", "text"))
+
+
+@query("embed_dense")
+def q_embed_dense(spark, sf):
+    """Each text's length within the 32 strongest directions of the weighted corpus; tested against numpy, not in SQL."""
+    docs = table(spark, sf, "documents")
+    idf = W.fit_idf(docs, WORDS)
+    return tidy(W.embed_dense(docs.select("doc_id", "text"), idf, W.fit_subspace(docs, idf, 32)).select("doc_id", F.size("embedding").alias("dim"), "kept"), 3)
+
+
 @query("embedding_dimension", "SELECT count(*) AS vectors, min(len(embedding)) AS min_dim, "
        "max(len(embedding)) AS max_dim FROM embeddings")
 def q_dim(spark, sf):
