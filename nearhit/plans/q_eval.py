@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,13 @@ from nearhit.operators import compare as CM
 from nearhit.operators import metrics as M
 from nearhit.operators import registry as R
 from nearhit.operators import report as RP
+from nearhit.operators import sketch as SK
 from nearhit.operators import tune as TU
 from nearhit.operators.rank import hash_rank
 from nearhit.plans import fixtures as X
 from nearhit.plans.catalog import query, tidy
 from nearhit.plans.sqlparts import best_sql, grid_sql, metrics_sql, ratio, sweep_sql, tidy_sql
+from nearhit.session import ensure_checkpoint_dir
 
 GRID = X.VECTOR_GRID
 EVAL_T = 0.10          # fixed evaluation threshold on model_pairs
@@ -95,6 +99,26 @@ def q_sim_stats(spark, sf):
     return tidy(M.similarity_stats(pairs(spark, sf), ["model_key"]))
 
 
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
+NEAR = [f"{SK.column(p)}_near" for p in PROBS]
+
+
+@query("similarity_sketch", BASE + tidy_sql(f"""SELECT model_key, count(*) AS n, avg(similarity) AS sim_mean, stddev_pop(similarity) AS sim_std,
+  min(similarity) AS sim_min, max(similarity) AS sim_max, {", ".join(f"CAST(1 AS BIGINT) AS {c}" for c in NEAR)}
+  FROM model_pairs GROUP BY model_key""", ["sim_mean", "sim_std", "sim_min", "sim_max"]))
+def q_sketch(spark, sf):
+    """Sketches by model, class and half of the pairs, stored in two runs, merged by model; the ranks of the
+    quantiles are then counted in the scores and must lie within twice the stated error."""
+    path = f"{ensure_checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    p = pairs(spark, sf)
+    for half in (0, 1):
+        SK.append_sketches(SK.score_sketches(p.where(F.pmod(hash32(SEED, "pair_id"), F.lit(2)) == half), ["model_key", "is_duplicate"]), path)
+    found = SK.quantiles(SK.merge_sketches(SK.read_sketches(spark, path), ["model_key"]), ["model_key"], PROBS)
+    errors = SK.rank_errors(p, found, ["model_key"], PROBS)
+    near = [(F.col(f"{SK.column(x)}_error") <= 2 * SK.rank_error()).alias(c) for x, c in zip(PROBS, NEAR)]
+    return tidy(found.drop(*[SK.column(x) for x in PROBS]).join(errors.select("model_key", *near), "model_key"))
+
+
 def _cell_avg(cell):
     return f"coalesce(avg(similarity) FILTER (WHERE ({CELL_SQL}) = '{cell}'), 0.0) AS avg_sim_{cell.lower()}"
 
