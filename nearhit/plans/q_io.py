@@ -24,18 +24,30 @@ def scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/io-{uuid.uuid4().hex}"
 
 
-@query("read_pairs", X.with_ctes(X.QUESTION_PAIRS_SQL) + """SELECT id, qid1, qid2, md5(question1) AS q1_md5,
-  md5(question2) AS q2_md5, CAST(is_duplicate AS BIGINT) AS is_duplicate FROM question_pairs""")
-def q_read_pairs(spark, sf):
+PAIRS_BACK_SQL = X.with_ctes(X.QUESTION_PAIRS_SQL) + """SELECT id, qid1, qid2, md5(question1) AS q1_md5,
+  md5(question2) AS q2_md5, CAST(is_duplicate AS BIGINT) AS is_duplicate FROM question_pairs"""
+
+
+def pairs_back(spark, sf, splittable):
     path = scratch(spark)
     qp = X.question_pairs(spark, sf)
     (qp.write.mode("overwrite").option("header", True).option("escape", "\\").option("quote", '"')
        .option("escapeQuotes", True).csv(path))
-    back = P.read_pairs(spark, path=path)
+    back = P.read_pairs(spark, path=path, splittable=splittable)
     return tidy(back.select("id", "qid1", "qid2", F.md5("question1").alias("q1_md5"),
                             F.md5("question2").alias("q2_md5"), "is_duplicate"))
 
 
+@query("read_pairs", PAIRS_BACK_SQL)
+def q_read_pairs(spark, sf):
+    return pairs_back(spark, sf, False)
+
+
+@query("read_pairs_split", PAIRS_BACK_SQL)
+def q_read_pairs_split(spark, sf):
+    return pairs_back(spark, sf, True)
+
+
 @query("write_splits", X.with_ctes(X.QUESTION_PAIRS_SQL) + f"""SELECT split, count(*) AS rows,
   count(*) FILTER (WHERE is_duplicate = 1) AS duplicates FROM (
   SELECT *, {q_data.SPLIT_SQL} AS split FROM question_pairs WHERE {q_data.KEEP_SQL}) GROUP BY split""")

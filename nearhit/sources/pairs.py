@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearhit.operators.datasets import split_filter
+from nearhit.sources.csvlines import read_csv_split
 
 PAIRS_DDL = "id long, qid1 long, qid2 long, question1 string, question2 string, is_duplicate string"
 # Strings pandas' read_csv treats as missing by default.
@@ -33,16 +34,20 @@ def _whole(c: str):
 
 
 def read_pairs(spark: SparkSession, split: str | None = "full", path: str | None = None,
-               data_dir: str = "data") -> DataFrame:
+               data_dir: str = "data", splittable: bool = False) -> DataFrame:
     """Question pairs by split (``train``/``val``/``test``/``full``) or an
-    explicit path (which wins). An unknown split is an error."""
+    explicit path (which wins). An unknown split is an error. ``splittable``
+    reads a large file by many tasks (``sources/csvlines.py``); otherwise a file is one task."""
     if path is None:
         if split not in SPLIT_FILES:
             raise ValueError(f"Invalid split: {split}. Choose from {list(SPLIT_FILES)}")
         path = os.path.join(data_dir, SPLIT_FILES[split])
-    df = (spark.read.schema(PAIRS_DDL)
-          .option("header", True).option("escape", "\\").option("quote", '"').option("multiLine", True)
-          .option("mode", "PERMISSIVE").csv(path))
+    if splittable:
+        df = read_csv_split(spark, path, PAIRS_DDL)
+    else:
+        df = (spark.read.schema(PAIRS_DDL)
+              .option("header", True).option("escape", "\\").option("quote", '"').option("multiLine", True)
+              .option("mode", "PERMISSIVE").csv(path))
     return df.select("id", "qid1", "qid2", _na("question1").alias("question1"), _na("question2").alias("question2"),
                      _whole("is_duplicate").alias("is_duplicate"))
 
