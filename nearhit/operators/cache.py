@@ -98,6 +98,21 @@ def lookup_touches(outcomes: DataFrame) -> DataFrame:
         (F.col("outcome") == "hit").alias("was_hit"))
 
 
+def simulate(requests: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Each request with its nearest entry: ``query_id, outcome, distance, matched_id, matched_text, response``.
+
+    The simulation counts a hit on the distance alone (strictly below the
+    threshold), whether or not a response is stored. ``matched_*`` and ``response`` are set on hits;
+    without any entry, or with a vector that matches nothing, a request is a miss without a distance."""
+    hit = F.coalesce(F.col("distance") < check_threshold(threshold), F.lit(False))
+    near = nearest_one(requests.select("query_id", "embedding"), entries.select("entry_id", "embedding"))
+    texts = entries.select("entry_id", F.col("text").alias("_text"), "llm_response")
+    out = requests.select("query_id").join(near.select("query_id", "entry_id", "distance"), "query_id", "left")
+    return out.join(texts, "entry_id", "left").select(
+        "query_id", F.when(hit, "hit").otherwise("miss").alias("outcome"), "distance",
+        *[F.when(hit, F.col(c)).alias(n) for c, n in (("entry_id", "matched_id"), ("_text", "matched_text"), ("llm_response", "response"))])
+
+
 def fill_misses(outcomes: DataFrame, requests: DataFrame, provider: DataFrame | None = None) -> DataFrame:
     """Attach a response to every miss/forced request.
 

@@ -211,6 +211,17 @@ def q_seeded(spark, sf):
                    F.count_if(F.col("distance") >= SIM_T).alias("misses")).crossJoin(st)
 
 
+@query("simulation_hits", X.with_ctes(X.ENTRIES_SQL, X.REQUESTS_SQL) + tidy_sql(f"""SELECT n.query_id,
+  CASE WHEN n.distance < {SIM_T} THEN 'hit' ELSE 'miss' END AS outcome, n.distance,
+  CASE WHEN n.distance < {SIM_T} THEN e.entry_id END AS matched_id, CASE WHEN n.distance < {SIM_T} THEN e.text END AS matched_text,
+  CASE WHEN n.distance < {SIM_T} THEN e.llm_response END AS response
+FROM (SELECT query_id, arg_min(entry_id, (distance, entry_id)) AS entry_id, min(distance) AS distance
+      FROM (SELECT r.query_id, e.entry_id, round(1 - {COS('r.embedding', 'e.embedding')}, 12) AS distance FROM requests r CROSS JOIN entries e)
+      GROUP BY query_id) n JOIN entries e USING (entry_id)""", ["distance"]))
+def q_simulation_hits(spark, sf):
+    return tidy(C.simulate(X.requests(spark, sf), X.entries(spark, sf), SIM_T))
+
+
 @query("cache_stats_by_user", LOOKUP_CTES + tidy_sql("""SELECT r.user_id, count(*) AS total_queries,
   count(*) FILTER (WHERE l.outcome = 'hit') AS cache_hits, count(*) FILTER (WHERE l.outcome = 'miss') AS cache_misses,
   count(*) FILTER (WHERE l.outcome IN ('miss', 'forced')) AS llm_calls,

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearhit.operators.cache import cache_lookup, cache_stats
+from nearhit.operators.cache import cache_lookup, cache_stats, simulate
 from nearhit.operators.store import open_collection
 from nearhit.functions.vector import similarity_to_distance
 
@@ -141,3 +141,18 @@ def test_threshold_what_if_strict_boundaries(spark):
            for r in threshold_what_if(outs, store, [0.3, 0.5, 0.6]).collect()}
     # distance == threshold is not a hit; entry 12 has no response, so never a hit
     assert got == {0.3: (0, 4, 0.0), 0.5: (1, 4, 25.0), 0.6: (2, 4, 50.0)}
+
+
+def test_simulation_lists_every_request(spark):
+    ddl = "entry_id long, text string, embedding array<float>, llm_response string"
+    entries = spark.createDataFrame([(1, "one", [1.0, 0.0], "r1"), (2, "two", [0.0, 1.0], None), (3, "again", [2.0, 0.0], "r3")], ddl)
+    asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 3.0]), (12, [1.0, 1.0]), (13, None), (14, [0.0, 0.0])],
+                                  "query_id long, embedding array<float>")
+    got = [tuple(r) for r in simulate(asked, entries, 0.2).orderBy("query_id").collect()]
+    far = round(1 - 0.5 ** 0.5, 12)
+    assert got == [(10, "hit", 0.0, 1, "one", "r1"), (11, "hit", 0.0, 2, "two", None), (12, "miss", pytest.approx(far), None, None, None),
+                   (13, "miss", None, None, None, None), (14, "miss", None, None, None, None)]
+    none = simulate(asked, entries.where("false"), 0.2).collect()
+    assert len(none) == 5 and all(r.outcome == "miss" and r.distance is None for r in none)
+    with pytest.raises(ValueError):
+        simulate(asked, entries, 2.5)
