@@ -114,3 +114,42 @@ def test_blocks_meet_when_partitions_are_not_coalesced(spark, monkeypatch):
     finally:
         spark.conf.set(name, "true")
     assert got == want and len(want[0]) == 3 * q.count()
+
+
+def test_kernels_hold_a_bounded_chunk_of_scores(spark):
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    side = lambda: pd.DataFrame({"_id": np.arange(4000), "_v": list(rng.normal(size=(4000, 8)))})
+    left, right = side(), side()
+    tracemalloc.start()
+    near = J._knn_kernel(1, False, False, False)(left, right)
+    assert len(near) == 4000 and tracemalloc.get_traced_memory()[1] < 10 * J.SCORE_CHUNK_BYTES < 4000 * 4000 * 8
+    tracemalloc.reset_peak()
+    rows = [pa.record_batch([pa.array(f["_id"] if q else [None] * 4000, pa.int64()), pa.array([None] * 4000 if q else f["_id"], pa.int64()),
+                             pa.array(f["_v"].tolist(), pa.list_(pa.float64())), pa.array([q] * 4000)], names=["_qid", "_eid", "_v", "_query"])
+            for f, q in ((left, True), (right, False))]
+    pairs = 0
+    for batch in J._pairs_kernel("all", 2.0, False, False, True)(iter(rows)):
+        assert batch.num_rows <= J.OUT_ROWS
+        pairs += batch.num_rows
+    assert pairs == 4000 * 3999 // 2 and tracemalloc.get_traced_memory()[1] < 15 * J.SCORE_CHUNK_BYTES < pairs * 24
+    tracemalloc.stop()
+
+
+def test_pairs_of_all_modes_match_numpy(spark, monkeypatch):
+    """Blocks, chunks and Arrow batches of odd sizes, a null and a zero vector, other types on each side."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(2)
+    q, e = ([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(30, 4)))] for _ in range(2))
+    Q, E = (_unit([v for _, v in x]) for x in (q, e))
+    qs = spark.createDataFrame([*q, (90, None), (91, [0.0] * 4)], "query_id long, embedding array<double>")
+    es = spark.createDataFrame([(f"e{i}", v) for i, v in e] + [("z", None)], "entry_id string, embedding array<double>")
+    got = {(r.query_id, r.entry_id): r.distance for r in J.similarity_join(qs, es, max_distance=0.5).collect()}
+    D = 1 - Q @ E.T
+    want = {(i, f"e{j}"): D[i, j] for i in range(30) for j in range(30) if D[i, j] < 0.5}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    every = J.similarity_matrix(qs, id_col="query_id").collect()
+    assert len(every) == 30 * 30 and all(abs(r.similarity - Q[r.query_id_a] @ Q[r.query_id_b]) < 1e-9 for r in every)
