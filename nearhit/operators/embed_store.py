@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearhit.functions.text import normalize_text
+from nearhit.operators.embed import slices
 from nearhit.session import exists
 
+CELLS = 1 << 19  # buckets of the rows whose products are formed at a time
 SCHEMA = "key binary, bucket array<int>, weight array<double>, model string"
 
 
@@ -94,11 +96,13 @@ class EmbeddingStore:
                     at = np.array([i for i, w in enumerate(wanted) if name in w], np.int64)
                     if not len(at):
                         continue
-                    row, bucket, weight = model.counted([prepared[ways.index(bool(model.normalize))][i] for i in at.tolist()])
-                    offsets = pa.array(np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32))
-                    yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(bucket.astype(np.int32))),
-                                           pa.ListArray.from_arrays(offsets, pa.array(weight)), pa.array([name] * len(at), pa.string())],
-                                          names=["key", "bucket", "weight", "model"])
+                    mine = [prepared[ways.index(bool(model.normalize))][i] for i in at.tolist()]
+                    for a, z in slices(mine):
+                        row, bucket, weight = model.counted(mine[a:z])
+                        offsets = pa.array(np.searchsorted(row, np.arange(z - a + 1)).astype(np.int32))
+                        yield pa.record_batch([batch.column(0).take(pa.array(at[a:z])), pa.ListArray.from_arrays(offsets, pa.array(bucket.astype(np.int32))),
+                                               pa.ListArray.from_arrays(offsets, pa.array(weight)), pa.array([name] * (z - a), pa.string())],
+                                              names=["key", "bucket", "weight", "model"])
 
         made = rows.mapInArrow(run, SCHEMA)
         before = self._count(names)
@@ -134,7 +138,19 @@ class EmbeddingStore:
 
 
 def cosines(b1: pa.Array, w1: pa.Array, b2: pa.Array, w2: pa.Array) -> np.ndarray:
-    """Dot products of rows of unit sparse vectors with ascending buckets; NaN where a side is null or empty."""
+    """Dot products of rows of unit sparse vectors with ascending buckets; NaN where a side is null or empty.
+
+    Rows of about ``CELLS`` buckets are compared at a time."""
+    upto = sum(np.cumsum(pc.fill_null(x.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for x in (b1, b2))
+    out, at = [np.zeros(0)], 0
+    while at < len(b1):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CELLS, side="right")))
+        out.append(_cosines(*(x.slice(at, end - at) for x in (b1, w1, b2, w2))))
+        at = end
+    return np.concatenate(out)
+
+
+def _cosines(b1: pa.Array, w1: pa.Array, b2: pa.Array, w2: pa.Array) -> np.ndarray:
 
     def flat(bucket: pa.Array, weight: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size = pc.fill_null(bucket.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearhit.operators.embed import HashedEmbedder
+from nearhit.operators.embed import HashedEmbedder, slices
 from nearhit.session import Scratch
 
 CELLS = 1 << 21  # numbers of a dense block of rows
@@ -59,9 +59,11 @@ def bucket_frequencies(df: DataFrame, embedder: HashedEmbedder, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.zeros(dim + 1, np.int64)
         for b in batches:
-            row, bucket, _ = embedder.counted(b.column(0).to_pylist())
-            docs[:dim] += np.bincount(bucket, minlength=dim)
-            docs[dim] += len(np.unique(row))
+            texts = b.column(0).to_pylist()
+            for a, z in slices(texts):
+                row, bucket, _ = embedder.counted(texts[a:z])
+                docs[:dim] += np.bincount(bucket, minlength=dim)
+                docs[dim] += len(np.unique(row))
         at = np.flatnonzero(docs)
         yield pa.record_batch([pa.array(np.where(at == dim, -1, at)), pa.array(docs[at])], names=["bucket", "docs"])
 
@@ -83,10 +85,12 @@ def sparse_lists(df: DataFrame, embedder: HashedEmbedder, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, bucket, weight = embedder.counted(b.column(0).to_pylist())
-            ends = np.append(0, np.cumsum(np.unique(row, return_counts=True)[1])).astype(np.int32)
-            yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))),
-                                   pa.ListArray.from_arrays(ends, pa.array(weight))], names=["bucket", "weight"])
+            texts = b.column(0).to_pylist()
+            for a, z in slices(texts):
+                row, bucket, weight = embedder.counted(texts[a:z])
+                ends = np.append(0, np.cumsum(np.unique(row, return_counts=True)[1])).astype(np.int32)
+                yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))),
+                                       pa.ListArray.from_arrays(ends, pa.array(weight))], names=["bucket", "weight"])
 
     return df.select(embedder.prepared(text_col).alias("_t")).mapInArrow(run, "bucket array<int>, weight array<double>")
 
@@ -169,13 +173,15 @@ def embed_dense(df: DataFrame, embedder: HashedEmbedder, subspace: np.ndarray, t
 
     @F.arrow_udf("struct<embedding array<double>, kept double>")
     def project(texts: pa.Array) -> pa.Array:
-        row, bucket, weight = embedder.counted(texts.to_pylist())
+        said, some = texts.to_pylist(), np.zeros(len(texts), bool)
         out = np.zeros((len(texts), rank))
-        for a, dense in _blocks(row, bucket, weight, len(texts), dim):
-            out[a:a + len(dense)] = dense @ subspace
+        for first, z in slices(said):
+            row, bucket, weight = embedder.counted(said[first:z])
+            some[row + first] = True
+            for a, dense in _blocks(row, bucket, weight, z - first, dim):
+                out[first + a:first + a + len(dense)] = dense @ subspace
         kept = np.sqrt((out * out).sum(axis=1))
-        some, full = np.zeros(len(texts), bool), kept > 1e-12
-        some[row] = True
+        full = kept > 1e-12
         out[full] /= kept[full][:, None]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * rank), pa.array(out.reshape(-1)))
         vectors = pc.if_else(pa.array(some & full), lists, pa.scalar(None, lists.type))

@@ -6,6 +6,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,20 @@ def test_model_embedder_runs_a_model_on_batches(spark):
     df = spark.createDataFrame([(1, "  Aa  b "), (2, "xyz")], "id long, text string")
     got = {r.id: list(r.embedding) for r in E.model_embedder(make_predict, 2)(df).collect()}
     assert got == {1: [4.0, 2.0], 2: [3.0, 0.0]}
+
+
+def test_texts_are_hashed_in_slices_of_bounded_size(monkeypatch):
+    from nearhit.operators import embed_store as ES
+    texts = ["a b c d e", None, "", "b c d", "x y", "c d e f g h i", "q r s t"] * 5
+    sizes, whole = [], E.HashedEmbedder._counted
+    want = E.HashedEmbedder(3, 64).counted(texts)
+    monkeypatch.setattr(E.HashedEmbedder, "_counted", lambda self, t: sizes.append(sum(len(x or "") for x in t)) or whole(self, t))
+    monkeypatch.setattr(E, "slices", lambda t, size=20, real=E.slices: real(t, size))
+    got = E.HashedEmbedder(3, 64).counted(texts)
+    assert all((a == b).all() for a, b in zip(got, want)) and len(sizes) > 5 and max(sizes) <= 20
+    assert list(E.slices([])) == [(0, 0)] and len(E.HashedEmbedder().counted([])[0]) == 0
+    lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
+    b, w = lists([[1, 3], None, [], [2, 4, 9]] * 9, pa.int32()), lists([[0.6, 0.8], None, [], [0.5, 0.5, 0.7]] * 9, pa.float64())
+    before = ES.cosines(b, w, b, w)
+    monkeypatch.setattr(ES, "CELLS", 7)
+    assert np.array_equal(ES.cosines(b, w, b, w), before, equal_nan=True) and before[0] == pytest.approx(1.0)
