@@ -30,7 +30,7 @@ from nearhit.functions.vector import cosine_similarity_batched
 
 FOLDERS = 64
 LIST_ROWS, LIST_QUERIES = 8192, 2048  # of one group of the search
-SCORE_CELLS = 1 << 23
+SCORE_CELLS = 1 << 20  # scores held at a time
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,8 @@ class IvfPq:
 
     def nearest_lists(self, v: np.ndarray, many: int) -> np.ndarray:
         """The ``many`` lists of the largest dot products of each row, ties to the smaller list."""
-        return np.argsort(-(v @ self.centroids.T), axis=1, kind="stable")[:, :many]
+        step = max(1, SCORE_CELLS // len(self.centroids))
+        return np.concatenate([np.argsort(-(v[a:a + step] @ self.centroids.T), axis=1, kind="stable")[:, :many] for a in range(0, max(1, len(v)), step)])
 
     def encode(self, v: np.ndarray) -> np.ndarray:
         """(row, sub-space) codes: the nearest book entry, ties to the smaller code."""
