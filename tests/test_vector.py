@@ -153,3 +153,26 @@ def test_pairs_of_all_modes_match_numpy(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     every = J.similarity_matrix(qs, id_col="query_id").collect()
     assert len(every) == 30 * 30 and all(abs(r.similarity - Q[r.query_id_a] @ Q[r.query_id_b]) < 1e-9 for r in every)
+
+
+def test_nearest_by_time_matches_brute_force(spark, monkeypatch):
+    """Equal distances, equal times, a null time and blocks of odd size."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 3))
+    e = [(int(i), base[rng.integers(12)].tolist(), int(rng.integers(25))) for i in rng.permutation(40)] + [(99, base[0].tolist(), None)]
+    q = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 3)))]
+    got = {}
+    for r in J.nearest_by_time(spark.createDataFrame(q, "query_id long, embedding array<double>"),
+                               spark.createDataFrame(e, "entry_id long, embedding array<double>, seq long"), order="seq").collect():
+        for t in range(r["after"] + 1, (26 if r["until"] is None else r["until"]) + 1):
+            assert (r["query_id"], t) not in got
+            got[r["query_id"], t] = r["entry_id"]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {}
+    for i, v in q:
+        for t in range(27):
+            near = min(((round(1 - float(unit(v) @ unit(x)), 12), j) for j, x, s in e if s is not None and s < t), default=None)
+            if near:
+                want[i, t] = near[1]
+    assert got == want
