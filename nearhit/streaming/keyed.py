@@ -7,7 +7,8 @@ and nothing else:
 
 * ``waiting`` (``ListState``): requests whose event time the watermark has not
   passed. Rows of a micro-batch come in any order, so nothing is decided before;
-* ``stored`` (``ListState``): the key's entries, vectors as float64 bytes;
+* ``stored`` (``ListState``): the key's entries, vectors as float64 bytes. A value of either
+  state holds up to ``PACK`` rows, as each value's way to and from Spark costs more than many rows do;
 * event-time timers: one at the earliest waiting request. When it fires, the
   released requests are served in (event time, ``seq``) order, exactly like the
   sequential loop of ``operators/replay.py``.
@@ -18,8 +19,8 @@ the end of its youngest entry, so the state of a key that went silent is freed.
 Without ``ttl`` a key's state grows with its distinct questions for ever.
 
 Bounds: a task holds the requests that one key has waiting (what arrives within
-``delay`` and a micro-batch; ``maxFilesPerTrigger`` bounds the latter); stored
-entries are streamed past them in blocks. A key's requests depend on each other, so
+``delay`` and a micro-batch; ``maxFilesPerTrigger`` bounds the latter) and, with ``ttl``, the entries that can
+still serve them, read and written once; without ``ttl`` stored entries are streamed past them in blocks. A key's requests depend on each other, so
 one key is one task: where a key may hold a large share of all rows and no ``ttl``
 bounds its entries, use ``stream_lookup`` with ``key``, which splits it over blocks.
 
@@ -32,6 +33,7 @@ event times are refused, and a null key is a key of its own.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -48,8 +50,8 @@ from nearhit.session import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BLOCK = 2048  # requests and entries compared at a time
-WAITING = "query_id string, seq long, at long, forced boolean, fails boolean, vector binary"
-STORED = "entry_id string, at long, is_seed boolean, answered boolean, vector binary"
+PACK = 32  # rows in one value of a state; Spark hands over up to 10,000 values at a time
+PACKED = "rows binary"  # waiting: query_id, seq, at, forced, fails, vector; stored: entry_id, at, is_seed, answered, vector
 OUT = ("query_id string, seq long, outcome string, inserted boolean, matched_id string, matched_seed boolean, "
        "nearest_id string, nearest_is_seed boolean, distance double")
 
@@ -63,6 +65,19 @@ def _unit(v) -> bytes | None:
     return (x / norm).tobytes() if np.isfinite(norm) and norm > 0 else None
 
 
+def _units(vectors: list) -> list[bytes | None]:
+    """``_unit`` of each vector, at once where all have one length."""
+    known = [v for v in vectors if v is not None]
+    if len({len(v) for v in known}) != 1:
+        return [_unit(v) for v in vectors]
+    x = np.array(known, np.float64)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        norm = np.linalg.norm(x, axis=1)
+        x /= norm[:, None]
+    units = iter([u.tobytes() if good else None for u, good in zip(x, np.isfinite(norm) & (norm > 0))])
+    return [None if v is None else next(units) for v in vectors]
+
+
 def _matrix(vectors: list) -> np.ndarray:
     """Rows of vectors of one length, NaN rows for null ones."""
     width = max((len(v) for v in vectors if v is not None), default=0)
@@ -93,12 +108,14 @@ class _Best:
         for answered in (False, True):
             cols = np.array([j for j, e in enumerate(entries) if e[3] == answered], int)
             if len(cols):
-                part = dist[:, cols]
-                low = part.min(axis=1)
+                part = dist if len(cols) == len(entries) else dist[:, cols]
+                least = part.argmin(axis=1)
+                low = part[np.arange(len(part)), least]
+                lone = (part == low[:, None]).sum(axis=1) == 1
                 for i in np.flatnonzero(np.isfinite(low)):
-                    tied = cols[part[i] == low[i]]
+                    tied = cols[least[i:i + 1]] if lone[i] else cols[part[i] == low[i]]
                     self.offer(i, min((float(low[i]), entries[j][2], entries[j][0] if entries[j][2] else self.own(entries[j][0]))
-                                      for j in tied), answered)
+                                      for j in tied.tolist()), answered)
 
 
 def _distances(q: np.ndarray, e: np.ndarray, q_at: np.ndarray, e_at: np.ndarray, ttl: int | None) -> np.ndarray:
@@ -124,6 +141,48 @@ def _chunks(rows, n: int):
         yield block
 
 
+class _Packed:
+    """A ``ListState`` of rows, ``PACK`` of them in a value."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self) -> Iterator[tuple]:
+        for value in self.state.get():
+            yield from pickle.loads(value[0])
+
+    def _values(self, rows) -> list[tuple]:
+        return [(pickle.dumps(part),) for part in _chunks(rows, PACK)]
+
+    def appendList(self, rows) -> None:
+        self.state.appendList(self._values(rows))
+
+    def put(self, rows) -> None:
+        self.state.put(self._values(rows))
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class _Held:
+    """The entries of a key while its requests are served, those whose time is over left out."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows, self.changed = rows, False
+
+    def get(self) -> list[tuple]:
+        return self.rows
+
+    def appendList(self, rows: list[tuple]) -> None:
+        self.rows, self.changed = self.rows + rows, True
+
+    def forget(self, born: int) -> None:
+        """Keep the entries stored after ``born``."""
+        live = [e for e in self.rows if e[1] > born]
+        self.changed |= len(live) < len(self.rows)
+        self.rows = live
+
+
 class ReplayProcessor(StatefulProcessor):
     """One key's cache; see the module's docstring."""
 
@@ -132,95 +191,98 @@ class ReplayProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.stored = handle.getListState("stored", STORED)
+        self.waiting = _Packed(handle.getListState("waiting", PACKED))
+        self.stored = _Packed(handle.getListState("stored", PACKED))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rows = [(str(r.entry_id), int(r.at), True, bool(r.answered), _unit(r.embedding))
-                for r in initialState.itertuples(index=False)]
+        f = initialState
+        rows = list(zip(map(str, f["entry_id"]), map(int, f["at"]), [True] * len(f), map(bool, f["answered"]), _units(f["embedding"].tolist())))
         if rows:
             self.stored.appendList(rows)
             self._watch_end(max(r[1] for r in rows))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
-        for pdf in rows:
-            new = [(str(r.query_id), int(r.seq), int(r.at), bool(r.forced), bool(r.fails), _unit(r.embedding))
-                   for r in pdf.itertuples(index=False)]
+        for f in rows:
+            new = list(zip(map(str, f["query_id"]), map(int, f["seq"]), map(int, f["at"]), map(bool, f["forced"]), map(bool, f["fails"]),
+                           _units(f["embedding"].tolist())))
             if new:
                 self.waiting.appendList(new)
                 low = min(r[2] for r in new)
                 first = low if first is None else min(first, low)
         if first is not None:
             self.handle.registerTimer(first)
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         ready, later = [], []
         for r in self.waiting.get():
-            (ready if r[2] <= now else later).append(tuple(r))
+            (ready if r[2] <= now else later).append(r)
         if ready:
             ready.sort(key=lambda r: (r[2], r[1], r[0]))
-            self.waiting.clear()
             if later:
                 self.waiting.put(later)
                 self.handle.registerTimer(min(r[2] for r in later))
+            else:
+                self.waiting.clear()
+        if self.ttl is None:
             for block in _chunks(ready, BLOCK):
-                yield self._serve(block)
-        if self.ttl is not None:
-            self._forget(now, bool(later))
+                yield self._serve(block, self.stored)
+            return
+        held = _Held(list(self.stored.get()))
+        for block in _chunks(ready, BLOCK):
+            held.forget(block[0][2] - self.ttl)  # no later request is earlier than the block's first
+            yield self._serve(block, held)
+        held.forget(now - self.ttl)  # waiting requests are later than ``now``, so none can use what is over by then
+        if held.changed:
+            if held.rows:
+                self.stored.put(held.rows)
+            else:
+                self.stored.clear()
+        if held.rows and not later:
+            self._watch_end(max(e[1] for e in held.rows))
 
     def close(self) -> None:
         pass
 
-    def _serve(self, block: list[tuple]) -> pd.DataFrame:
-        """Outcomes of requests in order; what they store is appended to the state."""
+    def _serve(self, block: list[tuple], stored=None) -> pd.DataFrame:
+        """Outcomes of requests in order; what they store is appended to ``stored``, the state unless given."""
+        stored_rows = self.stored if stored is None else stored
         best, q_at = _Best(len(block), self.numbers), np.array([r[2] for r in block])
         q = _matrix([r[5] for r in block])
-        for entries in _chunks(map(tuple, self.stored.get()), BLOCK):
+        for entries in _chunks(stored_rows.get(), BLOCK):
             best.offer_all(_distances(q, _matrix([e[4] for e in entries]), q_at, np.array([e[1] for e in entries]), self.ttl), entries)
         among = _distances(q, q, q_at, q_at, self.ttl)
-        out, new = [], []
+        out, new, n_new = [], np.empty(len(block), int), 0
         for i, (query_id, seq, at, forced, fails, vector) in enumerate(block):
             if forced:
                 hit, near, served = False, None, None
             else:
-                if new:
-                    d = among[i, new]
+                if n_new:
+                    d = among[i, new[:n_new]]
                     if np.isfinite(low := d.min()):
-                        best.offer(i, min((float(low), False, best.own(block[j][0])) for j, x in zip(new, d) if x == low), True)
+                        best.offer(i, min((float(low), False, best.own(block[j][0])) for j in new[:n_new][d == low].tolist()), True)
                 silent, served = best.found[i]
                 hit = served is not None and served[0] < min(self.threshold, silent[0] if silent else self.threshold)
                 near = min((x for x in (silent, served) if x is not None), default=None)
-            stored = not hit and not fails
-            if stored:
-                new.append(i)
+            inserted = not hit and not fails
+            if inserted:
+                new[n_new] = i
+                n_new += 1
             d, seed, nid = (near[0], near[1], str(near[2])) if near else (None, None, None)
-            out.append((query_id, seq, "forced" if forced else "hit" if hit else "miss", stored,
+            out.append((query_id, seq, "forced" if forced else "hit" if hit else "miss", inserted,
                         nid if hit else None, seed if hit else None, nid, seed, d))
-        if new:
-            self.stored.appendList([(block[i][0], block[i][2], False, True, block[i][5]) for i in new])
+        if n_new:
+            stored_rows.appendList([(block[i][0], block[i][2], False, True, block[i][5]) for i in new[:n_new].tolist()])
         # object columns keep their nulls as nulls and their booleans as booleans
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")], dtype=object).astype({"seq": "int64", "distance": "float64"})
+        kinds = {"seq": "int64", "distance": "float64"}
+        return pd.DataFrame({c: pd.Series(part, dtype=kinds.get(c, object)) for c, part in zip((c.split()[0] for c in OUT.split(", ")), zip(*out))})
 
     def _watch_end(self, at: int) -> None:
         if self.ttl is not None:
             self.handle.registerTimer(at + self.ttl)
 
-    def _forget(self, now: int, busy: bool) -> None:
-        """Remove entries whose time is over; waiting requests are later than ``now``, so none can still use them."""
-        if not self.stored.exists():
-            return
-        rows = [tuple(e) for e in self.stored.get()]
-        live = [e for e in rows if e[1] + self.ttl > now]
-        if len(live) < len(rows):
-            self.stored.clear()
-            if live:
-                self.stored.put(live)
-        if live and not busy:
-            self._watch_end(max(e[1] for e in live))
-
 
 def _key(key: list[str]):
     return F.to_json(F.struct(*key)).alias("_key")

@@ -7,6 +7,7 @@ import time
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,80 @@ def test_blocks_do_not_change_the_result(monkeypatch):
     assert run(3) == run(64)
 
 
+class FakeHandle:
+    """Keeps states and timers as Spark does and counts the values that go to and fro."""
+
+    def __init__(self):
+        self.states, self.timers, self.calls, self.values = {}, set(), 0, 0
+
+    def getListState(self, name, schema):
+        handle, kept = self, self.states.setdefault(name, [])
+
+        class State:
+            def get(self):
+                handle.calls += 1
+                handle.values += len(kept)
+                return iter(list(kept))
+
+            def appendList(self, rows):
+                handle.calls += 1
+                handle.values += len(rows)
+                kept.extend(rows)
+
+            def put(self, rows):
+                kept.clear()
+                self.appendList(rows)
+
+            def clear(self):
+                handle.calls += 1
+                kept.clear()
+
+            def exists(self):
+                handle.calls += 1
+                return bool(kept)
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_key_costs_few_values_of_state(monkeypatch):
+    """Rows travel many to a value, the entries of a key with ``ttl`` once a timer, and expired ones leave the state."""
+    monkeypatch.setattr(K, "BLOCK", 40)
+    rows = [(*r[:3], "a", *r[4:]) for r in requests(300, seed=12)]
+    ms = lambda ts: int((ts - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    ttl = 25 * 60000
+    handle, p = FakeHandle(), K.ReplayProcessor(0.3, ttl, True)
+    p.init(handle)
+    out, mid = [], ms(rows[149][2])
+    frame = pd.DataFrame({"query_id": [str(r[0]) for r in rows], "seq": [r[1] for r in rows], "at": [ms(r[2]) for r in rows],
+                          "forced": [r[4] for r in rows], "fails": [r[5] for r in rows],
+                          "embedding": pd.Series([None if r[6] is None else np.array(r[6], np.float32) for r in rows], dtype=object)})
+    assert not [f for f in p.handleInputRows(("a",), iter([frame]), Clock(0)) if len(f)]
+    for now in (mid, ms(rows[-1][2]), ms(rows[-1][2]) + ttl):
+        out += [tuple(r) for f in p.handleExpiredTimer(("a",), Clock(now), None)
+                for r in f[["query_id", "outcome", "inserted", "nearest_id"]].itertuples(index=False)]
+    assert sorted(out) == loop(rows, 0.3, ttl=dt.timedelta(milliseconds=ttl))
+    assert handle.values < len(rows) // 4 and handle.calls < 20 and handle.states["stored"] == [] == handle.states["waiting"]
+
+
+def test_units_at_once_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    v = [*rng.normal(size=(50, 64)).astype(np.float32), None, np.zeros(64, np.float32), np.full(64, np.inf, np.float32), np.full(64, np.nan)]
+    for vectors in (v, [*v, np.ones(3)], [None], []):
+        for one, many in zip([K._unit(x) for x in vectors], K._units(vectors), strict=True):
+            assert one is many is None or np.allclose(np.frombuffer(one), np.frombuffer(many), rtol=1e-14, atol=0)
+
+
 def test_bad_input_is_refused(spark):
     with pytest.raises(ValueError, match="key"):
         K.stream_replay_keyed(spark, spark.createDataFrame([], DDL), 0.3, [])
