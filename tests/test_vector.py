@@ -176,3 +176,39 @@ def test_nearest_by_time_matches_brute_force(spark, monkeypatch):
             if near:
                 want[i, t] = near[1]
     assert got == want
+
+
+def test_kernel_rounds_and_masks_only_what_can_stay(monkeypatch):
+    """Nearest, steps and pairs under a threshold equal the plain definition on rounded distances, with ties, copies and lost vectors."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(12)
+    vecs = [*rng.normal(size=(40, 4)).tolist(), *rng.integers(-1, 2, (80, 4)).astype(float).tolist(), None, [0.0] * 4]
+    sides = [pd.DataFrame({"_id": rng.permutation(len(vecs)), "_v": vecs, "_o": rng.permutation(len(vecs))}).sample(frac=1, random_state=k) for k in (1, 2)]
+    left, right = sides[0].sort_values("_id"), sides[1].sort_values("_o")
+    D = np.round(1 - J._stack(left["_v"]) @ J._stack(right["_v"]).T, J.PLACES)
+    D[np.isnan(D)] = np.inf
+    qid, eid, qo, eo = left["_id"].to_numpy(), right["_id"].to_numpy(), left["_o"].to_numpy(), right["_o"].to_numpy()
+    full, rounded = np.round, []
+    monkeypatch.setattr(J.np, "round", lambda x, *a, **b: rounded.append(np.size(x)) or full(x, *a, **b))
+
+    def got(mode, k=1, most=2.0, **masks):
+        on = {"exclude_self": False, "ordered": False, "upper": False} | masks
+        return {(int(r), int(c)): d for part in J._scored(left, right, mode, k, most, **on) for r, c, d in zip(*part)}
+
+    for mask, name in ((qid[:, None] == eid, "exclude_self"), (qid[:, None] >= eid, "upper"), (eo >= qo[:, None], "ordered")):
+        E = np.where(mask, np.inf, D)
+        for k in (1, 4):
+            want = {(r, int(c)): E[r, c] for r in range(len(E)) for c in np.argsort(E[r], kind="stable")[:k] if np.isfinite(E[r, c])}
+            assert got("knn", k, **{name: True}) == want
+        assert got("threshold", most=0.5, **{name: True}) == {(int(r), int(c)): E[r, c] for r, c in zip(*np.nonzero(E < 0.5))}
+    want = {}
+    for r in range(len(D)):
+        best = (np.inf, None)
+        for c in np.flatnonzero(np.isfinite(D[r])):
+            if (D[r, c], eid[c]) < best:
+                best = want[r, int(c)] = (D[r, c], eid[c])
+    assert {k: d for k, d in got("steps").items()} == {k: v[0] for k, v in want.items()}
+    rounded.clear()
+    pairs = got("threshold", most=0.05)
+    assert sum(rounded) < 2 * len(pairs) + 100 < D.size  # not every pair is rounded
